@@ -5,16 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, simhash
+from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents: 3-word shingles, up to 2 differing bits."""
+    found = simhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents by streaming keyed state."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -28,7 +37,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {"op4_simhash": op4_simhash, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, packing, simhash, token_counts
 from .shipping import ship
 
+#: A tokenizer file; every node has it, and it isn't part of this repository.
+BYTE_BPE = os.environ.get("STATEFIELD_BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,12 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text, and the text decoded from them."""
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    digested = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), "ids")
+    return bpe.decode(digested, BYTE_BPE).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: 3-word shingles, up to 2 differing bits."""
     found = simhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits each, by segment trees."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.standard_edits().alias("edits"))
+    return token_counts.count_tokens(docs, BYTE_BPE)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents by streaming keyed state."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -37,7 +60,14 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_simhash": op4_simhash, "op10_exact_dedup": op10_exact_dedup}
+    found = (
+        op2_bpe,
+        op4_simhash,
+        op7_token_counts,
+        op9_packing,
+        op10_exact_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

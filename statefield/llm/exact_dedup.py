@@ -12,13 +12,31 @@ is kept. Empty tables give empty results. Other columns, whatever their names, t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, drop_table, materialise, new_path, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state is on disk; without preallocation, as many partitions have a small state each.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+@contextlib.contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def normalised(text: str) -> Column:
@@ -29,7 +47,7 @@ def sha256(norm: Column) -> Column:
     return F.sha2(norm.cast("binary"), 256)
 
 
-def _stay(prefix: str = "") -> Column:
+def _stay() -> Column:
     """Order of preference: smallest doc_id, nulls last, then the row's place; the locator rides along."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_id"), F.col("locator"))
 
@@ -38,17 +56,12 @@ def _streamed_state(rows: DataFrame, max_files: int | None) -> DataFrame:
     """Runs the stream over the written digests and returns its state: digest, stay, n."""
     spark = rows.sparkSession
     path, checkpoint = rows._statefield_path, new_path(spark, "dedup-state")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        reader = spark.readStream.schema(rows.schema)
-        if max_files:
-            reader = reader.option("maxFilesPerTrigger", max_files)
-        keyed = reader.parquet(path).groupBy("digest").agg(F.min(_stay()).alias("stay"), F.count(F.lit(1)).alias("n"))
-        run = keyed.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        run.awaitTermination()
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    reader = spark.readStream.schema(rows.schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    keyed = reader.parquet(path).groupBy("digest").agg(F.min(_stay()).alias("stay"), F.count(F.lit(1)).alias("n"))
+    run = keyed.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
     state = spark.read.format("statestore").load(checkpoint)
     buffer = state.schema["value"].dataType.fieldNames()
     return state.select(F.col("key.digest").alias("digest"), F.col("value")[buffer[0]].alias("stay"), F.col("value")[buffer[1]].alias("n"))
@@ -71,12 +84,12 @@ def exact_dedup(docs: DataFrame, digest=sha256, max_files: int | None = None) ->
     rows = materialise(rows, "dedup-digests")
     if rows.isEmpty():
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
-    state = _streamed_state(rows, max_files)
-    grouped = rows.join(state, "digest")
-    grouped = materialise(
-        grouped.select("row_id", "doc_id", "digest", F.col("stay.doc_id").alias("keep_id"), F.col("stay.row_id").alias("keep_row"), F.col("n").alias("group_size")),
-        "dedup-groups",
-    )
+    with _state_store(spark):
+        state = _streamed_state(rows, max_files)
+        grouped = rows.join(state, "digest").select(
+            "row_id", "doc_id", "digest", F.col("stay.doc_id").alias("keep_id"), F.col("stay.row_id").alias("keep_row"), F.col("n").alias("group_size")
+        )
+        grouped = materialise(grouped, "dedup-groups")
     clashes = _clashes(docs, grouped, norm, digest)
     out = grouped
     if clashes is not None:

@@ -8,12 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, token_counts
+from . import bpe, exact_dedup, packing, simhash, substring_dedup, token_counts, url_filter
 from .shipping import ship
 
 #: A tokenizer file; every node has it, and it isn't part of this repository.
 BYTE_BPE = os.environ.get("STATEFIELD_BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
 
+#: The rules given for op3.
+URL_RULES = [
+    url_filter.Rule("org", "/", "allow"),
+    url_filter.Rule("example.org", "/es/", "block"),
+    url_filter.Rule("example.org", "/en/1", "block"),
+    url_filter.Rule("com", "/fr/", "allow"),
+    url_filter.Rule("com", "/de/", "block"),
+]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,6 +39,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(digested, BYTE_BPE).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages: the given rules, then templates by labelled purity."""
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, marks)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: 3-word shingles, up to 2 differing bits."""
     found = simhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, radius=2)
@@ -42,6 +57,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, BYTE_BPE)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages that an earlier document has, and the spans that went."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring_dedup.substring_dedup(docs)
+    return found.select("doc_id", "text", F.size("removed").alias("n_removed"), F.to_json("removed").alias("removed_spans"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -62,8 +84,10 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 def queries() -> dict[str, Query]:
     found = (
         op2_bpe,
+        op3_url_filter,
         op4_simhash,
         op7_token_counts,
+        op8_substring_dedup,
         op9_packing,
         op10_exact_dedup,
     )

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, substring_dedup, token_counts, url_filter
+from . import ann, bpe, exact_dedup, html_extract, language_id, packing, simhash, substring_dedup, token_counts, url_filter
 from .shipping import ship
 
 #: A tokenizer file; every node has it, and it isn't part of this repository.
@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all pages from text, markup, address suffix and host; the text model is fitted on labelled documents."""
+    model = language_id.fit_text(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang"))
+    found = language_id.identify(table(spark, sf_dir, "pages"), model, "page_id", text="html", address="url", markup=True)
+    return found.select("page_id", "language", F.round("confidence", 6).alias("confidence"), "letters", "rejected")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text, and the text decoded from them."""
     encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -51,6 +58,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of each vector whose id is divisible by 50; relax 1, so exact."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5, relax=1.0)
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after three edits each, by segment trees."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.standard_edits().alias("edits"))
@@ -83,9 +101,12 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 def queries() -> dict[str, Query]:
     found = (
+        op1_language_id,
         op2_bpe,
         op3_url_filter,
         op4_simhash,
+        op5_ann,
+        op6_html_extract,
         op7_token_counts,
         op8_substring_dedup,
         op9_packing,

@@ -97,37 +97,56 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, tile: int = TIL
                 yield i, j
 
 
-def linked(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, fingerprint) that span the links within a, or between a and b."""
+def linked(a: np.ndarray, b: np.ndarray | None, radius: int, accept=None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs into a, or into a and then b, that span the links within a, or between a and b.
+
+    accept: takes two index arrays and tells which pairs count.
+    """
+    order_a = np.argsort(np.bitwise_count(a), kind="stable")
+    order_b = None if b is None else np.argsort(np.bitwise_count(b), kind="stable")
+    n = len(a) + (0 if b is None else len(b))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    a = a[np.argsort(np.bitwise_count(a), kind="stable")]
-    b = None if b is None else b[np.argsort(np.bitwise_count(b), kind="stable")]
-    every = a if b is None else np.concatenate([a, b])
-    for i, j in near_pairs(a, b, radius):
-        m, r = forest(len(every), i, j if b is None else j + len(a))
-        found.append((every[m], every[r]))
+    for i, j in near_pairs(a[order_a], None if b is None else b[order_b], radius):
+        i, j = order_a[i], order_a[j] if b is None else order_b[j] + len(a)
+        if accept is not None:
+            fits = accept(i, j)
+            i, j = i[fits], j[fits]
+        found.append(forest(n, i, j))
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch], keys: list[str], node: str, pairs) -> Iterator[pa.RecordBatch]:
+    """Edges a, b between values of `node`; pairs(group) gives index pairs into the rows of side 0 and then side 1."""
     left, right, held = [], [], 0
-    for g in groups(batches, ["band", "value", "ta", "tb"]):
+
+    def take() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (left, right)], ["a", "b"])
+
+    for g in groups(batches, keys):
         if g.num_rows < 2:
             continue
-        fp = g.column("fp").to_numpy().view(np.uint64)
-        side = g.column("side").to_numpy()
-        x, y = linked(fp, None, radius) if not side.any() else linked(fp[side == 0], fp[side == 1], radius)
+        x, y = pairs(g)
         if len(x):
-            left.append(x)
-            right.append(y)
+            nodes = g.column(node).to_numpy()
+            left.append(nodes[x])
+            right.append(nodes[y])
             held += len(x)
         if held > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (left, right)], ["a", "b"])
+            yield take()
             left, right, held = [], [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (left, right)], ["a", "b"])
+        yield take()
+
+
+def _sides(g: pa.Table, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Fingerprints of side 0 and, if there are any, of side 1, and where their rows are."""
+    side = g.column("side").to_numpy()
+    if not side.any():
+        return fp, None, np.arange(len(fp))
+    zero, one = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return fp[zero], fp[one], np.concatenate([zero, one])
 
 
 def bands(fps: DataFrame, radius: int) -> DataFrame:
@@ -141,37 +160,45 @@ def bands(fps: DataFrame, radius: int) -> DataFrame:
     return fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(F.array(*each)).alias("x")).select("x.band", "x.value", "fp", "pop")
 
 
-def tile_pairs(blocks: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """Rows of blocks dealt to comparisons (band, value, ta, tb) with their side.
+def tile_pairs(blocks: DataFrame, radius: int, tile: int = TILE, key: tuple[str, ...] = ("band", "value"), salt: str = "fp") -> DataFrame:
+    """Rows of blocks dealt to comparisons (key, ta, tb) with their side; blocks has pop, the population count.
 
     A block of up to `tile` rows is one comparison. Of a larger one, rows are dealt by population count and a salt into
     tiles of about `tile` rows, and each pair of tiles whose counts can be within the radius is one comparison.
     """
-    key = ["band", "value"]
+    key, cols = list(key), blocks.columns
     large = materialise(blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select(*key), "large-blocks")
+    whole = lambda df: df.select(*cols, F.lit(-1).alias("ta"), F.lit(-1).alias("tb"), F.lit(0).alias("side"))
     if large.isEmpty():
-        return blocks.select(*key, F.lit(-1).alias("ta"), F.lit(-1).alias("tb"), "fp", F.lit(0).alias("side"))
-    small = blocks.join(large, key, "left_anti").select(*key, F.lit(-1).alias("ta"), F.lit(-1).alias("tb"), "fp", F.lit(0).alias("side"))
+        return whole(blocks)
     rows = blocks.join(large, key)
     counts = rows.groupBy(*key, "pop").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("salts"))
     tiles = counts.select(*key, "pop", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    name = F.col("pop") * 1_000_000 + F.col("salt")
-    tiles = materialise(tiles.select(*key, "pop", name.alias("t")), "tiles")
+    tiles = materialise(tiles.select(*key, "pop", (F.col("pop") * 1_000_000 + F.col("salt")).alias("t")), "tiles")
     other = tiles.select(*key, F.col("pop").alias("pop2"), F.col("t").alias("t2"))
     pairs = tiles.join(other, key).where((F.col("t") <= F.col("t2")) & (F.col("pop2") - F.col("pop") <= radius)).select(*key, F.col("t").alias("ta"), F.col("t2").alias("tb"))
     pairs = materialise(pairs, "tile-pairs")
-    dealt = rows.join(counts, [*key, "pop"]).withColumn("t", F.col("pop") * 1_000_000 + F.pmod(F.xxhash64("fp", F.lit(7)), F.col("salts")).cast("int"))
-    left = dealt.join(pairs.withColumn("t", F.col("ta")), [*key, "t"]).select(*key, "ta", "tb", "fp", F.lit(0).alias("side"))
-    right = dealt.join(pairs.where("ta <> tb").withColumn("t", F.col("tb")), [*key, "t"]).select(*key, "ta", "tb", "fp", F.lit(1).alias("side"))
-    return small.unionByName(left).unionByName(right)
+    dealt = rows.join(counts, [*key, "pop"]).withColumn("t", F.col("pop") * 1_000_000 + F.pmod(F.xxhash64(salt, F.lit(7)), F.col("salts")).cast("int"))
+    left = dealt.join(pairs.withColumn("t", F.col("ta")), [*key, "t"]).select(*cols, "ta", "tb", F.lit(0).alias("side"))
+    right = dealt.join(pairs.where("ta <> tb").withColumn("t", F.col("tb")), [*key, "t"]).select(*cols, "ta", "tb", F.lit(1).alias("side"))
+    return whole(blocks.join(large, key, "left_anti")).unionByName(left).unionByName(right)
+
+
+def _compared(dealt: DataFrame, key: list[str], node: str, pairs) -> DataFrame:
+    keys = [*key, "ta", "tb"]
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(lambda batches: _edges(batches, keys, node, pairs), "a long, b long")
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     """Edges a, b that span all links between the distinct fingerprints in column fp."""
-    dealt = tile_pairs(bands(fps, radius), radius, tile)
-    keys = ["band", "value", "ta", "tb"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(lambda batches: _edges(batches, radius), "a long, b long")
+
+    def pairs(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        a, b, at = _sides(g, g.column("fp").to_numpy().view(np.uint64))
+        x, y = linked(a, b, radius)
+        return at[x], at[y]
+
+    return _compared(tile_pairs(bands(fps, radius), radius, tile), ["band", "value"], "fp", pairs)
 
 
 def near_components(docs: DataFrame, words: int = 3, radius: int = 2, tile: int = TILE) -> DataFrame:
@@ -184,3 +211,90 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 2, tile: int
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Of near_duplicates: block keys of a text, and the radius within which texts of the least similarity lie but for a few in 10,000.
+KEYS, WIDE = 8, 20
+_MIX = [(0x9E3779B97F4A7C15 * (2 * i + 1) & (2**64 - 1)) | 1 for i in range(KEYS)]
+
+
+def _signature(hashes: np.ndarray) -> tuple[int, int, list[int]]:
+    """Fingerprint of the distinct shingles, their number, and for each key the shingle that comes first in its order."""
+    h = np.unique(hashes)
+    return fingerprint(h), len(h), [int(h[np.argmin((h ^ (h >> np.uint64(29))) * np.uint64(m))]) for m in _MIX]
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE, tile: int = TILE) -> DataFrame:
+    """doc_id, component_id of every document that has a near duplicate: Jaccard similarity of shingle sets of at least `similarity`.
+
+    Fingerprints within a wide radius don't agree on any band, so blocks are made by shingles instead: in each of KEYS
+    orders a document's first shingle is a key, and similar documents share one but for (1 - similarity) ** KEYS of them.
+    Blocks are compared as in fingerprint_links; the candidates' components are then verified by exact similarity.
+    Rows without doc_id or words take no part, rows of one doc_id count as one document.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(d, *_signature(h)) for d, t in zip(b.column(0).to_pylist(), b.column(1)) if len(h := shingle_hashes(t.as_py(), words))]
+            fp = pa.array(np.array([g[1] for g in got], np.uint64).view(np.int64))
+            keys = pa.array([np.array(g[3], np.uint64).view(np.int64).tolist() for g in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), fp, pa.array([g[2] for g in got], pa.int32()), keys], ["doc_id", "fp", "n", "keys"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null and text is not null")
+    signed = materialise(texts.mapInArrow(sign, "doc_id long, fp long, n int, keys array<long>"), "signatures")
+    blocks = signed.select("doc_id", "fp", F.bit_count("fp").alias("pop"), "n", F.posexplode("keys").alias("band", "value"))
+
+    def near(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        a, b, at = _sides(g, g.column("fp").to_numpy().view(np.uint64))
+        n = g.column("n").to_numpy()[at]
+        x, y = linked(a, b, radius, lambda i, j: np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+        return at[x], at[y]
+
+    loose = connected_components(_compared(tile_pairs(blocks, radius, tile), ["band", "value"], "doc_id", near))
+    loose = materialise(loose.select(F.col("node").alias("doc_id"), "root"), "candidates")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
+            fp = pa.array(np.array([fingerprint(h) for h in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array([h.tobytes() for h in sets], pa.binary())], ["doc_id", "root", "fp", "hashes"])
+
+    sets = texts.join(loose, "doc_id").select("doc_id", "root", "text").mapInArrow(hashed, "doc_id long, root long, fp long, hashes binary")
+
+    def similar(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        side = g.column("side").to_numpy()
+        return similar_pairs([np.frombuffer(h, np.uint64) for h in g.column("hashes").to_pylist()], similarity, side if side.any() else None)
+
+    sets = materialise(sets.withColumn("pop", F.bit_count("fp")), "shingle-sets")
+    edges = _compared(tile_pairs(sets, radius, tile, ("root",), "doc_id"), ["root"], "doc_id", similar)
+    return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that span the pairs of sets of at least that Jaccard similarity; with sides only pairs across them."""
+    sizes = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    has = np.zeros(int(ids.max()) + 1, np.int64)
+    left, right = [], []
+    for i in range(len(sets)):
+        if side is not None and side[i]:
+            continue
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        has[own] = 1
+        both = np.add.reduceat(has[ids], starts)
+        has[own] = 0
+        hit = both >= similarity * (sizes[i] + sizes - both) - 1e-9
+        hit[i] = False
+        if side is not None:
+            hit &= side == 1
+        j = np.flatnonzero(hit)
+        left.append(np.full(len(j), i))
+        right.append(j)
+    return forest(len(sets), np.concatenate(left), np.concatenate(right))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the documents whose component has one with a smaller doc_id."""
+    gone = near_duplicates(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -142,7 +142,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Features
 
-register("s1_panel", "panel", f"SELECT code, date, {rs('close volume trade_value')} FROM panel")(panel)
+register("s1_panel", "panel", f"SELECT code, date, {rs("volume trade_value")}, {r("close + 1e-9", "close")} FROM panel")(lambda s, d: panel(s, d).withColumn("close", F.col("close") + 1e-9))
 register("w1_raw_features", "feats", f"SELECT code, date, {rs('p r sigma v l flow')} FROM feats")(lambda s, d: features.raw_features(panel(s, d), P).select("code", "date", "p", "r", "sigma", "v", "l", "flow"))
 register("w3_z_scores", "zs", f"SELECT code, date, {rs('z_r z_sigma z_v z_flow')} FROM zs")(lambda s, d: features.z_scores(features.raw_features(panel(s, d), P), features.Z, P.w_z).select("code", "date", "z_r", "z_sigma", "z_v", "z_flow"))
 register("w4_state_vector", "states", f"SELECT code, date, bin_r, bin_sigma, bin_v, bin_flow, state_id FROM states")(lambda s, d: state_rows(s, d).select("code", "date", "bin_r", "bin_sigma", "bin_v", "bin_flow", "state_id"))

@@ -38,6 +38,19 @@ def stability(matrix: DataFrame, kept: DataFrame) -> DataFrame:
     return out.select("z", "s", (1 - F.col("s")).alias("leakage"), ratio(F.col("s"), 1 - F.col("s")).alias("attractor"))
 
 
+def ev_variants(edge: DataFrame, stable: DataFrame, cost: float = DEFAULT.cost, horizon: int = DEFAULT.horizon, n: int = 3) -> DataFrame:
+    """Membership of each positive-edge state in the seven selections A to G.
+
+    A positive edge, B above the cost, C above the cost spread over the horizon, D ranked by edge times stability, E and F as C
+    and B with stability above one half, G the n largest edges. Four classes: B cost, E stability, C horizon, G unstable.
+    """
+    rows = edge.where("e > 0").join(stable.select("z", "s"), "z")
+    rank = lambda c: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(c), "z"))
+    rows = rows.withColumn("weighted", F.col("e") * F.col("s"))
+    above, spread, firm = F.col("e") > cost, F.col("e") > cost / horizon, F.col("s") > 0.5
+    return rows.select("z", F.lit(True).alias("a"), above.alias("b"), spread.alias("c"), rank("weighted").cast("long").alias("d_rank"), (firm & spread).alias("e"), (firm & above).alias("f"), (rank("e") <= n).alias("g"))
+
+
 def spectrum(t: np.ndarray) -> dict[str, float]:
     """Eigenvalue sizes, gap, mixing time and leakage of a small substochastic matrix."""
     values = np.sort(np.abs(np.linalg.eigvals(t)))[::-1]

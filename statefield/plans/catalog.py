@@ -305,6 +305,10 @@ register("u2_universe_leak", "panel", "SELECT DISTINCT code FROM panel WHERE cod
 register("d1_ev_surface", "mtr", f"SELECT state_id, macro_regime AS macro, count(*) AS n, {r('avg(ret_net)', 'ev')}, {r('stddev_samp(ret_net) / sqrt(count(*))', 'se')}, {r('CASE WHEN stddev_samp(ret_net) > 0 THEN avg(ret_net) / (stddev_samp(ret_net) / sqrt(count(*))) END', 't')} FROM mtr GROUP BY 1, 2")(lambda s, d: surfaces.ev_surface(trades(s, d), macro_labels(s, d)))
 register("d3_positive_set", "hes", f"SELECT z, n, {r('n / (SELECT sum(n) FROM hes)', 'coverage')} FROM hes WHERE e > 0")(lambda s, d: surfaces.positive_set(latent.edge_state(hidden(s, d))))
 register("d4_stability", "hes hmat", f"SELECT z, {r('s')}, {r('1 - s', 'leakage')}, {r('s / (1 - s)', 'attractor')} FROM (SELECT z, sum(t) AS s FROM hmat WHERE z IN (SELECT z FROM hes WHERE e > 0) AND z_next IN (SELECT z FROM hes WHERE e > 0) GROUP BY 1)")(lambda s, d: surfaces.stability(latent.transition_matrix(hidden(s, d)), surfaces.positive_set(latent.edge_state(hidden(s, d)))))
+register("d7_ev_variants", "hes hmat", f"""SELECT z, true AS a, e > {P.cost} AS b, e > {P.cost / P.horizon} AS c, row_number() OVER (ORDER BY e * s DESC, z) AS d_rank, s > 0.5 AND e > {P.cost / P.horizon} AS e, s > 0.5 AND e > {P.cost} AS f, row_number() OVER (ORDER BY e DESC, z) <= 3 AS g
+  FROM (SELECT * FROM hes WHERE e > 0) JOIN (SELECT z, sum(t) AS s FROM hmat WHERE z IN (SELECT z FROM hes WHERE e > 0) AND z_next IN (SELECT z FROM hes WHERE e > 0) GROUP BY 1) USING (z)""")(
+    lambda s, d: surfaces.ev_variants(latent.edge_state(hidden(s, d)), surfaces.stability(latent.transition_matrix(hidden(s, d)), surfaces.positive_set(latent.edge_state(hidden(s, d)))), P.cost, P.horizon)
+)
 register("d8_equal_weights", "hes hid", f"SELECT date, code, {r('1.0 / count(*) OVER (PARTITION BY date)', 'weight')} FROM hid WHERE Z_t IN (SELECT z FROM hes WHERE e > 0)")(lambda s, d: surfaces.equal_weights(hidden(s, d), surfaces.positive_set(latent.edge_state(hidden(s, d)))))
 half = lambda x: f"SELECT Z_t, count(*) / sum(count(*)) OVER () AS {x} FROM hid WHERE {'date < ' if x == 'a' else 'date >= '} DATE '{P.test_start}' GROUP BY 1"
 register("d12_psi", "hid", f"SELECT {r('sum((b - a) * ln(b / a))', 'psi')} FROM (SELECT greatest(coalesce(a, 0.0), 1e-6) AS a, greatest(coalesce(b, 0.0), 1e-6) AS b FROM ({half('a')}) FULL JOIN ({half('b')}) USING (Z_t))")(

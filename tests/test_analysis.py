@@ -212,3 +212,9 @@ def test_streamed_ingest(spark, tmp_path):
     for _ in range(2):
         ingest(spark, str(tmp_path / "land"), rows.schema, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_command_line_tells_unbuilt_reports(spark, tmp_path):
+    from statefield import cli
+
+    assert cli.main(["summary", "--out", str(tmp_path)]) == 2

@@ -28,17 +28,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Tables of this process that release() may drop.
+_temporary: list[DataFrame] = []
+
+
+def materialise(df: DataFrame, name: str, temporary: bool = True) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._statefield_path = path
+    if temporary:
+        _temporary.append(out)
     return out
 
 
+def release() -> None:
+    """Drops the temporary tables made so far. Call it only when all that was made from them has been written."""
+    while _temporary:
+        drop_table(_temporary.pop())
+
+
 def drop_table(df: DataFrame) -> None:
-    """Removes a table that materialise wrote and that no later plan reads."""
+    """Removes a table that materialise wrote and that no later plan reads; once more does nothing."""
     path = getattr(df, "_statefield_path", None)
     if path:
         jvm, spark = df.sparkSession._jvm, df.sparkSession

@@ -25,6 +25,8 @@ from .common import groups, materialise
 from .components import connected_components
 
 TILE = 1024
+#: More than the tiles of one range of population counts in one block.
+SALTS = 30_000_000
 
 
 def shingle_hashes(text: bytes | None, words: int, seed: int = 42) -> np.ndarray:
@@ -163,22 +165,23 @@ def bands(fps: DataFrame, radius: int) -> DataFrame:
 def tile_pairs(blocks: DataFrame, radius: int, tile: int = TILE, key: tuple[str, ...] = ("band", "value"), salt: str = "fp") -> DataFrame:
     """Rows of blocks dealt to comparisons (key, ta, tb) with their side; blocks has pop, the population count.
 
-    A block of up to `tile` rows is one comparison. Of a larger one, rows are dealt by population count and a salt into
-    tiles of about `tile` rows, and each pair of tiles whose counts can be within the radius is one comparison.
+    A block of up to `tile` rows is one comparison. Of a larger one, rows are dealt by ranges of radius + 1 population
+    counts, and by a salt within a range, into tiles of about `tile` rows. Only tiles of the same or of neighbouring ranges
+    can hold pairs within the radius; each such pair of tiles is one comparison.
     """
     key, cols = list(key), blocks.columns
     large = materialise(blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select(*key), "large-blocks")
     whole = lambda df: df.select(*cols, F.lit(-1).alias("ta"), F.lit(-1).alias("tb"), F.lit(0).alias("side"))
     if large.isEmpty():
         return whole(blocks)
-    rows = blocks.join(large, key)
-    counts = rows.groupBy(*key, "pop").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("salts"))
-    tiles = counts.select(*key, "pop", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    tiles = materialise(tiles.select(*key, "pop", (F.col("pop") * 1_000_000 + F.col("salt")).alias("t")), "tiles")
-    other = tiles.select(*key, F.col("pop").alias("pop2"), F.col("t").alias("t2"))
-    pairs = tiles.join(other, key).where((F.col("t") <= F.col("t2")) & (F.col("pop2") - F.col("pop") <= radius)).select(*key, F.col("t").alias("ta"), F.col("t2").alias("tb"))
+    rows = blocks.join(large, key).withColumn("span", F.floor(F.col("pop") / (radius + 1)).cast("int"))
+    counts = rows.groupBy(*key, "span").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("salts"))
+    tiles = counts.select(*key, "span", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    tiles = materialise(tiles.select(*key, "span", (F.col("span") * SALTS + F.col("salt")).alias("t")), "tiles")
+    other = tiles.select(*key, F.col("span").alias("span2"), F.col("t").alias("t2"))
+    pairs = tiles.join(other, key).where((F.col("t") <= F.col("t2")) & (F.col("span2") - F.col("span") <= 1)).select(*key, F.col("t").alias("ta"), F.col("t2").alias("tb"))
     pairs = materialise(pairs, "tile-pairs")
-    dealt = rows.join(counts, [*key, "pop"]).withColumn("t", F.col("pop") * 1_000_000 + F.pmod(F.xxhash64(salt, F.lit(7)), F.col("salts")).cast("int"))
+    dealt = rows.join(counts, [*key, "span"]).withColumn("t", F.col("span") * SALTS + F.pmod(F.xxhash64(salt, F.lit(7)), F.col("salts")).cast("int"))
     left = dealt.join(pairs.withColumn("t", F.col("ta")), [*key, "t"]).select(*cols, "ta", "tb", F.lit(0).alias("side"))
     right = dealt.join(pairs.where("ta <> tb").withColumn("t", F.col("tb")), [*key, "t"]).select(*cols, "ta", "tb", F.lit(1).alias("side"))
     return whole(blocks.join(large, key, "left_anti")).unionByName(left).unionByName(right)

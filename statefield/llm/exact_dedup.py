@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_table, materialise, new_path, text_or_empty
+from .common import SPACE, materialise, new_path, text_or_empty
 
 #: The state is on disk; without preallocation, as many partitions have a small state each.
 STATE_STORE = {
@@ -106,10 +106,9 @@ def _clashes(docs: DataFrame, grouped: DataFrame, norm: Column, digest) -> DataF
     hit = texts.join(hits.select("doc_id", "digest").distinct(), (texts["doc_id"].eqNullSafe(hits["doc_id"])) & (texts["digest"] == hits["digest"]), "left_semi")
     kept = hit.join(stays, (hit["doc_id"].eqNullSafe(stays["doc_id"])) & (hit["digest"] == stays["digest"]), "left_semi")
     first = kept.select(F.col("digest").alias("d"), F.col("norm").alias("stays"))
-    differ = hit.join(first, F.col("digest") == F.col("d")).where(F.col("norm") != F.col("stays")).select("digest").distinct()
-    differ = materialise(differ, "dedup-clashes")
+    differ = hit.join(first, F.col("digest") == F.col("d")).where(F.col("norm") != F.col("stays")).select("digest")
+    differ = materialise(differ, "dedup-clashes").distinct()  # apart from the join, so that a hot digest's rows can be split
     if differ.isEmpty():
-        drop_table(differ)
         return None
     by_bytes = texts.join(differ, "digest", "left_semi").withColumn("row_id", F.monotonically_increasing_id())
     by_bytes = materialise(by_bytes, "dedup-clash-texts")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statefield.llm import exact_dedup, language_id, packing, simhash, substring_dedup
-from statefield.llm.common import materialise
+from statefield.llm.common import materialise, release
 from statefield.llm.queries import BYTE_BPE
 from statefield.llm.shipping import ship
 
@@ -45,6 +47,17 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, BYTE_BPE)
 
 
+def _after_release(stage):
+    """A stage that first drops the tables of the stage before, whose rows have been written by then."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release()
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
     ("language_id", identify_language),
     ("exact_dedup", drop_exact_copies),
@@ -52,6 +65,7 @@ STAGES = [
     ("substring_dedup", drop_repeated_passages),
     ("packing", pack_sequences),
 ]
+STAGES = [(name, _after_release(stage)) for name, stage in STAGES]
 
 #: SQL can't express the trained language model, the fingerprints or the packing.
 ORACLE_SQL = None
@@ -61,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), name, temporary=False)
     return docs

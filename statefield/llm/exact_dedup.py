@@ -102,9 +102,10 @@ def _clashes(docs: DataFrame, grouped: DataFrame, norm: Column, digest) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"))
     texts = texts.withColumn("digest", digest(F.col("norm")))
     hits = grouped.where("group_size > 1")
-    stays = hits.where("row_id = keep_row").select("digest", "doc_id")
-    hit = texts.join(hits.select("doc_id", "digest").distinct(), (texts["doc_id"].eqNullSafe(hits["doc_id"])) & (texts["digest"] == hits["digest"]), "left_semi")
-    kept = hit.join(stays, (hit["doc_id"].eqNullSafe(stays["doc_id"])) & (hit["digest"] == stays["digest"]), "left_semi")
+    ids = materialise(hits.select(F.col("doc_id").alias("_id")).distinct(), "dedup-hits")  # so that its size is known
+    stays = materialise(hits.where("row_id = keep_row").select("digest", F.col("doc_id").alias("_id")), "dedup-stays")
+    hit = texts.join(ids, texts["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    kept = hit.join(stays, hit["doc_id"].eqNullSafe(stays["_id"]) & (hit["digest"] == stays["digest"]), "left_semi")
     first = kept.select(F.col("digest").alias("d"), F.col("norm").alias("stays"))
     differ = hit.join(first, F.col("digest") == F.col("d")).where(F.col("norm") != F.col("stays")).select("digest")
     differ = materialise(differ, "dedup-clashes").distinct()  # apart from the join, so that a hot digest's rows can be split
@@ -119,17 +120,15 @@ def _clashes(docs: DataFrame, grouped: DataFrame, norm: Column, digest) -> DataF
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    found = exact_dedup(docs)
+    found = materialise(exact_dedup(docs), "dedup-found")
+    per_id = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("kept")).alias("dropped"))
+    mixed = materialise(per_id.where("(rows > 1 or _id is null) and dropped > 0").select("_id"), "dedup-mixed")
+    gone = materialise(per_id.where("rows = 1 and dropped = 1 and _id is not null").select("_id"), "dedup-gone")
+    out = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    if mixed.isEmpty():
+        return out
     norm = sha256(normalised("text"))
-    drop = found.where("not kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_drop"))
-    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.lit(1).alias("_keep"))
-    twice = drop.join(kept, F.expr("true") & drop["_id"].eqNullSafe(kept["_id"]) & (drop["_sha"] == kept["_sha"]), "left_semi")
-    gone = materialise(drop.join(twice.select(F.col("_id").alias("i"), F.col("_sha").alias("s")), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_sha") == F.col("s")), "left_anti").select("_id", "_sha"), "dedup-gone")
-    again = materialise(twice.select("_id", "_sha"), "dedup-twice")
-    cols = docs.columns
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (norm == gone["_sha"]), "left_anti")
-    if not again.isEmpty():
-        key = docs["doc_id"].eqNullSafe(again["_id"]) & (norm == again["_sha"])
-        once = out.join(again, key, "left_semi").withColumn("_sha", norm).dropDuplicates(["doc_id", "_sha"]).select(*cols)
-        out = out.join(again, key, "left_anti").unionByName(once)
-    return out
+    stay = found.where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
+    odd = out.join(mixed, out["doc_id"].eqNullSafe(mixed["_id"]), "left_semi").withColumn("_digest", norm)
+    odd = odd.join(stay, odd["doc_id"].eqNullSafe(stay["_kept"]) & (odd["_digest"] == stay["_sha"]), "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return out.join(mixed, out["doc_id"].eqNullSafe(mixed["_id"]), "left_anti").unionByName(odd.select(*docs.columns))

@@ -300,4 +300,5 @@ def similar_pairs(sets: list[np.ndarray], similarity: float, side: np.ndarray |
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the documents whose component has one with a smaller doc_id."""
     gone = near_duplicates(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone = materialise(gone, "near-gone")  # so that its size is known
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -18,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ship(spark)
     model = language_id.fit_text(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
     found = language_id.identify(docs, model, "doc_id", declared="lang", address="source")
-    gone = found.where("rejected").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialise(found.where("rejected").select(F.col("doc_id").alias("_gone")).distinct(), "language-gone")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 

@@ -18,12 +18,13 @@ import functools
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,72 +150,79 @@ class Trie:
         return out
 
 
+class _Cells(dict):
+    """Chunk -> its ids, little-endian unsigned 32-bit. An unknown chunk gets an empty cell, which `new` lists for filling."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> bytearray:
+        cell = self[chunk] = bytearray()
+        self.new.append(chunk)
+        return cell
+
+
 class Encoder:
-    """Encodes texts; `value` makes what is cached for a chunk from its ids (little-endian unsigned 32-bit)."""
+    """Encodes texts. Words come from the trie, or where `plain` is set from tiktoken with the same vocabulary."""
 
-    def __init__(self, path: str, value: Callable[[bytes], object] = lambda ids: ids, special: bool = True):
+    def __init__(self, path: str, special: bool = True, plain: bool = False):
         self.vocab = vocabulary(path)
         self.pattern = regex.compile(PATTERN)
-        self.value = value
         self.special = self.vocab.split_special if special else None
+        self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=self.vocab.ids, special_tokens={}) if plain else None
         self.words: dict[str, bytes] = {}
-        self.spaced: dict[str, object] = {}  # by what follows a space
-        self.other: dict[str, object] = {}
-
-    def _learn(self, spaced: set[str], other: set[str]) -> None:
+        self.spaced = _Cells()  # by what follows a space
+        self.other = _Cells()
+
+    def _learn(self) -> None:
+        """Fills the cells that are new."""
+        todo = [(" " + c, self.spaced[c]) for c in self.spaced.new] + [(c, self.other[c]) for c in self.other.new]
+        self.spaced.new, self.other.new = [], []
+        if self.plain:
+            for chunk, cell in todo:
+                cell += array("I", self.plain.encode_ordinary(chunk)).tobytes()
+            return
         if len(self.words) > CACHE:
             self.words.clear()
-        cut = [(c, self.pattern.findall(" " + c), self.spaced) for c in spaced] + [(c, self.pattern.findall(c), self.other) for c in other]
-        new = {w for _, words, _ in cut for w in words} - self.words.keys()
+        cut = [(self.pattern.findall(c), cell) for c, cell in todo]
+        new = {w for words, _ in cut for w in words} - self.words.keys()
         for w, ids in Trie(self.vocab).encode([w.encode() for w in new]).items():
             self.words[w.decode()] = array("I", ids).tobytes()
-        for c, words, cache in cut:
-            cache[c] = self.value(b"".join([self.words[w] for w in words]))
-
-    def values(self, texts: Iterable[str]) -> list[list[object]]:
-        """For each text the cached values of its chunks, in order."""
-        for cache in (self.spaced, self.other):
-            if len(cache) > CACHE:
-                cache.clear()
-        plans: list[list[tuple[bool, list[str]]]] = []
-        spaced: set[str] = set()
-        other: set[str] = set()
-        known, seen = self.spaced, self.other
+        for words, cell in cut:
+            cell += b"".join([self.words[w] for w in words])
+
+    def cells(self, texts: Iterable[str]) -> list[list[bytes | bytearray]]:
+        """For each text the ids of its chunks, in order."""
+        if len(self.spaced) > CACHE:
+            self.spaced = _Cells()
+        if len(self.other) > CACHE // 4:
+            self.other = _Cells()
+        spaced, other, out = self.spaced.__getitem__, self.other.__getitem__, []
         for text in texts:
-            plan: list[tuple[bool, list[str]]] = []
+            got: list[bytes | bytearray] = []
             parts = self.special.split(text) if self.special and text else [text]
             for k, part in enumerate(parts):
                 if k % 2:
-                    plan.append((False, ["\0special" + part]))
-                    if plan[-1][1][0] not in seen:
-                        seen[plan[-1][1][0]] = self.value(np.array([self.vocab.special[part]], "<u4").tobytes())
+                    got.append(array("I", [self.vocab.special[part]]).tobytes())
                 elif part and _UNSAFE.search(part):
-                    chunks = _CUT.split(part)
-                    plan.append((False, chunks))
-                    other.update(c for c in chunks if c not in seen)
+                    got += map(other, _CUT.split(part))
                 elif part:
                     first, *rest = part.split(" ")
                     if first:
-                        plan.append((False, [first]))
-                        if first not in seen:
-                            other.add(first)
-                    plan.append((True, rest))
-                    spaced.update([c for c in rest if c not in known])
-            plans.append(plan)
-        if spaced or other:
-            self._learn(spaced, other)
-        out = []
-        for plan in plans:
-            got: list[object] = []
-            for is_spaced, chunks in plan:
-                cache = known if is_spaced else seen
-                got += [cache[c] for c in chunks]
+                        got.append(other(first))
+                    got += map(spaced, rest)
             out.append(got)
+        if self.spaced.new or self.other.new:
+            self._learn()
         return out
 
     def ids(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
-        return [b"".join(v) for v in self.values(texts)]
+        return [b"".join(v) for v in self.cells(texts)]
+
+    def counts(self, texts: Iterable[str]) -> list[list[int]]:
+        """For each text the number of ids of each of its chunks."""
+        return [[len(c) // 4 for c in v] for v in self.cells(texts)]
 
     def decode(self, ids: np.ndarray) -> str:
         if len(ids) and (ids.min() < 0 or ids.max() >= self.vocab.size or not self.vocab.known[ids].all()):
@@ -224,8 +232,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special: bool = True, plain: bool = False) -> Encoder:
+    """The encoder of this Python process, with its caches."""
+    return Encoder(path, special, plain)
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

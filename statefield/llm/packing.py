@@ -121,7 +121,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIEC
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = encoder(path), _Packer(TaskContext.get().partitionId(), capacity, piece, block)
+        enc, packer = encoder(path, plain=True), _Packer(TaskContext.get().partitionId(), capacity, piece, block)
         for b in small_batches(batches, "text"):
             for doc, ids in zip(b.column(0).to_pylist(), enc.ids(t or "" for t in b.column(1).to_pylist())):
                 packer.add(doc, ids + b"\0\0\0\0")

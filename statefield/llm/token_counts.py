@@ -12,7 +12,6 @@ Strings of special tokens are ordinary text here. Repeated rows are counted once
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -20,16 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, small_batches
+from .bpe import Encoder, encoder, small_batches
 
 LEAF = 32
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 SCHEMA = "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_chars_edited long, chunks long, chunks_encoded long"
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str) -> Encoder:
-    return Encoder(path, value=lambda ids: len(ids) // 4, special=False)
+    return encoder(path, special=False)
 
 
 class CountTree:
@@ -51,7 +49,7 @@ class CountTree:
             self._sum(i)
 
     def _counts(self, chunks: list[str]) -> list[int]:
-        return [sum(v) for v in self.enc.values(chunks)]
+        return [sum(v) for v in self.enc.counts(chunks)]
 
     def _sum(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -123,7 +121,7 @@ def count_tokens(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
         for b in small_batches(batches, "text"):
             texts = [t or "" for t in b.column(1).to_pylist()]
             cut = [_CUT.split(t) if t else [] for t in texts]
-            flat = enc.values([t for t in texts])
+            flat = enc.counts(texts)
             rows = []
             for doc, text, chunks, counts, todo in zip(b.column(0).to_pylist(), texts, cut, flat, b.column(2).to_pylist()):
                 tree = CountTree(text, enc, counts if len(counts) == len(chunks) else None)

@@ -218,13 +218,21 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 2, tile: int
 
 #: Of near_duplicates: block keys of a text, and the radius within which texts of the least similarity lie but for a few in 10,000.
 KEYS, WIDE = 8, 20
-_MIX = [(0x9E3779B97F4A7C15 * (2 * i + 1) & (2**64 - 1)) | 1 for i in range(KEYS)]
+_SEEDS = np.random.default_rng(42).integers(0, 2**64, KEYS, dtype=np.uint64)
+
+
+def _order(h: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """Ranks of the hashes in one of the orders, which are independent: splitmix64 of the hash under the seed."""
+    x = h ^ seed
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _signature(hashes: np.ndarray) -> tuple[int, int, list[int]]:
     """Fingerprint of the distinct shingles, their number, and for each key the shingle that comes first in its order."""
     h = np.unique(hashes)
-    return fingerprint(h), len(h), [int(h[np.argmin((h ^ (h >> np.uint64(29))) * np.uint64(m))]) for m in _MIX]
+    return fingerprint(h), len(h), [int(h[np.argmin(_order(h, s))]) for s in _SEEDS]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE, tile: int = TILE) -> DataFrame:

@@ -138,6 +138,17 @@ def test_similar_pairs_span_the_components():
     assert dict(zip(member.tolist(), root.tolist())) == {1: 0, 2: 0, 4: 3}
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.9])
+def test_similar_sets_share_a_key(similarity):
+    rng, missed, pairs, n = np.random.default_rng(3), 0, 10_000, 90
+    for _ in range(pairs):
+        both = round(2 * n * similarity / (1 + similarity))
+        h = rng.integers(0, 2**64, 2 * n - both, dtype=np.uint64)
+        a, b = (simhash._signature(x)[2] for x in (h[:n], h[n - both :]))
+        missed += not any(x == y for x, y in zip(a, b))
+    assert missed <= 2
+
+
 def test_units_are_cut_alike_wherever_a_passage_stands():
     rng = random.Random(2)
     passage = " ".join("".join(rng.choice("aeiounrst") for _ in range(5)) for _ in range(70))

@@ -130,6 +130,14 @@ def test_substring_dedup(spark, docs):
     assert substring_dedup.substring_dedup(empty(docs)).count() == 0
 
 
+def test_passage_of_51_words_within_sentences(spark):
+    word = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:7] + ("." if i % 17 == 0 else "")
+    one, two, passage = ([word(i) for i in range(*r)] for r in ((0, 60), (100, 160), (207, 258)))
+    rows = [(i, " ".join(x[:n] + passage + x[n:])) for i, x, n in ((1, one, 25), (2, two, 40))]
+    got = {r.doc_id: r.text for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: " ".join(two)}
+
+
 RULES = [url_filter.Rule("org", "/", "allow"), url_filter.Rule("example.org", "/es/", "block"), url_filter.Rule("example.org", "/en/1", "block"), url_filter.Rule("com", "/fr/", "allow"), url_filter.Rule("com", "/de/", "block")]
 
 

@@ -167,6 +167,32 @@ def test_runs_below_the_least_words_stay():
     assert substring_dedup.removed_runs(text, {0: {b"other"}}, run_words=1) == []
 
 
+@pytest.mark.parametrize("least, most", [(8, 20), (15, 24), (20, 45), (10**6, 10**6)])
+def test_passages_inserted_within_sentences_go_whole(least, most):
+    rng = random.Random(4)
+
+    def prose(n):
+        out, left = [], rng.randint(1, most)
+        for _ in range(n):
+            out.append("".join(rng.choice("aeiounrst") for _ in range(7)))
+            left -= 1
+            if not left:
+                out[-1] += "."
+                left = rng.randint(least, most)
+        return out
+
+    for _ in range(200):
+        passage = prose(51)
+        one, two = prose(150), prose(150)
+        a, b = rng.randint(0, 150), rng.randint(0, 150)
+        early, late = (" ".join(x[:i] + passage + x[i:]) for x, i in ((one, a), (two, b)))
+        places = {substring_dedup.digest(u): (s, e) for s, e, n, u in substring_dedup.units(early) if n >= substring_dedup.UNIT_WORDS}
+        around = {d: (substring_dedup._words_before(early, s), substring_dedup._words_after(early, e)) for d, (s, e) in places.items()}
+        marks = {i: {substring_dedup.digest(u[3])} for i, u in enumerate(substring_dedup.units(late)) if substring_dedup.digest(u[3]) in around}
+        spans = substring_dedup.removed_runs(late, marks, around=around)
+        assert substring_dedup.cut(late, spans).split() == two
+
+
 def test_exact_search_equals_brute_force():
     rng = np.random.default_rng(7)
     x = rng.normal(size=(700, 8))

@@ -14,12 +14,19 @@ from statefield.llm.shipping import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; `lang` counts as declared, `source` as the host."""
+    """Documents whose language can be told; `lang` counts as declared, `source` as the host.
+
+    Every row is decided by itself, whatever rows share its doc_id or lack one. Rows are told apart by a digest of the
+    columns that evidence comes from; those equal in all of them and in doc_id have one verdict.
+    """
     ship(spark)
     model = language_id.fit_text(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
-    found = language_id.identify(docs, model, "doc_id", declared="lang", address="source")
-    gone = materialise(found.where("rejected").select(F.col("doc_id").alias("_gone")).distinct(), "language-gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    known = [F.coalesce(c, F.lit("")) for c in ("lang", "source", "text")]
+    row = F.struct("doc_id", F.unhex(F.sha2(F.concat(*(x for c in known for x in (F.length(c), F.lit(":"), c))), 256)).alias("digest"))
+    found = language_id.identify(docs.withColumn("_row", row), model, "_row", declared="lang", address="source")
+    gone = materialise(found.where("rejected").select(F.col("_row.doc_id").alias("_gone"), F.col("_row.digest").alias("_digest")).distinct(), "language-gone")
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (row["digest"] == gone["_digest"])
+    return docs.join(gone, same, "left_anti")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

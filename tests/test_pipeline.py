@@ -1,0 +1,12 @@
+"""Stages of the corpus pipeline."""
+
+import corpus_pipeline
+
+
+def test_language_is_decided_row_by_row(spark):
+    clean = ["the cat sat on the mat and looked at the moon", "der Hund liegt auf dem Bett und schaut den Mond an"]
+    rows = [(i, clean[i % 2] + f" {i}", ("en", "de")[i % 2], "web") for i in range(20)]
+    rows += [(None, clean[0], "en", "web"), (None, "", "en", "web"), (3, "12 34", "de", "web"), (50, None, None, None), (51, "...", "en", "web"), (51, "...", "en", "web")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.identify_language(spark, docs, "")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows[:21], key=str)

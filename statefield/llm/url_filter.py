@@ -1,21 +1,22 @@
 """URL filters: given rules, then a path-template tree per host.
 
 Every host's paths form a tree of segments. Segments that are numbers, digests or dates in form become typed wildcards;
-below a node with many children, those that each hold little become wildcards too. Leaf templates whose labelled
-purity doesn't differ from that of their siblings are merged into one branch. The bad share of a branch is smoothed by that of
+below a node with many children, those that each hold little become wildcards too, unless the labelled purity of a child,
+or of a path below it, differs from that of its siblings. Templates whose labelled purity doesn't differ from that of
+their siblings are merged into one branch, and so are, level by level up to the host, the merged branches. The bad share of a branch is smoothed by that of
 the host, and that by the overall share; branches above the threshold are rejected. All stages are grouped aggregations of
 counts, so a host with a third of all rows is pre-aggregated before any shuffle.
 
 Defined results: a null url or one without :// has empty host and path, matches no rule and is judged as its template;
 labels are counted once per row and rows without label count for the tree's form only; repeated rows are judged alike.
-Empty tables give no rows. Paths deeper than max_depth share the rest as one wildcard.
+Empty tables give no rows. Paths are taken to their full depth, trailing empty segments don't count.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -66,50 +67,99 @@ def typed(segment: Column) -> Column:
     )
 
 
-def _segments(path: Column, max_depth: int) -> list[Column]:
-    parts = F.split(F.ltrim(path, F.lit("/")), "/")
-    each = [F.coalesce(typed(F.get(parts, F.lit(i))), F.lit("")) for i in range(max_depth)]
-    return [*each, F.when(F.size(parts) > max_depth, F.lit("{rest}")).otherwise(F.lit(""))]
+def _segments(path: Column) -> Column:
+    """Typed segments of the whole path."""
+    return F.transform(F.split(F.rtrim(F.ltrim(path, F.lit("/")), F.lit("/")), "/"), typed)
 
 
-def templates(urls: DataFrame, max_depth: int = 4, most_children: int = 32, heavy: float = 0.05) -> DataFrame:
-    """Generalised paths: host, s0.. (typed segments), template, n, labelled, bad. urls: host, path, bad (null: no label)."""
-    segs = [f"s{i}" for i in range(max_depth + 1)]
-    typed_rows = urls.select("host", "bad", *(c.alias(s) for c, s in zip(_segments(F.col("path"), max_depth), segs)))
-    tree = typed_rows.groupBy("host", *segs).agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
-    tree = materialise(tree.select("*", *(F.col(s).alias(f"t{i}") for i, s in enumerate(segs))), "url-tree")
-    for i in range(max_depth):
-        above = ["host", *(f"t{j}" for j in range(i))]
-        children = tree.groupBy(*above, f"t{i}").agg(F.sum("n").alias("own"))
-        node = children.groupBy(*above).agg(F.count(F.lit(1)).alias("kinds"), F.sum("own").alias("all")).where(F.col("kinds") > most_children)
-        wide = children.join(node, above).where(F.col("own") < heavy * F.col("all")).select(*above, f"t{i}", F.lit(True).alias("wild"))
-        tree = tree.join(wide, [*above, f"t{i}"], "left").withColumn(f"t{i}", F.when(F.col("wild"), F.lit("*")).otherwise(F.col(f"t{i}"))).drop("wild")
-    template = F.concat(F.lit("/"), F.rtrim(F.concat_ws("/", *(f"t{i}" for i in range(max_depth + 1))), F.lit("/")))
-    return tree.select("host", *segs, template.alias("template"), "n", "labelled", "bad")
+def _differs(bad: Column, labelled: Column, all_bad: Column, all_labelled: Column, z: float) -> Column:
+    """Whether the labelled purity of a part differs from that of the rest of the whole, by z standard errors."""
+    rest_n, rest_bad, pooled = all_labelled - labelled, all_bad - bad, F.try_divide(all_bad, all_labelled)
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), labelled) + F.try_divide(F.lit(1.0), rest_n)))
+    return F.coalesce(F.abs(F.try_divide(bad, labelled) - F.try_divide(rest_bad, rest_n)) > z * error, F.lit(False))
+
+
+def _depth(tree: DataFrame, rank: int) -> int:
+    """The greatest depth that at least `rank` of one host's rows have or exceed; no node at or below it has more children."""
+    depths = tree.groupBy("host", F.size("t").alias("depth")).agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy("host").orderBy(F.desc("depth")))
+    return depths.withColumn("rows", upto).where(F.col("rows") >= rank).agg(F.max("depth")).first()[0] or 0
+
+
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
+
+
+def templates(urls: DataFrame, most_children: int = 32, heavy: float = 0.05, z: float = 2.0) -> DataFrame:
+    """Generalised paths: host, segs (typed segments), t (those of the template), n, labelled, bad. urls: host, path, bad (null: no label)."""
+    rows = urls.select("host", "bad", _segments(F.col("path")).alias("segs"))
+    tree = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
+    tree = materialise(tree.select("*", F.col("segs").alias("t")), "url-tree")
+    deepest = _depth(tree, most_children + 1)
+    for i in range(deepest):
+        at = tree.where(F.size("t") > i).withColumn("up", F.slice("t", 1, i)).withColumn("child", F.col("t")[i])
+        children = at.groupBy("host", "up", "child").agg(*_sums())
+        node = children.groupBy("host", "up").agg(F.count(F.lit(1)).alias("kinds"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad"))).where(F.col("kinds") > most_children)
+        node = materialise(node, "url-nodes")
+        if node.isEmpty():
+            continue
+        light = children.join(node, ["host", "up"]).where(F.col("n") < heavy * F.col("all_n"))
+        light = materialise(light.select("host", "up", "child"), "url-light")
+        # a child is kept where it, or what is below it down to some depth, differs from the same of all light siblings
+        below = at.join(light, ["host", "up", "child"])
+        below = below.select("host", "up", "child", "labelled", "bad", F.explode(F.sequence(F.lit(0), F.size("t") - i - 1)).alias("down"), F.slice("t", i + 2, F.size("t")).alias("rest")).where("labelled > 0")
+        below = below.groupBy("host", "up", "child", F.slice("rest", F.lit(1), F.col("down")).alias("rest")).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        like = below.groupBy("host", "up", "rest").agg(F.sum("labelled").alias("l_all"), F.sum("bad").alias("b_all"))
+        kept = below.join(like, ["host", "up", "rest"]).where(_differs(F.col("bad"), F.col("labelled"), F.col("b_all"), F.col("l_all"), z)).select("host", "up", "child").distinct()
+        wide = light.join(kept, ["host", "up", "child"], "left_anti").withColumn("wild", F.lit(True))
+        joined = tree.withColumn("up", F.slice("t", 1, i)).withColumn("child", F.get("t", F.lit(i))).join(wide, ["host", "up", "child"], "left")
+        generalised = F.when(F.col("wild"), F.concat("up", F.array(F.lit("*")), F.slice("t", i + 2, F.greatest(F.size("t"), F.lit(1))))).otherwise(F.col("t"))
+        tree = materialise(joined.withColumn("t", generalised).select("host", "segs", "n", "labelled", "bad", "t"), "url-tree")
+    return tree
+
+
+def _named(path: Column) -> Column:
+    return F.concat(F.lit("/"), F.array_join(path, "/"))
+
+
+def branches(tree: DataFrame, z: float = 2.0) -> DataFrame:
+    """host, t, b (the branch's segments), labelled, bad for each template, merged level by level from the deepest on.
+
+    What is merged below a segment is a branch b = (..., segment, *) that has the segment's siblings for its own, and the
+    template that ends with the segment too. level: the number of segments that siblings have, 0 if nothing is left to merge.
+    """
+    leaves = materialise(tree.groupBy("host", "t").agg(*_sums()).select("host", "t", "labelled", "bad"), "url-leaves")
+    deepest = max(1, _depth(leaves, 2))
+    # a path deeper than all others of its host has no siblings there
+    under = lambda path, n: F.concat(F.slice(path, 1, n) if n else F.array().cast("array<string>"), F.array(F.lit("*")))
+    start = F.when(F.size("t") > deepest, under("t", deepest)).otherwise(F.col("t"))
+    leaves = leaves.select("host", "t", start.alias("b"), F.least(F.size("t"), F.lit(deepest)).alias("level"), "labelled", "bad")
+    for i in range(deepest, 0, -1):
+        parts = leaves.where(F.col("level") == i).groupBy("host", "b").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("x")).withColumn("up", F.slice("b", 1, i - 1))
+        wholes = parts.groupBy("host", "up").agg(F.sum("l").alias("l_all"), F.sum("x").alias("x_all"))
+        apart = parts.join(wholes, ["host", "up"]).where(_differs(F.col("x"), F.col("l"), F.col("x_all"), F.col("l_all"), z)).select("host", "b", F.lit(i).alias("level"), F.lit(True).alias("apart"))
+        leaves = leaves.join(apart, ["host", "b", "level"], "left")
+        here = F.col("level") == i
+        b = F.when(here & F.col("apart").isNull(), under("b", i - 1)).otherwise(F.col("b"))
+        level = F.when(here, F.when(F.col("apart").isNull(), F.lit(i - 1)).otherwise(F.lit(0))).otherwise(F.col("level"))
+        leaves = materialise(leaves.select("host", "t", b.alias("b"), level.alias("level"), "labelled", "bad"), "url-branches")
+    return leaves
 
 
 def judged(tree: DataFrame, smoothing: float = 20.0, most_bad: float = 0.5, z: float = 2.0) -> DataFrame:
-    """host, template, branch, bad_share, rejected for each template of templates()."""
-    leaves = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-    leaves = leaves.withColumn("parent", F.regexp_extract("template", r"^(.*/)[^/]*$", 1))
-    parents = leaves.groupBy("host", "parent").agg(F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad"))
-    both = leaves.join(parents, ["host", "parent"])
-    rest_n, rest_bad = F.col("p_labelled") - F.col("labelled"), F.col("p_bad") - F.col("bad")
-    pooled = F.try_divide("p_bad", "p_labelled")
-    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "labelled") + F.try_divide(F.lit(1.0), rest_n)))
-    differs = F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest_n)) > z * error
-    both = both.withColumn("branch", F.when(F.coalesce(differs, F.lit(False)), F.col("template")).otherwise(F.concat("parent", F.lit("*"))))
-    branches = both.groupBy("host", "branch").agg(F.sum("labelled").alias("b_labelled"), F.sum("bad").alias("b_bad"))
-    hosts = parents.groupBy("host").agg(F.sum("p_labelled").alias("h_labelled"), F.sum("p_bad").alias("h_bad"))
+    """host, t, template, branch, bad_share, rejected for each template of templates()."""
+    both = branches(tree, z).withColumn("branch", _named(F.col("b")))
+    merged = both.groupBy("host", "branch").agg(F.sum("labelled").alias("b_labelled"), F.sum("bad").alias("b_bad"))
+    hosts = both.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("bad").alias("h_bad"))
     whole = hosts.agg(F.try_divide(F.sum("h_bad"), F.sum("h_labelled")).alias("overall"))
     overall = F.coalesce("overall", F.lit(0.0))
     host_share = (F.col("h_bad") + smoothing * overall) / (F.col("h_labelled") + smoothing)
     share = (F.col("b_bad") + smoothing * host_share) / (F.col("b_labelled") + smoothing)
-    shares = branches.join(hosts, "host").join(F.broadcast(whole)).select("host", "branch", share.alias("bad_share"))
-    return both.select("host", "template", "branch").join(shares, ["host", "branch"]).withColumn("rejected", F.col("bad_share") > most_bad)
+    shares = merged.join(hosts, "host").join(F.broadcast(whole)).select("host", "branch", share.alias("bad_share"))
+    return both.select("host", "t", _named(F.col("t")).alias("template"), "branch").join(shares, ["host", "branch"]).withColumn("rejected", F.col("bad_share") > most_bad)
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, max_depth: int = 4, **how) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, **how) -> DataFrame:
     """page_id, host, path, rule, verdict, template, branch, bad_share for each row of pages.
 
     labels: page_id, bad (boolean), at most one row for each page_id that counts.
@@ -118,10 +168,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None =
     known = rows.withColumn("bad", F.lit(None).cast("boolean"))
     if labels is not None:
         known = rows.join(labels.groupBy("page_id").agg(F.max("bad").alias("bad")), "page_id", "left")
-    tree = materialise(templates(known.select("host", "path", "bad"), max_depth), "url-templates")
-    segs = [f"s{i}" for i in range(max_depth + 1)]
-    verdicts = tree.select("host", *segs, "template").join(judged(tree, **how), ["host", "template"])
-    keyed = rows.select("*", *(c.alias(s) for c, s in zip(_segments(F.col("path"), max_depth), segs)))
+    tree = templates(known.select("host", "path", "bad"))
+    verdicts = tree.select("host", "segs", "t").join(judged(tree, **how), ["host", "t"])
+    keyed = rows.withColumn("segs", _segments(F.col("path")))
     host, path = F.col("host"), F.col("path")
     verdict = F.coalesce(rule_of(rules, host, path, "verdict"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
-    return keyed.join(verdicts, ["host", *segs]).select("page_id", "host", "path", rule_of(rules, host, path, "name").alias("rule"), verdict.alias("verdict"), "template", "branch", "bad_share")
+    return keyed.join(verdicts, ["host", "segs"]).select("page_id", "host", "path", rule_of(rules, host, path, "name").alias("rule"), verdict.alias("verdict"), "template", "branch", "bad_share")

@@ -158,6 +158,15 @@ def test_url_rules_and_templates(spark):
     assert url_filter.filter_urls(empty(df), RULES, labels).count() == 0
 
 
+def test_sections_of_a_hot_host_are_judged_by_their_labels(spark):
+    urls = [f"http://h.net/sec{chr(97 + i % 26)}{chr(97 + i // 26)}/{w}" for i in range(40) for w in ("x", "y") for _ in range(40)]
+    bad = [u.startswith("http://h.net/seccb/") or "secdb/x" in u for u in urls]
+    df = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([*enumerate(bad)], "page_id long, bad boolean")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, [], labels).collect()}
+    assert [got[i] == "block" for i in range(len(urls))] == bad
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 6))

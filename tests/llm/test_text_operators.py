@@ -167,6 +167,13 @@ def test_sections_of_a_hot_host_are_judged_by_their_labels(spark):
     assert [got[i] == "block" for i in range(len(urls))] == bad
 
 
+def test_url_templates_differ_below_the_fourth_segment(spark):
+    urls = [f"http://h.net/en/2024/05/12/{w}/x{'/deep' * 3}" for w in ("spam", "news") for _ in range(40)]
+    df = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "spam" in u) for i, u in enumerate(urls)], "page_id long, bad boolean")
+    assert all((r.verdict == "block") == ("spam" in urls[r.page_id]) for r in url_filter.filter_urls(df, [], labels).collect())
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 6))

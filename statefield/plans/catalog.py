@@ -354,12 +354,14 @@ register("d10_fold_variation")(lambda s, d: surfaces.variation(strategy.walk_for
 
 def _clusters(s: SparkSession, d: str) -> DataFrame:
     rows = features.valid_mask(state_rows(s, d), [f"z_{c}" for c in features.Z])
-    return latent.kmeans(rows, [f"z_{c}" for c in features.Z], P.latent, restarts=3)
+    return latent.kmeans(rows, [f"z_{c}" for c in features.Z], P.latent)
 
 
 def _hmm(s: SparkSession, d: str) -> DataFrame:
-    seqs = latent.sequences(state_rows(s, d).withColumn("C_t", (F.col("state_id") % 8).cast("int")).withColumn("valid", F.lit(True))).select("seq_id", "code", "date", "C_t")
-    return latent.decode_states(seqs, latent.fit_hmm(seqs, P.latent, P.latent, iterations=5))
+    rows = _clusters(s, d)
+    seqs = latent.sequences(rows).select("seq_id", "code", "date", "C_t")
+    found = latent.decode_states(seqs, latent.fit_hmm(seqs, P.latent, P.latent))
+    return found.unionByName(rows.where("not valid").select("code", "date", F.lit(-1).alias("Z_t")))
 
 
 register("m1_kmeans")(lambda s, d: _clusters(s, d).groupBy("C_t").agg(F.count(F.lit(1)).alias("n")))

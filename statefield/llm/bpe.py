@@ -22,12 +22,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Cached words or chunks of one Python worker; beyond it the cache starts anew.
@@ -237,17 +238,6 @@ def encoder(path: str, special: bool = True, plain: bool = False) -> Encoder:
     return Encoder(path, special, plain)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of at most about `most` bytes of a text column, so that memory doesn't follow the texts' lengths."""
-    for b in batches:
-        ends = np.cumsum(np.frombuffer(pa.compute.binary_length(b.column(column)).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), np.int64))
-        a = 0
-        while a < b.num_rows:
-            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-            yield b.slice(a, z - a)
-            a = z
-
-
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs' doc_id with ids array<int>, one row for each row of docs."""
 

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,33 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+#: Rows of a list of ids up to which it is broadcast: some 32 MB as a hashed relation.
+BROADCAST_ROWS = 1_000_000
+
+
+def known_size(df: DataFrame) -> DataFrame:
+    """A written list of a few numbers a row, marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name like `name` that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about `most` bytes of a text column, so that memory doesn't follow the texts' lengths."""
+    for b in batches:
+        ends = np.cumsum(pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+            yield b.slice(a, z - a)
+            a = z
+
+
 def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import small_batches
+from .common import small_batches
 from .dom import Block, blocks
 
 #: Pages written to train on.

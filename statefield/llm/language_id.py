@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import small_batches
-from .common import materialise
+from .common import materialise, small_batches
 
 TRAIN_ROWS = 4000
 BITS = 16

@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, small_batches
+from .bpe import encoder
+from .common import small_batches
 
 CAPACITY = 1024
 PIECE = 256

@@ -13,19 +13,20 @@ ignored for component_id unless all ids of the component are null. Empty tables
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, materialise
+from .common import fresh, groups, known_size, materialise, small_batches
 from .components import connected_components
 
 TILE = 1024
-#: More than the tiles of one range of population counts in one block.
+#: More than the tiles of one span in one block.
 SALTS = 30_000_000
 
 
@@ -76,51 +77,43 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return member, label[member]
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within radius, tile pair by tile pair; both sides sorted by population count. b None: a with itself."""
-    same, b = b is None, a if b is None else b
-    if same and len(a) == 2:
+def near_pairs(a: np.ndarray, radius: int, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j within radius, tile pair by tile pair; a is sorted by population count."""
+    if len(a) == 2:
         if (int(a[0]) ^ int(a[1])).bit_count() <= radius:
             yield np.array([0]), np.array([1])
         return
-    pa_, pb = np.bitwise_count(a), np.bitwise_count(b)
+    pop = np.bitwise_count(a)
     for s in range(0, len(a), tile):
         x = a[s : s + tile]
-        lo, hi = int(pa_[s]), int(pa_[s + len(x) - 1])
-        for t in range(s if same else 0, len(b), tile):
-            y = b[t : t + tile]
-            if int(pb[t]) - hi > radius or lo - int(pb[t + len(y) - 1]) > radius:
-                continue
+        for t in range(s, len(a), tile):
+            y = a[t : t + tile]
+            if int(pop[t]) - int(pop[s + len(x) - 1]) > radius:
+                break
             i, j = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
             i, j = i + s, j + t
-            if same:
-                i, j = i[i < j], j[i < j]
+            i, j = i[i < j], j[i < j]
             if len(i):
                 yield i, j
 
 
-def linked(a: np.ndarray, b: np.ndarray | None, radius: int, accept=None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs into a, or into a and then b, that span the links within a, or between a and b.
-
-    accept: takes two index arrays and tells which pairs count.
-    """
-    order_a = np.argsort(np.bitwise_count(a), kind="stable")
-    order_b = None if b is None else np.argsort(np.bitwise_count(b), kind="stable")
-    n = len(a) + (0 if b is None else len(b))
+def linked(a: np.ndarray, radius: int, accept=None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs into a that span its links. accept: takes two index arrays and tells which pairs count."""
+    order = np.argsort(np.bitwise_count(a), kind="stable")
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for i, j in near_pairs(a[order_a], None if b is None else b[order_b], radius):
-        i, j = order_a[i], order_a[j] if b is None else order_b[j] + len(a)
+    for i, j in near_pairs(a[order], radius):
+        i, j = order[i], order[j]
         if accept is not None:
             fits = accept(i, j)
             i, j = i[fits], j[fits]
-        found.append(forest(n, i, j))
+        found.append(forest(len(a), i, j))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
 def _edges(batches: Iterator[pa.RecordBatch], keys: list[str], node: str, pairs) -> Iterator[pa.RecordBatch]:
-    """Edges a, b between values of `node`; pairs(group) gives index pairs into the rows of side 0 and then side 1."""
+    """Edges a, b between values of `node`."""
     left, right, held = [], [], 0
 
     def take() -> pa.RecordBatch:
@@ -142,15 +135,6 @@ def _edges(batches: Iterator[pa.RecordBatch], keys: list[str], node: str, pairs)
         yield take()
 
 
-def _sides(g: pa.Table, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """Fingerprints of side 0 and, if there are any, of side 1, and where their rows are."""
-    side = g.column("side").to_numpy()
-    if not side.any():
-        return fp, None, np.arange(len(fp))
-    zero, one = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    return fp[zero], fp[one], np.concatenate([zero, one])
-
-
 def bands(fps: DataFrame, radius: int) -> DataFrame:
     """fp in each of its radius + 1 blocks: band, value, fp, pop."""
     n = radius + 1
@@ -162,46 +146,59 @@ def bands(fps: DataFrame, radius: int) -> DataFrame:
     return fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(F.array(*each)).alias("x")).select("x.band", "x.value", "fp", "pop")
 
 
-def tile_pairs(blocks: DataFrame, radius: int, tile: int = TILE, key: tuple[str, ...] = ("band", "value"), salt: str = "fp") -> DataFrame:
-    """Rows of blocks dealt to comparisons (key, ta, tb) with their side; blocks has pop, the population count.
+def tile_pairs(blocks: DataFrame, key: list[str], node: str, span: Column, weight: Column | int = 1, most: int = TILE, near: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of blocks dealt to comparisons (key, ta, tb), and edges a, b found on the way or None.
 
-    A block of up to `tile` rows is one comparison. Of a larger one, rows are dealt by ranges of radius + 1 population
-    counts, and by a salt within a range, into tiles of about `tile` rows. Only tiles of the same or of neighbouring ranges
-    can hold pairs within the radius; each such pair of tiles is one comparison.
+    A block of weight up to `most` is one comparison. Of a larger one, rows are dealt by their span, and by a salt within
+    a span, into tiles of about that weight; rows whose spans differ by more than one never match, so only tiles of the
+    same or of neighbouring spans are compared. near: whether a row matches the row `_lead` of its block, that with the
+    smallest node. Rows that do are linked to it, so that tiles of such rows needn't be compared among themselves: a large
+    block of copies of one thing costs one look at each, and pairs only with the rows that differ from it.
     """
-    key, cols = list(key), blocks.columns
-    large = materialise(blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select(*key), "large-blocks")
-    whole = lambda df: df.select(*cols, F.lit(-1).alias("ta"), F.lit(-1).alias("tb"), F.lit(0).alias("side"))
+    cols, weight = blocks.columns, F.lit(weight) if isinstance(weight, int) else weight
+    large = blocks.groupBy(*key).agg(F.sum(weight).alias("w"), F.min(node).alias("lead")).where(F.col("w") > most).select(*key, "lead")
+    large = materialise(large, "large-blocks")
+    whole = lambda df: df.select(*cols, F.lit(-1).alias("ta"), F.lit(-1).alias("tb"))
     if large.isEmpty():
-        return whole(blocks)
-    rows = blocks.join(large, key).withColumn("span", F.floor(F.col("pop") / (radius + 1)).cast("int"))
-    counts = rows.groupBy(*key, "span").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("salts"))
-    tiles = counts.select(*key, "span", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    tiles = materialise(tiles.select(*key, "span", (F.col("span") * SALTS + F.col("salt")).alias("t")), "tiles")
-    other = tiles.select(*key, F.col("span").alias("span2"), F.col("t").alias("t2"))
-    pairs = tiles.join(other, key).where((F.col("t") <= F.col("t2")) & (F.col("span2") - F.col("span") <= 1)).select(*key, F.col("t").alias("ta"), F.col("t2").alias("tb"))
-    pairs = materialise(pairs, "tile-pairs")
-    dealt = rows.join(counts, [*key, "span"]).withColumn("t", F.col("span") * SALTS + F.pmod(F.xxhash64(salt, F.lit(7)), F.col("salts")).cast("int"))
-    left = dealt.join(pairs.withColumn("t", F.col("ta")), [*key, "t"]).select(*cols, "ta", "tb", F.lit(0).alias("side"))
-    right = dealt.join(pairs.where("ta <> tb").withColumn("t", F.col("tb")), [*key, "t"]).select(*cols, "ta", "tb", F.lit(1).alias("side"))
-    return whole(blocks.join(large, key, "left_anti")).unionByName(left).unionByName(right)
-
-
-def _compared(dealt: DataFrame, key: list[str], node: str, pairs) -> DataFrame:
+        return whole(blocks), None
+    rows = blocks.join(large, key).withColumn("span", span.cast("int"))
+    if near is None:
+        rows = rows.withColumn("done", F.lit(0))
+    else:
+        leads = rows.where(F.col(node) == F.col("lead")).select(*key, F.struct(*cols).alias("_lead")).dropDuplicates(key)
+        rows = rows.join(leads, key).withColumn("done", near.cast("int")).drop("_lead")
+    rows = materialise(rows, "large-rows")
+    counts = rows.groupBy(*key, "span", "done").agg(F.ceil(F.sum(weight) / most).cast("int").alias("salts"))
+    tiles = counts.select(*key, "span", "done", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    number = lambda salt: (2 * F.col("span") + F.col("done")) * SALTS + salt
+    tiles = materialise(tiles.select(*key, "span", "done", number(F.col("salt")).alias("t")), "tiles")
+    other = tiles.select(*key, F.col("span").alias("span2"), F.col("done").alias("done2"), F.col("t").alias("t2"))
+    fits = (F.col("t") <= F.col("t2")) & (F.col("span2") - F.col("span") <= 1) & (F.col("done") + F.col("done2") < 2)
+    pairs = materialise(tiles.join(other, key).where(fits).select(*key, F.col("t").alias("ta"), F.col("t2").alias("tb")), "tile-pairs")
+    dealt = rows.join(counts, [*key, "span", "done"]).withColumn("t", number(F.pmod(F.xxhash64(node, F.lit(7)), F.col("salts")).cast("int")))
+    left = dealt.join(pairs.withColumn("t", F.col("ta")), [*key, "t"]).select(*cols, "ta", "tb")
+    right = dealt.join(pairs.where("ta <> tb").withColumn("t", F.col("tb")), [*key, "t"]).select(*cols, "ta", "tb")
+    found = None if near is None else rows.where((F.col("done") == 1) & (F.col(node) != F.col("lead"))).select(F.col(node).alias("a"), F.col("lead").alias("b"))
+    return whole(blocks.join(large, key, "left_anti")).unionByName(left).unionByName(right), found
+
+
+def _compared(dealt: tuple[DataFrame, DataFrame | None], key: list[str], node: str, pairs) -> DataFrame:
+    """Edges a, b between nodes; pairs(rows of one comparison) gives index pairs that span its links."""
+    rows, found = dealt
     keys = [*key, "ta", "tb"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(lambda batches: _edges(batches, keys, node, pairs), "a long, b long")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    edges = rows.mapInArrow(lambda batches: _edges(batches, keys, node, pairs), "a long, b long")
+    return edges if found is None else edges.unionByName(found)
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     """Edges a, b that span all links between the distinct fingerprints in column fp."""
 
     def pairs(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        a, b, at = _sides(g, g.column("fp").to_numpy().view(np.uint64))
-        x, y = linked(a, b, radius)
-        return at[x], at[y]
+        return linked(g.column("fp").to_numpy().view(np.uint64), radius)
 
-    return _compared(tile_pairs(bands(fps, radius), radius, tile), ["band", "value"], "fp", pairs)
+    key = ["band", "value"]
+    return _compared(tile_pairs(bands(fps, radius), key, "fp", F.floor(F.col("pop") / (radius + 1)), most=tile), key, "fp", pairs)
 
 
 def near_components(docs: DataFrame, words: int = 3, radius: int = 2, tile: int = TILE) -> DataFrame:
@@ -216,97 +213,131 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 2, tile: int
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of near_duplicates: block keys of a text, and the radius within which texts of the least similarity lie but for a few in 10,000.
-KEYS, WIDE = 8, 20
-_SEEDS = np.random.default_rng(42).integers(0, 2**64, KEYS, dtype=np.uint64)
+#: Of near_duplicates: blocks of a text, first shingles that make a block's key, and the radius within which similar texts lie.
+KEYS, ROWS, WIDE = 12, 2, 24
+#: Texts of fewer shingles are not told apart by fingerprints, which vary too much there.
+SHORT = 64
+#: Shingles of the texts that are compared at a time.
+SHINGLES = 1 << 20
+_ORDERS = np.random.default_rng(42).integers(0, 2**63, (KEYS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _order(h: np.ndarray, seed: np.uint64) -> np.ndarray:
-    """Ranks of the hashes in one of the orders, which are independent: splitmix64 of the hash under the seed."""
-    x = h ^ seed
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The finisher of splitmix64."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def _signature(hashes: np.ndarray) -> tuple[int, int, list[int]]:
-    """Fingerprint of the distinct shingles, their number, and for each key the shingle that comes first in its order."""
-    h = np.unique(hashes)
-    return fingerprint(h), len(h), [int(h[np.argmin(_order(h, s))]) for s in _SEEDS]
+def _keys(h: np.ndarray) -> np.ndarray:
+    """Block keys of a set of shingles: each is made of the least shingles in ROWS orders, which are independent."""
+    least = np.full(KEYS * ROWS, np.iinfo(np.uint64).max)
+    for s in range(0, len(h), 1 << 13):
+        np.minimum(least, (h[s : s + (1 << 13)] * _ORDERS).min(1), out=least)
+    key = np.arange(KEYS, dtype=np.uint64)
+    for part in least.reshape(KEYS, ROWS).T:
+        key = _mixed(key ^ part)
+    return key
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE, tile: int = TILE, shingles: int = SHINGLES) -> DataFrame:
     """doc_id, component_id of every document that has a near duplicate: Jaccard similarity of shingle sets of at least `similarity`.
 
-    Fingerprints within a wide radius don't agree on any band, so blocks are made by shingles instead: in each of KEYS
-    orders a document's first shingle is a key, and similar documents share one but for (1 - similarity) ** KEYS of them.
-    Blocks are compared as in fingerprint_links; the candidates' components are then verified by exact similarity.
+    Fingerprints within a wide radius don't agree on any band, so blocks are made by shingles instead: a document's first
+    shingles in ROWS orders are a key, of which it has KEYS. Documents of similarity s share none of them with probability
+    (1 - s ** ROWS) ** KEYS, 5 in a million at 0.8. Blocks are compared tile by tile as in fingerprint_links, but for texts
+    under SHORT shingles; candidates are then verified by exact similarity, component by component, `shingles` at a time.
     Rows without doc_id or words take no part, rows of one doc_id count as one document.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(d, *_signature(h)) for d, t in zip(b.column(0).to_pylist(), b.column(1)) if len(h := shingle_hashes(t.as_py(), words))]
-            fp = pa.array(np.array([g[1] for g in got], np.uint64).view(np.int64))
-            keys = pa.array([np.array(g[3], np.uint64).view(np.int64).tolist() for g in got], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), fp, pa.array([g[2] for g in got], pa.int32()), keys], ["doc_id", "fp", "n", "keys"])
+        for b in small_batches(batches, "text", 1 << 20):
+            rows = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
+                if len(h := np.unique(shingle_hashes(t.as_py(), words))):
+                    rows.append((d, fingerprint(h), len(h), _keys(h)))
+            ids, fps, n, keys = zip(*rows) if rows else ((), (), (), (np.empty(0, np.uint64),))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys).view(np.int64)), KEYS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], ["doc_id", "fp", "n", "keys"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null and text is not null")
     signed = materialise(texts.mapInArrow(sign, "doc_id long, fp long, n int, keys array<long>"), "signatures")
-    blocks = signed.select("doc_id", "fp", F.bit_count("fp").alias("pop"), "n", F.posexplode("keys").alias("band", "value"))
+    each = lambda df, fp, first: df.select("doc_id", fp.alias("fp"), F.bit_count(fp).alias("pop"), "n", F.posexplode("keys").alias("band", "value")).withColumn("band", F.col("band") + first)
+    short = each(signed.where(F.col("n") * similarity < SHORT), F.lit(0).cast("long"), KEYS)
+    blocks = short.unionByName(each(signed.where(F.col("n") >= SHORT), F.col("fp"), 0))
+    like = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n)
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("_lead.fp"))) <= radius) & like(F.col("n"), F.col("_lead.n"))
 
-    def near(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        a, b, at = _sides(g, g.column("fp").to_numpy().view(np.uint64))
-        n = g.column("n").to_numpy()[at]
-        x, y = linked(a, b, radius, lambda i, j: np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
-        return at[x], at[y]
+    def close(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        n = g.column("n").to_numpy()
+        return linked(g.column("fp").to_numpy().view(np.uint64), radius, lambda i, j: np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
 
-    loose = connected_components(_compared(tile_pairs(blocks, radius, tile), ["band", "value"], "doc_id", near))
-    loose = materialise(loose.select(F.col("node").alias("doc_id"), "root"), "candidates")
+    key = ["band", "value"]
+    loose = connected_components(_compared(tile_pairs(blocks, key, "doc_id", F.floor(F.col("pop") / (radius + 1)), most=tile, near=near), key, "doc_id", close))
+    loose = materialise(loose.select(F.col("node").alias("_id"), "root"), "candidates")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, "text", 1 << 20):
             sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
-            fp = pa.array(np.array([fingerprint(h) for h in sets], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array([h.tobytes() for h in sets], pa.binary())], ["doc_id", "root", "fp", "hashes"])
+            n = np.array([len(h) for h in sets], np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), lists], ["doc_id", "root", "n", "hashes"])
 
-    sets = texts.join(loose, "doc_id").select("doc_id", "root", "text").mapInArrow(hashed, "doc_id long, root long, fp long, hashes binary")
+    few = texts.join(known_size(loose), F.col("doc_id") == F.col("_id")).select("doc_id", "root", "text")
+    sets = materialise(few.mapInArrow(hashed, "doc_id long, root long, n int, hashes array<long>"), "shingle-sets")
+    both = F.size(F.array_intersect("hashes", "_lead.hashes"))
+    same = both >= similarity * (F.col("n") + F.col("_lead.n") - both) - 1e-9
 
     def similar(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        side = g.column("side").to_numpy()
-        return similar_pairs([np.frombuffer(h, np.uint64) for h in g.column("hashes").to_pylist()], similarity, side if side.any() else None)
+        col = g.column("hashes").combine_chunks()
+        return similar_links(col.flatten().to_numpy(), np.diff(col.offsets.to_numpy()), similarity)
 
-    sets = materialise(sets.withColumn("pop", F.bit_count("fp")), "shingle-sets")
-    edges = _compared(tile_pairs(sets, radius, tile, ("root",), "doc_id"), ["root"], "doc_id", similar)
+    # sets of similar sizes are in the same or in neighbouring spans
+    span = F.floor(F.ln("n") / math.log(1.01 / similarity))
+    edges = _compared(tile_pairs(sets, ["root"], "doc_id", span, F.col("n"), shingles, same), ["root"], "doc_id", similar)
     return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
-def similar_pairs(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that span the pairs of sets of at least that Jaccard similarity; with sides only pairs across them."""
-    sizes = np.array([len(s) for s in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    has = np.zeros(int(ids.max()) + 1, np.int64)
-    left, right = [], []
-    for i in range(len(sets)):
-        if side is not None and side[i]:
+def similar_links(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) that span the pairs of sets of at least that Jaccard similarity; the sets, none empty, lie end to end in flat.
+
+    From a set to those like it that no one has reached yet, and so on: a group of copies takes one look at each.
+    """
+    n = len(sizes)
+    ids = np.unique(flat, return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    has = np.zeros(int(ids.max()) + 1, np.int32)
+    free = np.ones(n, bool)
+    members, roots = [], []
+    for seed in range(n):
+        if not free[seed]:
             continue
-        own = ids[starts[i] : starts[i] + sizes[i]]
-        has[own] = 1
-        both = np.add.reduceat(has[ids], starts)
-        has[own] = 0
-        hit = both >= similarity * (sizes[i] + sizes - both) - 1e-9
-        hit[i] = False
-        if side is not None:
-            hit &= side == 1
-        j = np.flatnonzero(hit)
-        left.append(np.full(len(j), i))
-        right.append(j)
-    return forest(len(sets), np.concatenate(left), np.concatenate(right))
+        free[seed], todo = False, [seed]
+        while todo:
+            i = todo.pop()
+            ask = np.flatnonzero(free & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9))
+            if not len(ask):
+                continue
+            own = ids[starts[i] : ends[i]]
+            has[own] = 1
+            if 4 * len(ask) > n:
+                both = np.add.reduceat(has[ids], starts)[ask]
+            else:
+                both = np.array([has[ids[starts[j] : ends[j]]].sum() for j in ask])
+            has[own] = 0
+            hit = ask[both >= similarity * (sizes[i] + sizes[ask] - both) - 1e-9]
+            free[hit] = False
+            todo += hit.tolist()
+            members.append(hit)
+            roots.append(np.full(len(hit), seed))
+    if not members:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(members), np.concatenate(roots)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without the documents whose component has one with a smaller doc_id."""
-    gone = near_duplicates(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    gone = materialise(gone, "near-gone")  # so that its size is known
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs without the documents whose component has one with a smaller doc_id. Columns pass through whatever their names."""
+    gone = near_duplicates(docs.select("doc_id", "text"), words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias(fresh("gone", docs)))
+    gone = materialise(gone, "near-gone")
+    return docs.join(known_size(gone), docs["doc_id"].cast("long") == gone[gone.columns[0]], "left_anti")

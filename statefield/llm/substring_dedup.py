@@ -32,8 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import small_batches
-from .common import materialise
+from .common import materialise, small_batches
 
 _END = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*")
 _WORD = re.compile(r"\S+")

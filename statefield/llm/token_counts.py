@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, encoder, small_batches
+from .bpe import Encoder, encoder
+from .common import small_batches
 
 LEAF = 32
 _CUT = re.compile(r"(?<=\S)(?= \S)")

@@ -74,7 +74,7 @@ def test_simhash_components(spark, docs):
 
 
 def test_near_duplicates_and_components(spark, docs):
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, tile=2).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, tile=2, shingles=100).collect()}
     assert got[8] == got[7] == 7 and got[2] == got[1] == 1 and 6 not in got
     left = simhash.drop_near_duplicates(docs)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {1, 3, 4, 5, 6, 7, None, 9}
@@ -83,6 +83,29 @@ def test_near_duplicates_and_components(spark, docs):
     assert {(r.node, r.root) for r in connected_components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+@pytest.mark.parametrize("tile, shingles", [(1024, 1 << 20), (6, 700)])
+def test_near_duplicates_equal_brute_force(spark, tile, shingles):
+    rng = np.random.default_rng(8)
+    rows = []
+    for group in range(12):
+        words = [f"g{group}w{rng.integers(10**6)}" for _ in range(rng.choice([8, 40, 90, 160]))]
+        for _ in range(30 if group == 3 else rng.integers(1, 6)):
+            mine = list(words)
+            for _ in range(rng.integers(0, 1 + len(words) // 25)):
+                mine[rng.integers(len(mine))] = f"x{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(mine)))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9 and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile, shingles=shingles).collect()}
+    assert [got.get(i, i) for i in range(len(rows))] == label and len(got) > 40
+
+
 def test_bpe_round_trip(spark, docs):
     from tokenizers import Tokenizer
 

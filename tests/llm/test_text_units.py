@@ -127,28 +127,36 @@ def test_tiles_find_every_pair():
     rng = np.random.default_rng(5)
     a = np.unique(np.concatenate([rng.integers(0, 2**62, 300, dtype=np.uint64), np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 60, 60, dtype=np.uint64))]))
     a = a[np.argsort(np.bitwise_count(a), kind="stable")]
-    got = {(int(i), int(j)) for x, y in simhash.near_pairs(a, None, 2, tile=16) for i, j in zip(x, y)}
+    got = {(int(i), int(j)) for x, y in simhash.near_pairs(a, 2, tile=16) for i, j in zip(x, y)}
     want = {(i, j) for i in range(len(a)) for j in range(i + 1, len(a)) if (int(a[i]) ^ int(a[j])).bit_count() <= 2}
     assert got == want
 
 
-def test_similar_pairs_span_the_components():
+def test_similar_links_span_the_components():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5], [1, 2, 3, 4], [9], [9])]
-    member, root = simhash.similar_pairs(sets, 0.8)
+    member, root = simhash.similar_links(np.concatenate(sets), np.array([len(x) for x in sets]), 0.8)
     assert dict(zip(member.tolist(), root.tolist())) == {1: 0, 2: 0, 4: 3}
 
 
 @pytest.mark.parametrize("similarity", [0.8, 0.9])
-def test_similar_sets_share_a_key(similarity):
-    rng, missed, pairs, n = np.random.default_rng(3), 0, 10_000, 90
+@pytest.mark.parametrize("n", [5, 90])
+def test_similar_sets_share_a_key(similarity, n):
+    rng, missed, pairs = np.random.default_rng(3), 0, 10_000
     for _ in range(pairs):
-        both = round(2 * n * similarity / (1 + similarity))
+        both = -int(-2 * n * similarity / (1 + similarity) // 1)
         h = rng.integers(0, 2**64, 2 * n - both, dtype=np.uint64)
-        a, b = (simhash._signature(x)[2] for x in (h[:n], h[n - both :]))
-        missed += not any(x == y for x, y in zip(a, b))
+        missed += not (simhash._keys(h[:n]) == simhash._keys(h[n - both :])).any()
     assert missed <= 2
 
 
+def test_similar_texts_lie_within_the_radius():
+    rng, beyond = np.random.default_rng(4), 0
+    for _ in range(3000):
+        h = rng.integers(0, 2**64, simhash.SHORT * 5 // 4, dtype=np.uint64)
+        beyond += (simhash.fingerprint(h) ^ simhash.fingerprint(h[: simhash.SHORT])).bit_count() > simhash.WIDE
+    assert beyond <= 1
+
+
 def test_units_are_cut_alike_wherever_a_passage_stands():
     rng = random.Random(2)
     passage = " ".join("".join(rng.choice("aeiounrst") for _ in range(5)) for _ in range(70))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -48,3 +48,6 @@ class Params:
 DEFAULT = Params()
 #: For the driver's tables: their years, and fewer visits per state.
 TABLES = Params(min_visits=10, train_end="1999-12-31", test_start="2000-01-01", folds=(1998, 1999, 2000, 2001), live_window=60)
+#: For the classes of states on the driver's tables, whose greedy trades are too few: all one-day holdings count as trades, states are
+#: told apart by three of the four bins, and the regimes' drawdowns are those of a market made of noise.
+CLASSES, CLASS_STATES = replace(TABLES, cell_visits=5, t_least=1.0, dd_bear=-0.99, dd_recover=-0.98, dd_bull=-0.97), TABLES.bins**3

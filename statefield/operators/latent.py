@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,17 +96,96 @@ def stationary(t: np.ndarray) -> np.ndarray:
     return np.full(k, 1 / k) if (v < -1e-9).any() else np.clip(v, 0, None) / np.clip(v, 0, None).sum()
 
 
-def kmeans(df: DataFrame, cols: list[str], k: int = DEFAULT.latent, restarts: int = 20, seed: int = 42, iterations: int = 300, tol: float = 1e-4) -> DataFrame:
-    """C_t of each valid row, -1 for others; the restart with the lowest cost wins (M1)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    x = VectorAssembler(inputCols=cols, outputCol="_x").transform(df.where("valid")).cache()
-    fits = [KMeans(k=k, featuresCol="_x", predictionCol="C_t", seed=seed + i, maxIter=iterations, tol=tol).fit(x) for i in range(restarts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    out = best.transform(x).drop("_x").unionByName(df.where("not valid").withColumn("C_t", F.lit(-1)))
+#: Rows that the centres' starting points are sought on, those with the smallest digests; all else covers all rows.
+SEED_ROWS = 4096
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row and its squared distance, ties to the first."""
+    d = (centres * centres).sum(1) - 2.0 * (x @ centres.T)
+    at = d.argmin(1)
+    return at, np.maximum(0.0, d[np.arange(len(x)), at] + (x * x).sum(1))
+
+
+def _moved(sums: np.ndarray, counts: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Means of the clusters; an empty one keeps its centre."""
+    return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], before)
+
+
+def _start(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 50) -> np.ndarray:
+    """Centres spread over x with chances by squared distance, moved to the means of what is nearest some times."""
+    centres = x[[rng.integers(len(x))]]
+    while len(centres) < k:
+        far = _nearest(x, centres)[1]
+        centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum())] if far.sum() > 0 else x[rng.integers(len(x))]])
+    for _ in range(steps):
+        at = _nearest(x, centres)[0]
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, x)
+        new = _moved(sums, np.bincount(at, minlength=k), centres)
+        if np.allclose(new, centres, atol=1e-6):
+            break
+        centres = new
+    return centres
+
+
+def _columns(b: pa.RecordBatch, first: int, n: int) -> np.ndarray:
+    return np.column_stack([b.column(first + i).to_numpy(zero_copy_only=False) for i in range(n)]) if b.num_rows else np.empty((0, n))
+
+
+def fit_centres(rows: DataFrame, cols: list[str], k: int, restarts: int, seed: int, iterations: int, tol: float) -> np.ndarray:
+    """Centres of the restart with the lowest cost, in the order of their first coordinate.
+
+    All restarts take their step in the same pass over all rows; what comes to the driver is k sums for each of them. A
+    restart stands still once its centres move by less than tol.
+    """
+    d, rng = len(cols), np.random.default_rng(seed)
+    x = rows.select(*(F.col(c).cast("double").alias(c) for c in cols)).cache()
+    sample = np.array([list(r) for r in x.orderBy(F.xxhash64(*cols), *cols).limit(SEED_ROWS).collect()], float).reshape(-1, d)
+    if not len(sample):
+        return np.zeros((k, d))
+    centres = np.stack([_start(sample, k, rng) for _ in range(restarts)])
+    live, cost = list(range(restarts)), np.full(restarts, np.inf)
+    schema = "r int, c int, n long, cost double, " + ", ".join(f"s{i} double" for i in range(d))
+    for _ in range(iterations):
+        def step(batches: Iterator[pa.RecordBatch], at=centres.copy(), todo=tuple(live)) -> Iterator[pa.RecordBatch]:
+            n, costs, sums = np.zeros((len(todo), k), np.int64), np.zeros((len(todo), k)), np.zeros((len(todo), k, d))
+            for b in batches:
+                v = _columns(b, 0, d)
+                for i, r in enumerate(todo):
+                    near, far = _nearest(v, at[r])
+                    n[i] += np.bincount(near, minlength=k)
+                    costs[i] += np.bincount(near, far, minlength=k)
+                    for j in range(d):
+                        sums[i, :, j] += np.bincount(near, v[:, j], minlength=k)
+            flat = [np.repeat(np.array(todo, np.int32), k), np.tile(np.arange(k, dtype=np.int32), len(todo)), n.ravel(), costs.ravel(), *sums.reshape(-1, d).T]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in flat], [f.split()[0] for f in schema.split(", ")])
+
+        found = x.mapInArrow(step, schema).groupBy("r", "c").agg(*(F.sum(c).alias(c) for c in ("n", "cost", *(f"s{i}" for i in range(d))))).collect()
+        n, costs, sums = np.zeros((restarts, k)), np.zeros((restarts, k)), np.zeros((restarts, k, d))
+        for r in found:
+            n[r.r, r.c], costs[r.r, r.c], sums[r.r, r.c] = r.n, r.cost, [r[f"s{i}"] for i in range(d)]
+        still = []
+        for r in live:
+            cost[r] = costs[r].sum()
+            new = _moved(sums[r], n[r], centres[r])
+            if np.abs(new - centres[r]).max() > tol:
+                still.append(r)
+            centres[r] = new
+        live = still
+        if not live:
+            break
     x.unpersist()
-    return out
+    best = centres[int(cost.argmin())]
+    return best[np.lexsort(best.T[::-1])]
+
+
+def kmeans(df: DataFrame, cols: list[str], k: int = DEFAULT.latent, restarts: int = 20, seed: int = 42, iterations: int = 300, tol: float = 1e-4) -> DataFrame:
+    """C_t of each valid row, -1 for others; the restart with the lowest cost wins (M1). Clusters are numbered by their centres."""
+    centres = fit_centres(df.where("valid"), cols, k, restarts, seed, iterations, tol)
+    gap = lambda c: reduce(lambda a, b: a + b, ((F.col(x) - float(v)) * (F.col(x) - float(v)) for x, v in zip(cols, c)))
+    near = F.array_position(F.array(*(gap(c) for c in centres)), F.least(*(gap(c) for c in centres)) if k > 1 else gap(centres[0])) - 1
+    return df.withColumn("C_t", F.when(F.col("valid"), near).otherwise(-1).cast("int"))
 
 
 class CategoricalHMM:
@@ -117,23 +200,32 @@ class CategoricalHMM:
         row = lambda n, c: (x := rng.random((n, c)) + 0.5) / x.sum(1, keepdims=True)
         return cls(np.full(k, 1 / k), 0.5 * row(k, k) + 0.5 * np.eye(k), row(k, m))
 
-    def expected(self, obs: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """Log-likelihood and expected counts of one sequence, by the scaled forward-backward recursion."""
-        n, k = len(obs), len(self.start)
-        b = self.emit[:, obs].T
-        alpha, scale = np.empty((n, k)), np.empty(n)
+    def expected(self, obs: np.ndarray, lengths: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihood and expected counts of sequences, by the scaled forward-backward recursion over all of them at once.
+
+        obs: (sequences, longest), longest sequence first; what lies beyond a sequence's length isn't read.
+        """
+        size, n, k = len(obs), obs.shape[1], len(self.start)
+        alpha, scale, b = np.zeros((n, size, k)), np.ones((n, size)), self.emit.T[obs.T]
+        open_ = [int(np.searchsorted(-lengths, -i, "left")) for i in range(n + 1)]  # sequences longer than i
         for i in range(n):
-            a = (self.start if i == 0 else alpha[i - 1] @ self.trans) * b[i]
-            scale[i] = a.sum() or 1e-300
-            alpha[i] = a / scale[i]
-        beta = np.ones((n, k))
-        for i in range(n - 2, -1, -1):
-            beta[i] = self.trans @ (b[i + 1] * beta[i + 1]) / scale[i + 1]
-        gamma = alpha * beta
-        moves = self.trans * np.einsum("ti,tj->ij", alpha[:-1], b[1:] * beta[1:] / scale[1:, None]) if n > 1 else np.zeros((k, k))
-        emits = np.zeros_like(self.emit)
-        np.add.at(emits.T, obs, gamma)
-        return float(np.log(scale).sum()), gamma[0], moves, emits
+            m = open_[i]
+            a = (self.start if i == 0 else alpha[i - 1, :m] @ self.trans) * b[i, :m]
+            scale[i, :m] = np.maximum(a.sum(1), 1e-300)
+            alpha[i, :m] = a / scale[i, :m, None]
+        beta = np.ones((size, k))
+        moves, emits, first = np.zeros((k, k)), np.zeros_like(self.emit), np.zeros(k)
+        for i in range(n - 1, -1, -1):
+            m = open_[i + 1]
+            if m:
+                ahead = b[i + 1, :m] * beta[:m] / scale[i + 1, :m, None]
+                moves += alpha[i, :m].T @ ahead
+                beta[:m] = ahead @ self.trans.T
+            gamma = alpha[i, : open_[i]] * beta[: open_[i]]
+            for state in range(k):
+                emits[state] += np.bincount(obs[: open_[i], i], gamma[:, state], minlength=emits.shape[1])
+            first = gamma.sum(0)
+        return float(np.log(scale).sum()), first, self.trans * moves, emits
 
     def viterbi(self, obs: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore"):
@@ -151,24 +243,38 @@ class CategoricalHMM:
         return out
 
 
-def fit_hmm(seqs: DataFrame, k: int = DEFAULT.latent, m: int = DEFAULT.latent, iterations: int = 200, tol: float = 1e-3, seed: int = 42, spread: int = 32) -> CategoricalHMM:
+def _padded(found: list[np.ndarray], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of like length side by side, the longest first, at most about `most` cells at a time."""
+    found = sorted((o for o in found if len(o)), key=len, reverse=True)
+    while found:
+        take = max(1, most // len(found[0]))
+        part, found = found[:take], found[take:]
+        lengths = np.array([len(o) for o in part])
+        out = np.zeros((len(part), lengths[0]), np.int64)
+        for i, o in enumerate(part):
+            out[i, : len(o)] = o
+        yield out, lengths
+
+
+def fit_hmm(seqs: DataFrame, k: int = DEFAULT.latent, m: int = DEFAULT.latent, iterations: int = 200, tol: float = 1e-3, seed: int = 42, rows: int = 250_000) -> CategoricalHMM:
     """Pooled expectation-maximisation over all sequences (M2).
 
-    seqs: seq_id, date, C_t. Each step sums expected counts per task and then k x k numbers of `spread` groups on the driver.
+    seqs: seq_id, date, C_t. Each step sums expected counts over groups of sequences with about `rows` rows each; k x k numbers of
+    each group come to the driver.
     """
     packed = seqs.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "C_t"))), lambda x: x["C_t"].cast("int")).alias("obs"))
-    packed = packed.repartition(spread, "seq_id").cache()
+    packed = packed.repartition(max(1, -(-seqs.count() // rows)), "seq_id").select("obs").cache()
     model, before = CategoricalHMM.initial(k, m, seed), -np.inf
     for _ in range(iterations):
-        def step(batches, model=model):
-            ll, s, t, e = 0.0, np.zeros(k), np.zeros((k, k)), np.zeros((k, m))
-            for pdf in batches:
-                for obs in pdf["obs"]:
-                    got = model.expected(np.asarray(obs, int))
-                    ll, s, t, e = ll + got[0], s + got[1], t + got[2], e + got[3]
-            yield pd.DataFrame({"v": [np.concatenate([[ll], s, t.ravel(), e.ravel()]).tolist()]})
-
-        total = np.sum([r.v for r in packed.select("obs").mapInPandas(step, "v array<double>").collect()], axis=0)
+        def step(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + k + k * k + k * m)
+            for batch in batches:
+                for obs, lengths in _padded([np.asarray(o.values) for o in batch.column(0)]):
+                    ll, s, t, e = model.expected(obs, lengths)
+                    total += np.concatenate([[ll], s, t.ravel(), e.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
+
+        total = np.sum([r.v for r in packed.mapInArrow(step, "v array<double>").collect()], axis=0)
         s, t, e = total[1 : k + 1], total[k + 1 : k + 1 + k * k].reshape(k, k), total[k + 1 + k * k :].reshape(k, m)
         norm = lambda x: (x + 1e-12) / (x + 1e-12).sum(-1, keepdims=True)
         model = CategoricalHMM(norm(s), norm(t), norm(e))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
@@ -42,18 +46,50 @@ def live_z(features: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return out.dropna(subset=[f"z_{c}" for c in LIVE])
 
 
-def rank_bin(c: str, rows: int, k: int) -> Column:
-    """Bin by the share of the previous `rows` values strictly below; null unless there are as many."""
-    past = F.collect_list(c).over(by_code().rowsBetween(-rows, -1))
-    below = F.size(F.filter(past, lambda x: x < F.col(c)))
-    return F.when((F.size(past) == rows) & F.col(c).isNotNull(), F.least(F.lit(k - 1), F.floor(below / F.lit(rows) * k))).cast("long")
+def bins_below(x: np.ndarray, rows: int, k: int) -> np.ndarray:
+    """Bins of x[rows:] by the share of each one's previous `rows` values strictly below; x is (n, columns)."""
+    out = np.empty((len(x) - rows, x.shape[1]), np.int64)
+    past = np.lib.stride_tricks.sliding_window_view(x, rows, axis=0)[:-1]
+    for a in range(0, len(out), 2048):
+        below = (past[a : a + 2048] < x[rows + a : rows + a + 2048, :, None]).sum(2)
+        out[a : a + 2048] = np.minimum(k - 1, below * k // rows)
+    return out
+
+
+def rank_bins(df: DataFrame, cols: list[str], rows: int, k: int) -> DataFrame:
+    """df's rows that have `rows` rows of their code before them, with <col>_bin for each column.
+
+    Values count to nine digits, so that ties don't hang on the last bit. A code's rows pass in order; only the last `rows` of
+    them are held, whatever the length of its history.
+    """
+    kept, at, n = df.columns, [df.columns.index(c) for c in cols], len(cols)
+    code = kept.index("code")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tail = None, np.empty((0, n))
+        for b in batches:
+            codes = np.asarray(b.column(code).to_pylist(), object)
+            x = np.round(np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in at]), 9) if b.num_rows else np.empty((0, n))
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if s == e:
+                    continue
+                if codes[s] != last:
+                    last, tail = codes[s], np.empty((0, n))
+                seen = np.concatenate([tail, x[s:e]])
+                if len(seen) > rows:
+                    found = bins_below(seen, rows, k)
+                    yield pa.RecordBatch.from_arrays([*b.slice(e - len(found), len(found)).columns, *(pa.array(c) for c in found.T)], [*kept, *(f"{c}_bin" for c in cols)])
+                tail = seen[-rows:]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + "".join(f", {c}_bin long" for c in cols)
+    return df.repartition("code").sortWithinPartitions("code", "date").mapInArrow(run, schema)
 
 
 def live_states(z: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Causal bins and state_id in base `bins` over five features."""
-    out = z.select("*", *(rank_bin(f"z_{c}", p.live_window, p.bins).alias(f"z_{c}_bin") for c in LIVE))
-    out = out.withColumn("state_id", encode([F.col(f"z_{c}_bin") for c in LIVE], p.bins))
-    return out.dropna(subset=["state_id"])
+    out = rank_bins(z.dropna(subset=[f"z_{c}" for c in LIVE]), [f"z_{c}" for c in LIVE], p.live_window, p.bins)
+    return out.withColumn("state_id", encode([F.col(f"z_{c}_bin") for c in LIVE], p.bins))
 
 
 def signals(states: DataFrame, priorities: DataFrame, n: int, date: str | None = None, names: DataFrame | None = None) -> DataFrame:
@@ -65,8 +101,8 @@ def signals(states: DataFrame, priorities: DataFrame, n: int, date: str | None =
     today = states.where(F.col("date") == F.lit(day).cast("date"))
     if date is not None and today.isEmpty():
         raise ValueError(f"no states on {date}")
-    out = today.join(F.broadcast(priorities), "state_id")
-    out = out.join(F.broadcast(names), "code", "left").withColumn("name", F.coalesce("name", F.lit("(unknown)"))) if names is not None else out.withColumn("name", F.lit("(unknown)"))
+    out = today.join(priorities, "state_id")
+    out = out.join(names, "code", "left").withColumn("name", F.coalesce("name", F.lit("(unknown)"))) if names is not None else out.withColumn("name", F.lit("(unknown)"))
     return out.select("date", "code", "name", "state_id", "edge", F.lit(1.0 / n).alias("weight")).orderBy(F.desc("edge"), "code").limit(n)
 
 
@@ -95,7 +131,7 @@ def change_rate(landed: DataFrame, previous: DataFrame) -> DataFrame:
     """change_rate against the row before in the batch, else the last close known, else as delivered."""
     w = by_code()
     prev = F.coalesce(F.lag("close").over(w), F.col("prev_close"))
-    return landed.join(F.broadcast(previous), "code", "left").withColumn("change_rate", F.coalesce(F.try_divide(F.col("close"), prev) - 1, F.col("change_rate"))).drop("prev_close")
+    return landed.join(previous, "code", "left").withColumn("change_rate", F.coalesce(F.try_divide(F.col("close"), prev) - 1, F.col("change_rate"))).drop("prev_close")
 
 
 def year_boundaries(panel: DataFrame, tolerance: float = 0.01) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
-from ..functions.columns import by_code, ratio
+from ..functions.columns import by_code, finite, ratio
 
 
 def ev_surface(trades: DataFrame, labels: DataFrame) -> DataFrame:
@@ -18,12 +20,26 @@ def ev_surface(trades: DataFrame, labels: DataFrame) -> DataFrame:
     return g.select("state_id", "macro", "n", "ev", se.alias("se"), F.when(se > 0, F.col("ev") / se).alias("t"))
 
 
+def tradeable_mask(stats: DataFrame, decomposition: DataFrame, classes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """state_id, mask: 1 for states with a positive mean, enough visits, a t of some size in any macro regime, a class that lasts, and a tradeable regime."""
+    t = decomposition.groupBy("state_id").agg(F.max(F.abs("t_one_sample")).alias("t"))
+    rows = stats.join(t, "state_id", "left").join(classes, "state_id", "left")
+    good = (F.col("mu_r_raw") > 0) & (F.col("visits") >= p.min_visits) & (F.col("t") >= p.t_least) & F.col("state_class").isin("INVARIANT", "CONDITIONAL") & F.col("regime").isin(*p.regimes)
+    return rows.select("state_id", F.coalesce(good, F.lit(False)).cast("long").alias("mask"))
+
+
 def transition_filter(kl: DataFrame, stay: DataFrame, quantile: float = 0.9, most_stay: float = 0.5) -> DataFrame:
     """States whose divergence is above its quantile and that seldom stay."""
     cut = kl.agg(F.percentile("kl_bull_bear", F.lit(quantile)).alias("cut"))
     return kl.crossJoin(F.broadcast(cut)).where("kl_bull_bear > cut").join(stay, "state_id").where(F.col("p_stay") < most_stay).select("state_id", "kl_bull_bear", "p_stay")
 
 
+def edge_field(surface: DataFrame) -> DataFrame:
+    """state_id, macro, ev, ev_z: the surface's values standardised within each regime."""
+    w = Window.partitionBy("macro")
+    return surface.select("state_id", "macro", "ev", ratio(F.col("ev") - F.avg("ev").over(w), F.nullif(F.stddev_samp("ev").over(w), F.lit(0.0))).alias("ev_z"))
+
+
 def positive_set(edge: DataFrame) -> DataFrame:
     """z, n, coverage of hidden states with positive edge (D3)."""
     total = edge.agg(F.sum("n").alias("all"))
@@ -72,13 +88,17 @@ def psi(reference: DataFrame, current: DataFrame, by: str, eps: float = 1e-6) ->
     return both.agg(F.sum((b - a) * F.ln(b / a)).alias("psi"))
 
 
-def ks(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
+def ks(reference: DataFrame, current: DataFrame, value: str, buckets: int = 4096) -> DataFrame:
     """One row: Kolmogorov-Smirnov distance of a column in two tables.
 
-    Counts are summed per range partition of the values first, so that the running shares need no single sorted task.
+    Values are counted in buckets of equal width between the least and the largest first, so that the running shares need no
+    single sorted task; a value's bucket follows from the value alone. Null, NaN and infinite values take no part.
     """
-    both = reference.select(F.col(value).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(current.select(F.col(value).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where("x is not null")
-    cells = both.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).repartitionByRange("x").withColumn("part", F.spark_partition_id())
+    both = reference.select(F.col(value).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(current.select(F.col(value).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where(finite(F.col("x")))
+    cells = both.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    ends = both.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    part = F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * buckets), F.lit(0)).cast("int")
+    cells = cells.crossJoin(F.broadcast(ends)).select("x", "a", "b", part.alias("part"))
     sums = cells.groupBy("part").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
     before = sums.select("part", *((F.sum(c).over(Window.orderBy("part")) - F.col(c)).alias(f"before_{c}") for c in ("sa", "sb")))
     total = sums.agg(F.sum("sa").alias("ta"), F.sum("sb").alias("tb"))
@@ -156,16 +176,60 @@ def positions(scored: DataFrame, enter: float, leave: float) -> DataFrame:
     return scored.withColumn("position", F.coalesce(last, F.lit("FLAT")))
 
 
-def occupancy_change(states: DataFrame, short: int = 5, long: int = 60) -> DataFrame:
-    """date, state: mean daily share over the last `short` and `long` calendar rows."""
-    days = states.groupBy("date").pivot("Z_t").agg(F.count(F.lit(1))).fillna(0)
-    names = [c for c in days.columns if c != "date"]
-    total = sum((F.col(f"`{c}`") for c in names), F.lit(0))
-    w = Window.orderBy("date")
-    share = lambda c, n: F.avg(F.col(f"`{c}`") / total).over(w.rowsBetween(1 - n, 0))
-    return days.select("date", F.explode(F.array(*(F.struct(F.lit(c).alias("state"), share(c, short).alias("recent"), share(c, long).alias("usual")) for c in names))).alias("x")).select("date", "x.*")
+def occupancy_change(states: DataFrame, k: int = DEFAULT.latent, short: int = 5, long: int = 60, limit: float = 0.1) -> DataFrame:
+    """date, z, recent, usual, changed: mean daily share over the last `short` and `long` dates, and whether they are apart."""
+    seen = states.where("Z_t <> -1").groupBy("date", F.col("Z_t").cast("long").alias("z")).agg(F.count(F.lit(1)).alias("n"))
+    days = seen.groupBy("date").agg(F.sum("n").alias("all"))
+    grid = days.crossJoin(F.broadcast(states.sparkSession.range(k).withColumnRenamed("id", "z"))).join(seen, ["date", "z"], "left")
+    share = F.coalesce(F.col("n") / F.col("all"), F.lit(0.0))
+    over = lambda n: F.avg(share).over(Window.partitionBy("z").orderBy("date").rowsBetween(1 - n, 0))
+    out = grid.select("date", "z", over(short).alias("recent"), over(long).alias("usual"))
+    return out.withColumn("changed", F.round(F.abs(F.col("recent") - F.col("usual")), 9) > limit)
+
+
+def turnover(weights: DataFrame) -> DataFrame:
+    """date, turnover: half the absolute change of all weights since the date before; the first date buys everything."""
+    days = weights.select("date").distinct().withColumn("day", F.row_number().over(Window.orderBy("date")))
+    rows = weights.join(F.broadcast(days), "date")
+    moved = rows.select("day", "code", F.col("weight").alias("w")).unionByName(rows.select((F.col("day") + 1).alias("day"), "code", (-F.col("weight")).alias("w")))
+    net = moved.groupBy("day", "code").agg(F.sum("w").alias("w")).groupBy("day").agg((F.sum(F.abs("w")) / 2).alias("turnover"))
+    return days.join(F.broadcast(net), "day").select("date", "turnover")
+
+
+def calibration(labels: DataFrame, others: DataFrame, weights: DataFrame, states: DataFrame, dates: DataFrame, split: str, p: Params = DEFAULT, limits: tuple[float, ...] = (0.05, 0.03, 0.15, 0.05)) -> DataFrame:
+    """gate, value, limit, passed of four gates, all of which must pass.
+
+    CAL-1: share of hidden states whose label differs between two fits; CAL-2: cost of the yearly turnover of the weights;
+    CAL-3: largest change of a hidden state's share at a date; CAL-4: share of dates without a candidate.
+    """
+    a, b = labels.select("z", "label"), others.select("z", F.col("label").alias("other"))
+    one = a.join(b, "z", "full").agg(F.avg((~F.col("label").eqNullSafe(F.col("other"))).cast("double")).alias("value"))
+    two = turnover(weights).agg((F.avg("turnover") * p.ann * p.cost).alias("value"))
+    three = occupancy(states.where("Z_t <> -1").select("date", F.col("Z_t").alias("state_id")), split).agg(F.max("drift").alias("value"))
+    held = weights.select("date").distinct().withColumn("held", F.lit(True))
+    four = dates.select("date").distinct().join(held, "date", "left").agg(F.avg(F.col("held").isNull().cast("double")).alias("value"))
+    rows = [x.select(F.lit(f"CAL-{i}").alias("gate"), F.coalesce("value", F.lit(0.0)).alias("value"), F.lit(limit).alias("limit")) for i, (x, limit) in enumerate(zip((one, two, three, four), limits), 1)]
+    return reduce(DataFrame.unionByName, rows).withColumn("passed", F.col("value") < F.col("limit"))
+
+
+def bear_exposure(states: DataFrame, edge: DataFrame, dd: DataFrame, most: float = 0.5, worst: float = -0.1, reduced: float = 0.5) -> DataFrame:
+    """date, score, exposure (D11): the share of a date's codes in hidden states with a negative edge.
+
+    No position where the score is above `most`; below that `reduced` of it while the market's drawdown is at or under `worst`.
+    """
+    bear = edge.select(F.col("z").alias("Z_t"), (F.coalesce("e", F.lit(0.0)) < 0).cast("double").alias("bear"))
+    score = states.where("Z_t <> -1").join(F.broadcast(bear), "Z_t").groupBy("date").agg(F.avg("bear").alias("score"))
+    exposure = F.when(F.col("score") > most, 0.0).when(F.col("dd") <= worst, reduced).otherwise(1.0)
+    return score.join(dd.select("date", "dd"), "date", "left").select("date", "score", exposure.alias("exposure"))
 
 
 def variation(values: DataFrame, value: str) -> DataFrame:
     """One row: mean, sample deviation and their ratio."""
     return values.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")).withColumn("cv", ratio(F.col("std"), F.col("mean")))
+
+
+def aggregation_rule(metrics: DataFrame, baseline: float = 1.806, least_folds: int = 4) -> DataFrame:
+    """One row: mean and worst Sharpe over folds, folds passed, and whether all three are good enough."""
+    m = metrics.agg(F.avg("sharpe").alias("mean_sharpe"), F.min("sharpe").alias("worst_sharpe"), F.sum(F.col("passed").cast("long")).alias("n_passed"))
+    good = (F.col("mean_sharpe") > baseline) & (F.col("worst_sharpe") > 0) & (F.col("n_passed") >= least_folds)
+    return m.withColumn("passed", F.coalesce(good, F.lit(False)))

@@ -8,10 +8,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import CLASS_STATES, CLASSES
 from ..config import TABLES as P
 from ..operators import features, latent, live, macro, states, strategy, surfaces
 from ..sources import sinks, tables
@@ -122,8 +124,22 @@ def decomposition(spark: SparkSession, sf: str) -> DataFrame:
     return macro.state_decomposition(trades(spark, sf), macro_labels(spark, sf), P)
 
 
+def holdings(spark: SparkSession, sf: str) -> DataFrame:
+    """One-day holdings of all rows as trades, for the classes; see config.CLASSES."""
+    rows = states.pairs(labelled(spark, sf))
+    return rows.select(F.col("date").alias("entry_date"), "code", (F.col("state_id") % CLASS_STATES).alias("state_id"), "regime", F.col("next_r").alias("ret_gross"), (F.col("next_r") - P.cost).alias("ret_net"))
+
+
+def class_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return macro.regime_fsm(market(spark, sf).select("date", "dd"), CLASSES)
+
+
+def flips(spark: SparkSession, sf: str) -> DataFrame:
+    return macro.flip_map(macro.state_decomposition(holdings(spark, sf), class_labels(spark, sf), CLASSES), CLASSES)
+
+
 def classes(spark: SparkSession, sf: str) -> DataFrame:
-    return macro.classify(macro.flip_map(decomposition(spark, sf), P), P)
+    return macro.classify(flips(spark, sf), CLASSES)
 
 
 def drift(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,8 +203,8 @@ def _daily1(s: SparkSession, d: str) -> DataFrame:
 
 register("a9_identify", "pick1", f"SELECT state_id, visits, {rs('mu_r sigma_r')}, regime, {r('t_stat')}, tradeable FROM pick1")(_pick1)
 register("b1_overlapping", "daily1", f"SELECT date, n_trades, {rs('ret_gross ret_net')}, {lg('cum_gross cum_net')} FROM daily1")(lambda s, d: grown(_daily1(s, d).select("date", "n_trades", "ret_gross", "ret_net", "cum_gross", "cum_net"), "cum_gross", "cum_net"))
-register("b2_metrics", "daily1", f"""SELECT n_trades, {rs('mean_gross mean_net')}, round(mean_gross / sd_gross * sqrt(252.0), 6) + 0.0 AS sharpe_gross, round(mean_net / sd_net * sqrt(252.0), 6) + 0.0 AS sharpe_net, {r('n_win / n_trades', 'win_rate')}, {lg('mdd final_cum_net')} FROM (SELECT CAST(sum(n_trades) AS BIGINT) AS n_trades, avg(ret_gross) AS mean_gross, avg(ret_net) AS mean_net, stddev_samp(ret_gross) AS sd_gross, stddev_samp(ret_net) AS sd_net, min(dd) AS mdd, sum(n_win) AS n_win,
-  min(date) AS first, max(date) AS last, arg_max(cum_net, date) AS final_cum_net FROM (SELECT *, (1 + cum_net) / max(1 + cum_net) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM daily1))""")(lambda s, d: grown(strategy.daily_metrics(_daily1(s, d), P.ann).drop("cagr_net"), "mdd", "final_cum_net"))
+register("b2_metrics", "daily1", f"""SELECT n_trades, {rs('mean_gross mean_net')}, round(mean_gross / sd_gross * sqrt(252.0), 6) + 0.0 AS sharpe_gross, round(mean_net / sd_net * sqrt(252.0), 6) + 0.0 AS sharpe_net, {r('n_win / n_trades', 'win_rate')}, {lg('mdd final_cum_net')}, {r('sign(cagr_net) * ln(1 + abs(cagr_net))', 'log_cagr_net')} FROM (SELECT *, CASE WHEN last > first THEN pow(1 + final_cum_net, 1 / ((last - first) / 365.25)) - 1 END AS cagr_net FROM (SELECT CAST(sum(n_trades) AS BIGINT) AS n_trades, avg(ret_gross) AS mean_gross, avg(ret_net) AS mean_net, stddev_samp(ret_gross) AS sd_gross, stddev_samp(ret_net) AS sd_net, min(dd) AS mdd, sum(n_win) AS n_win,
+  min(date) AS first, max(date) AS last, arg_max(cum_net, date) AS final_cum_net FROM (SELECT *, (1 + cum_net) / max(1 + cum_net) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM daily1)))""")(lambda s, d: grown(strategy.daily_metrics(_daily1(s, d), P.ann), "mdd", "final_cum_net", "cagr_net"))
 HS = " UNION ALL ".join(f"SELECT {h} AS h, code, date, state_id, regime, lead(close, {h}) OVER (PARTITION BY code ORDER BY date) / close - 1 AS ret FROM lab" for h in P.horizons)
 
 
@@ -236,11 +252,14 @@ BIG = "CASE WHEN std = 0 THEN sign(mean) ELSE round(t_one_sample, 6) END + 0.0 A
 register("a17_state_decomposition", "dec", f"SELECT state_id, macro_regime, n, {rs('mean std sum se')}, {BIG} FROM dec")(lambda s, d: decomposition(s, d).withColumn("t_one_sample", F.when(F.col("std") == 0, F.signum("mean")).otherwise(F.col("t_one_sample"))))
 register("a18_transition_drift", "drift", f"SELECT regime, state_id, next_state, n, {r('P')} FROM drift")(drift)
 register("a19_kl", "kl", f"SELECT state_id, {r('kl_bull_bear')} FROM kl")(lambda s, d: macro.kl_bull_bear(drift(s, d), P))
-register("a20_flip_map", "flip", f"SELECT state_id, n_bull, n_bear, {rs('mu_bull mu_bear s2_bull s2_bear')}, reliable FROM flip")(lambda s, d: macro.flip_map(decomposition(s, d), P).select("state_id", "n_bull", "n_bear", "mu_bull", "mu_bear", "s2_bull", "s2_bear", "reliable"))
-register("a21_classes", "classes", "SELECT state_id, state_class FROM classes")(classes)
-SUM = f"count(*) AS n, {r('sum(ret_net)', 'sum')}, {r('avg(ret_net)', 'mean')}, {r('coalesce(CASE WHEN count(*) > 1 THEN stddev_samp(ret_net) END, 0.0)', 'std')}"
+FLIP_T = "t_flip t_bull_pos t_bear_pos"
+register("a20_flip_map", "cflip", f"SELECT state_id, n_bull, n_bear, {rs('mu_bull mu_bear s2_bull s2_bear')}, reliable, {lg(FLIP_T)} FROM cflip")(
+    lambda s, d: grown(flips(s, d).select("state_id", "n_bull", "n_bear", "mu_bull", "mu_bear", "s2_bull", "s2_bear", "reliable", *FLIP_T.split()), *FLIP_T.split())
+)
+register("a21_classes", "cclasses", "SELECT state_id, state_class FROM cclasses")(classes)
+SUM = f"count(*) AS n, {r('coalesce(sum(ret_net), 0.0)', 'sum')}, {r('coalesce(avg(ret_net), 0.0)', 'mean')}, {r('coalesce(CASE WHEN count(*) > 1 THEN stddev_samp(ret_net) END, 0.0)', 'std')}"
 register("a22_summary", "trades", f"SELECT {SUM} FROM trades")(lambda s, d: macro.summary(trades(s, d)))
-register("a23_pnl_by_class", "attr", f"SELECT state_class, {SUM} FROM attr GROUP BY 1")(lambda s, d: macro.summary(macro.attribution(trades(s, d), classes(s, d)), "state_class"))
+register("a23_pnl_by_class", "cattr", f"SELECT state_class, {SUM} FROM cattr GROUP BY 1")(lambda s, d: macro.summary(macro.attribution(holdings(s, d), classes(s, d)), "state_class"))
 register("a23_pnl_by_regime", "trades", f"SELECT regime, {SUM} FROM trades GROUP BY 1")(lambda s, d: macro.summary(trades(s, d), "regime"))
 CO = "SELECT code, state_id, sum(ret_net) AS s, count(*) AS n FROM trades GROUP BY 1, 2"
 register("a24_contributors", "trades", f"SELECT code, state_id, {r('s', 'sum')}, n, 'top' AS side FROM (SELECT * FROM ({CO}) ORDER BY s DESC, code, state_id LIMIT 20) UNION ALL SELECT code, state_id, {r('s', 'sum')}, n, 'bottom' FROM (SELECT * FROM ({CO}) ORDER BY s, code, state_id LIMIT 20)")(lambda s, d: macro.contributors(trades(s, d), 20))
@@ -250,7 +269,9 @@ register("a26_stay_by_regime", "drift", f"SELECT state_id, {rs('BULL BEAR')}, {r
 cnt = lambda x: f"count(CASE WHEN regime = '{x}' THEN 1 END)"
 register("a27_regime_frequency", "fsm", f"SELECT CAST(year(date) AS INT) AS year, " + ", ".join(f"{cnt(x)} AS {x}, {r(f'{cnt(x)} / count(*)', f'share_{x}')}" for x in ("BULL", "BEAR", "RECOVERY")) + " FROM fsm GROUP BY 1")(lambda s, d: macro.regime_frequency(macro_labels(s, d)))
 register("a28_distribution_shift", "states", f"SELECT state_id, {rs('early late')}, {r('late - early', 'delta')} FROM (SELECT state_id, count(CASE WHEN NOT l THEN 1 END) / sum(count(CASE WHEN NOT l THEN 1 END)) OVER () AS early, count(CASE WHEN l THEN 1 END) / sum(count(CASE WHEN l THEN 1 END)) OVER () AS late FROM (SELECT state_id, (date - DATE '1970-01-01') > (SELECT quantile_cont(date - DATE '1970-01-01', 0.5) FROM states) AS l FROM states) GROUP BY 1)")(lambda s, d: macro.distribution_shift(state_rows(s, d)))
-register("a29_class_distribution", "classes", "SELECT c.state_class, count(classes.state_id) AS n FROM (SELECT unnest(['INVARIANT', 'CONDITIONAL', 'TRAP', 'DEAD', 'AMBIGUOUS', 'INSUFFICIENT']) AS state_class) c LEFT JOIN classes USING (state_class) GROUP BY 1")(lambda s, d: macro.class_distribution(classes(s, d)))
+register("a29_class_distribution", "cclasses", "SELECT c.state_class, count(cclasses.state_id) AS n FROM (SELECT unnest(['INVARIANT', 'CONDITIONAL', 'TRAP', 'DEAD', 'AMBIGUOUS', 'INSUFFICIENT']) AS state_class) c LEFT JOIN cclasses USING (state_class) GROUP BY 1")(lambda s, d: macro.class_distribution(classes(s, d)))
+register("a30_states_of_class", "cclasses", "SELECT state_id FROM cclasses WHERE state_class = 'INVARIANT' ORDER BY state_id")(lambda s, d: macro.states_of_class(classes(s, d), "INVARIANT"))
+register("l6_top_stay", "drift", f"SELECT state_id, {r('BEAR - BULL', 'delta')} FROM ({STAY}) ORDER BY round(abs(BEAR - BULL), 9) DESC, state_id LIMIT {P.top_states}")(lambda s, d: macro.top(macro.stay_by_regime(drift(s, d)).withColumn("k", F.round("abs_delta", 9)), "k", P.top_states, "state_id").select("state_id", "delta"))
 register("l5_top_kl", "kl", f"SELECT state_id, {r('kl_bull_bear')} FROM kl ORDER BY round(kl_bull_bear, 9) DESC, state_id LIMIT {P.top_states}")(lambda s, d: macro.top(macro.kl_bull_bear(drift(s, d), P).withColumn("k", F.round("kl_bull_bear", 9)), "k", P.top_states, "state_id").drop("k"))
 
 # Hidden states
@@ -283,8 +304,9 @@ def _signals(s: SparkSession, d: str) -> DataFrame:
 
 
 register("l2_signals", "states edge", f"SELECT date, code, '(unknown)' AS name, state_id, {r('E_raw', 'edge')}, 0.1 AS weight FROM states JOIN edge USING (state_id) WHERE E_raw > 0 AND date = (SELECT max(date) FROM states) ORDER BY E_raw DESC, code LIMIT 10")(_signals)
-register("k8_signal_json")(lambda s, d: live.render_json(_signals(s, d)))
-register("k8_signal_text")(lambda s, d: live.render_text(_signals(s, d)))
+SIG = f"SELECT date, code, state_id, E_raw AS edge FROM states JOIN edge USING (state_id) WHERE E_raw > 0 AND date = (SELECT max(date) FROM states) ORDER BY E_raw DESC, code LIMIT 10"
+register("k8_signal_json", "states edge", f"""SELECT report FROM (SELECT '{{"date":"' || strftime(max(date), '%Y-%m-%d') || '","n_signals":' || count(*) || ',"signals":[' || string_agg('{{"symbol":"' || code || '","state_id":' || state_id || ',"weight":0.1,"edge":' || CAST(round(edge, 6) AS VARCHAR) || '}}', ',' ORDER BY edge DESC, code) || ']}}' AS report FROM ({SIG}))""")(lambda s, d: live.render_json(_signals(s, d)))
+register("k8_signal_text", "states edge", f"""SELECT '[' || strftime(max(date), '%Y-%m-%d') || ']' || chr(10) || '  signals: ' || count(*) || chr(10) || string_agg(printf('  BUY: %s %-10s (state=%d, edge=%+.4f, w=%.2f)', CAST(code AS VARCHAR), '(unknown)', state_id, edge, 0.1), chr(10) ORDER BY edge DESC, code) AS report FROM ({SIG})""")(lambda s, d: live.render_text(_signals(s, d)))
 register("a35_previous_close", "panel", f"SELECT code, {r('arg_max(close, date)', 'prev_close')} FROM panel GROUP BY 1")(lambda s, d: live.previous_close(panel(s, d)))
 register("w14_change_rate", "panel", f"SELECT code, date, {r('coalesce(close / coalesce(lag(close) OVER (PARTITION BY code ORDER BY date), prev) - 1, 0.5)', 'change_rate')} FROM panel LEFT JOIN (SELECT code, arg_max(close, date) AS prev FROM panel WHERE date < DATE '1998-01-01' GROUP BY 1) USING (code) WHERE date >= DATE '1998-01-01'")(
     lambda s, d: live.change_rate(panel(s, d).where("date >= '1998-01-01'").withColumn("change_rate", F.lit(0.5)), live.previous_close(panel(s, d).where("date < '1998-01-01'"))).select("code", "date", "change_rate")
@@ -344,28 +366,110 @@ def _kernel(s: SparkSession, d: str) -> DataFrame:
 
 _ks = _kernel_sql()
 register("d20_kernel_edge", "ke", _ks)(lambda s, d: _kernel(s, d).select("code", "date", "edge", "var"))
-register("d21_long_run")(lambda s, d: surfaces.long_run(_kernel(s, d).join(features.forward(state_rows(s, d)).select("code", "date", F.col("next_r").alias("f")), ["code", "date"])))
-register("d13_occupancy_change")(lambda s, d: surfaces.occupancy_change(hidden(s, d)))
-register("d2_transition_filter")(lambda s, d: surfaces.transition_filter(macro.kl_bull_bear(drift(s, d), P), states.state_stats(valid_pairs(s, d), P).select("state_id", "p_stay")))
-register("d10_fold_variation")(lambda s, d: surfaces.variation(strategy.walk_forward(labelled(s, d), P), "sharpe"))
+register("d21_long_run", "ke fwd", f"SELECT {r('corr(edge, next_r)', 'corr')}, {r('avg(CASE WHEN edge - sqrt(var) > 0 THEN next_r END)', 'entry_mean')}, count(CASE WHEN edge - sqrt(var) > 0 THEN 1 END) AS entries FROM (SELECT *, greatest(sq - edge * edge, 0.0) AS var FROM ke) k JOIN fwd USING (code, date)")(
+    lambda s, d: surfaces.long_run(_kernel(s, d).join(features.forward(state_rows(s, d)).select("code", "date", F.col("next_r").alias("f")), ["code", "date"]))
+)
+register("d13_occupancy_change", "hid", f"""SELECT date, z, {rs('recent usual')}, round(abs(recent - usual), 9) > 0.1 AS changed FROM (SELECT date, z, avg(x) OVER (PARTITION BY z ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS recent, avg(x) OVER (PARTITION BY z ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS usual
+  FROM (SELECT date, z, coalesce(n, 0) / a AS x FROM (SELECT date, count(*) AS a FROM hid WHERE Z_t <> -1 GROUP BY 1) CROSS JOIN (SELECT range AS z FROM range(8)) LEFT JOIN (SELECT date, Z_t AS z, count(*) AS n FROM hid WHERE Z_t <> -1 GROUP BY 1, 2) USING (date, z)))""")(lambda s, d: surfaces.occupancy_change(hidden(s, d)))
+register("d2_transition_filter", "kl stats", f"SELECT state_id, {rs('kl_bull_bear p_stay')} FROM kl JOIN stats USING (state_id) WHERE kl_bull_bear > (SELECT quantile_cont(kl_bull_bear, 0.9) FROM kl) AND p_stay < 0.5")(lambda s, d: surfaces.transition_filter(macro.kl_bull_bear(drift(s, d), P), states.state_stats(valid_pairs(s, d), P).select("state_id", "p_stay")))
+register("d2_mask", "reg cdec cclasses", f"""SELECT state_id, CAST(coalesce(mu_r_raw > 0 AND visits >= {P.min_visits} AND t >= {P.t_least} AND state_class IN ('INVARIANT', 'CONDITIONAL') AND regime IN ('TREND', 'RANGE'), false) AS BIGINT) AS mask
+  FROM reg LEFT JOIN (SELECT state_id, max(abs(t_one_sample)) AS t FROM cdec GROUP BY 1) USING (state_id) LEFT JOIN cclasses USING (state_id)""")(
+    lambda s, d: surfaces.tradeable_mask(states.state_table(valid_pairs(s, d), P), macro.state_decomposition(holdings(s, d), class_labels(s, d), CLASSES), classes(s, d), P)
+)
+register("d2_edge_field", "cmtr", f"SELECT state_id, macro, {r('ev')}, {r('(ev - avg(ev) OVER w) / nullif(stddev_samp(ev) OVER w, 0)', 'ev_z')} FROM (SELECT state_id, macro_regime AS macro, avg(ret_net) AS ev FROM cmtr GROUP BY 1, 2) WINDOW w AS (PARTITION BY macro)")(lambda s, d: surfaces.edge_field(surfaces.ev_surface(holdings(s, d), class_labels(s, d))))
+register("d10_fold_variation", "metf", f"SELECT {r('avg(sharpe)', 'mean')}, {r('stddev_samp(sharpe)', 'std')}, {r('stddev_samp(sharpe) / avg(sharpe)', 'cv')} FROM metf")(lambda s, d: surfaces.variation(strategy.walk_forward(labelled(s, d), P), "sharpe"))
+register("d10_aggregation_rule", "metf", f"SELECT {r('avg(sharpe)', 'mean_sharpe')}, {r('min(sharpe)', 'worst_sharpe')}, CAST(sum(CAST(passed AS INT)) AS BIGINT) AS n_passed, coalesce(avg(sharpe) > 1.806 AND min(sharpe) > 0 AND sum(CAST(passed AS INT)) >= 4, false) AS passed FROM metf")(lambda s, d: surfaces.aggregation_rule(strategy.walk_forward(labelled(s, d), P)))
+register("d11_bear_exposure", "hid hes equity", f"SELECT date, {r('score')}, CAST(CASE WHEN score > 0.5 THEN 0.0 WHEN dd <= -0.1 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS exposure FROM (SELECT date, avg(CASE WHEN coalesce(e, 0.0) < 0 THEN 1.0 ELSE 0.0 END) AS score FROM hid JOIN hes ON Z_t = z GROUP BY 1) LEFT JOIN equity USING (date)")(
+    lambda s, d: surfaces.bear_exposure(hidden(s, d), latent.edge_state(hidden(s, d)), market(s, d))
+)
+
+
+def _half_labels(s: SparkSession, d: str, late: bool) -> DataFrame:
+    after = F.col("date") >= F.lit(P.test_start).cast("date")
+    return latent.label_scores(hidden(s, d).where(after if late else ~after))
 
-# Learned models: invariants are tested instead of ids
 
+def _calibration_sql() -> str:
+    from . import oracles as o
+
+    lab = lambda when: f"SELECT z, CASE WHEN SHOCK = m THEN 'SHOCK' WHEN TRANSITION = m THEN 'TRANSITION' WHEN TREND = m THEN 'TREND' ELSE 'RANGE' END AS label FROM (SELECT *, greatest(SHOCK, TRANSITION, TREND, RANGE) AS m FROM (SELECT *, 1 - (TREND + RANGE + SHOCK) AS TRANSITION FROM (SELECT Z_t AS z, avg(CASE WHEN state_id % 6 IN (0, 5) AND {lo} THEN 1.0 ELSE 0.0 END) AS TREND, avg(CASE WHEN state_id % 6 IN (2, 3) AND {lo} THEN 1.0 ELSE 0.0 END) AS RANGE, avg(CASE WHEN (state_id // 6) % 6 IN (4, 5) THEN 1.0 ELSE 0.0 END) AS SHOCK FROM hid WHERE Z_t <> -1 AND {when} GROUP BY 1)))"
+    o.cte("wts", "hid hes", "SELECT date, code, 1.0 / count(*) OVER (PARTITION BY date) AS w FROM hid WHERE Z_t IN (SELECT z FROM hes WHERE e > 0)")
+    o.cte("wtd", "wts", "SELECT code, w, dense_rank() OVER (ORDER BY date) AS day FROM wts")
+    o.cte("wtn", "wtd", "SELECT day, sum(abs(w)) / 2 AS turnover FROM (SELECT day, code, sum(w) AS w FROM (SELECT day, code, w FROM wtd UNION ALL SELECT day + 1, code, -w FROM wtd) GROUP BY 1, 2) GROUP BY 1")
+    split = f"DATE '{P.test_start}'"
+    gates = [
+        f"SELECT 'CAL-1' AS gate, avg(CASE WHEN a.label IS NOT DISTINCT FROM b.label THEN 0.0 ELSE 1.0 END) AS value, 0.05 AS lim FROM ({lab(f'date < {split}')}) a FULL JOIN ({lab(f'date >= {split}')}) b USING (z)",
+        f"SELECT 'CAL-2', avg(turnover) * {P.ann} * {P.cost}, 0.03 FROM wtn WHERE day <= (SELECT max(day) FROM wtd)",
+        f"SELECT 'CAL-3', max(abs(b - a)), 0.15 FROM (SELECT count(CASE WHEN date < {split} THEN 1 END) / sum(count(CASE WHEN date < {split} THEN 1 END)) OVER () AS a, count(CASE WHEN date >= {split} THEN 1 END) / sum(count(CASE WHEN date >= {split} THEN 1 END)) OVER () AS b FROM hid WHERE Z_t <> -1 GROUP BY Z_t)",
+        "SELECT 'CAL-4', avg(CASE WHEN date IN (SELECT date FROM wts) THEN 0.0 ELSE 1.0 END), 0.05 FROM (SELECT DISTINCT date FROM hid)",
+    ]
+    return f"SELECT gate, {r('value')}, {r('lim', 'limit_')}, value < lim AS passed FROM ({' UNION ALL '.join(gates)})"
+
+
+_cal = _calibration_sql()
+register("d9_calibration", "hid hes wts wtd wtn", _cal)(
+    lambda s, d: surfaces.calibration(_half_labels(s, d, False), _half_labels(s, d, True), surfaces.equal_weights(hidden(s, d), surfaces.positive_set(latent.edge_state(hidden(s, d)))), hidden(s, d), hidden(s, d), P.test_start, P).withColumnRenamed("limit", "limit_")
+)
 
-def _clusters(s: SparkSession, d: str) -> DataFrame:
-    rows = features.valid_mask(state_rows(s, d), [f"z_{c}" for c in features.Z])
-    return latent.kmeans(rows, [f"z_{c}" for c in features.Z], P.latent)
+# Learned models: the chain of clusters, hidden states, labels, transitions and edges; invariants are compared instead of ids
 
 
-def _hmm(s: SparkSession, d: str) -> DataFrame:
-    rows = _clusters(s, d)
+@shared
+def clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows, warm-up included, with C_t, -1 where a z-score is missing."""
+    zs = [f"z_{c}" for c in features.Z]
+    rows = features.valid_mask(features.state_vector(panel(spark, sf), P), zs)
+    return latent.kmeans(rows, zs, P.latent).select("code", "date", "p", "state_id", *zs, "valid", "C_t")
+
+
+@shared
+def regimes(spark: SparkSession, sf: str) -> DataFrame:
+    """code, date, p, state_id, C_t, Z_t, R_t of all rows: HMM, Viterbi, labels."""
+    rows = clustered(spark, sf)
     seqs = latent.sequences(rows).select("seq_id", "code", "date", "C_t")
     found = latent.decode_states(seqs, latent.fit_hmm(seqs, P.latent, P.latent))
-    return found.unionByName(rows.where("not valid").select("code", "date", F.lit(-1).alias("Z_t")))
+    rows = rows.select("code", "date", "p", "state_id", "C_t").join(found, ["code", "date"], "left").withColumn("Z_t", F.coalesce("Z_t", F.lit(-1)))
+    return latent.apply_labels(rows, latent.label_scores(rows))
+
+
+def _nearest_share(s: SparkSession, d: str) -> DataFrame:
+    """Of the rows in clusters, the share whose own cluster's mean is the nearest of all means."""
+    zs, rows = [f"z_{c}" for c in features.Z], clustered(s, d)
+    means = rows.where("valid").groupBy("C_t").agg(*(F.avg(c).alias(c) for c in zs)).agg(F.collect_list(F.struct("C_t", *zs)).alias("means"))
+    gap = lambda m: sum(((m[c] - F.col(c)) * (m[c] - F.col(c)) for c in zs), F.lit(0.0))
+    best = F.array_min(F.transform("means", lambda m: F.struct(gap(m).alias("gap"), m["C_t"].alias("c"))))["c"]
+    return rows.crossJoin(F.broadcast(means)).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("n_valid"), F.count_if(F.col("C_t") >= 0).alias("n_clustered"), F.countDistinct(F.when(F.col("valid"), F.col("C_t"))).alias("clusters"), F.round(F.avg(F.when(F.col("valid"), (best == F.col("C_t")).cast("double"))), 2).alias("nearest")
+    )
+
+
+OK = " AND ".join(f"z_{c} IS NOT NULL" for c in features.Z)
+register("m1_kmeans", "zs", f"SELECT count(*) AS n, count(CASE WHEN {OK} THEN 1 END) AS n_valid, count(CASE WHEN {OK} THEN 1 END) AS n_clustered, CAST(8 AS BIGINT) AS clusters, CAST(1.0 AS DOUBLE) AS nearest FROM zs")(_nearest_share)
+register("m2_hmm_states", "zs", f"SELECT count(*) AS n, count(CASE WHEN {OK} THEN 1 END) AS n_decoded, CAST(0 AS BIGINT) AS outside FROM zs")(
+    lambda s, d: regimes(s, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("Z_t") >= 0).alias("n_decoded"), F.count_if(~F.col("Z_t").between(-1, P.latent - 1)).alias("outside"))
+)
+register("m3_hidden_transitions", "zs", f"SELECT count(CASE WHEN ok AND next THEN 1 END) AS pairs, CAST(64 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS bad FROM (SELECT ok, lead(ok) OVER (PARTITION BY code ORDER BY date) AS next FROM (SELECT code, date, {OK} AS ok FROM zs))")(
+    lambda s, d: (m := latent.transition_matrix(regimes(s, d), P.latent)).agg(F.sum("c").alias("pairs"), F.count(F.lit(1)).alias("cells")).crossJoin(
+        m.groupBy("z").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.min("t").alias("least")).agg(F.count_if((F.abs(F.col("t") - F.when(F.col("c") > 0, 1.0).otherwise(0.0)) > 1e-9) | (F.col("least") < 0)).alias("bad"))
+    )
+)
+register("m4_edges", "zs", f"SELECT count(CASE WHEN ok AND next AND p + np IS NOT NULL THEN 1 END) AS n, CAST(8 AS BIGINT) AS states, CAST(8 AS BIGINT) AS ok FROM (SELECT ok, p, lead(p) OVER w AS np, lead(ok) OVER w AS next FROM (SELECT code, date, p, {OK} AS ok FROM zs) WINDOW w AS (PARTITION BY code ORDER BY date))")(
+    lambda s, d: latent.identity_check(regimes(s, d), P.latent).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("states"), F.count_if("ok").alias("ok"))
+)
+register("m5_labels", "zs", f"SELECT count(*) AS n, count(CASE WHEN {OK} THEN 1 END) AS n_labelled, CAST(0 AS BIGINT) AS odd, CAST(0 AS BIGINT) AS unknown FROM zs")(
+    lambda s, d: regimes(s, d).agg(F.count(F.lit(1)).alias("n"), F.count("R_t").alias("n_labelled"), F.count_if((F.col("Z_t") == -1) != F.col("R_t").isNull()).alias("odd"), F.count_if(~F.col("R_t").isin(*latent.LABELS)).alias("unknown"))
+)
+
+
+def _stationary(s: SparkSession, d: str) -> DataFrame:
+    cells = latent.transition_matrix(regimes(s, d), P.latent).orderBy("z", "z_next").collect()
+    t = np.array([c.t for c in cells]).reshape(P.latent, P.latent)
+    pi = latent.stationary(t)
+    moved = pi @ t - pi if np.allclose(t.sum(1), 1) else 0 * pi
+    return s.createDataFrame([(round(float(pi.sum()), 6), round(float(np.abs(moved).max()), 6), len(pi))], "total double, moved double, states long")
 
 
-register("m1_kmeans")(lambda s, d: _clusters(s, d).groupBy("C_t").agg(F.count(F.lit(1)).alias("n")))
-register("m2_hmm_states")(lambda s, d: _hmm(s, d).groupBy("Z_t").agg(F.count(F.lit(1)).alias("n")))
+register("m4_stationary", "", "SELECT CAST(1.0 AS DOUBLE) AS total, CAST(0.0 AS DOUBLE) AS moved, CAST(8 AS BIGINT) AS states")(_stationary)
 register("d16_gmm")(lambda s, d: surfaces.gmm_regimes(state_rows(s, d).select("code", "date", "z_r", "z_sigma"), ["z_r", "z_sigma"]).groupBy("regime").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..config import CLASS_STATES, CLASSES, Params
 from ..config import TABLES as P
 
 K = P.bins
@@ -26,7 +27,7 @@ def query(needs: str, sql: str) -> str:
 
     for n in needs.split():
         visit(n)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + sql
+    return sql if not order else "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + sql
 
 
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:
@@ -121,15 +122,15 @@ cte("days", "lab", f"SELECT DISTINCT 0 AS fold, date FROM lab WHERE date >= DATE
 cte("path", "trades days retd", path("trades", "days", False))
 
 
-def metrics(path_: str, trades: str) -> str:
+def metrics(path_: str, trades: str, join: str = "") -> str:
     root = f"sqrt({float(P.ann)})"
-    return f"""SELECT fold, n_trades, win_rate_net, avg_active, CASE WHEN sd > 0 THEN mu / sd * {root} END AS sharpe, CASE WHEN dn > 1 AND dsd > 0 THEN mu / dsd * {root} END AS sortino, mdd, cagr,
+    return f"""SELECT fold, coalesce(n_trades, 0) AS n_trades, win_rate_net, avg_active, CASE WHEN sd > 0 THEN mu / sd * {root} END AS sharpe, CASE WHEN dn > 1 AND dsd > 0 THEN mu / dsd * {root} END AS sortino, mdd, cagr,
   CASE WHEN mdd < 0 THEN cagr / abs(mdd) END AS calmar, final_equity, coalesce(CASE WHEN sd > 0 THEN mu / sd * {root} END > {P.pass_sharpe} AND mdd > {P.pass_mdd}, false) AS passed FROM (
   SELECT *, CASE WHEN final_equity > 0 AND last > first THEN pow(final_equity, 1 / ((last - first) / 365.25)) - 1 END AS cagr FROM (
   SELECT fold, avg(CASE WHEN n_active > 0 THEN port_ret END) AS mu, stddev_pop(CASE WHEN n_active > 0 THEN port_ret END) AS sd, stddev_pop(CASE WHEN n_active > 0 AND port_ret < 0 THEN port_ret END) AS dsd,
   count(CASE WHEN n_active > 0 AND port_ret < 0 THEN 1 END) AS dn, min(dd) AS mdd, avg(n_active) AS avg_active, min(date) AS first, max(date) AS last, arg_max(equity, date) AS final_equity
   FROM (SELECT *, equity / max(equity) OVER (PARTITION BY fold {UPTO}) - 1 AS dd FROM {path_}) GROUP BY fold)
-  JOIN (SELECT fold, count(*) AS n_trades, avg(CASE WHEN ret_net > 0 THEN 1.0 ELSE 0.0 END) AS win_rate_net FROM {trades} GROUP BY fold) USING (fold))"""
+  {join}JOIN (SELECT fold, count(*) AS n_trades, avg(CASE WHEN ret_net > 0 THEN 1.0 ELSE 0.0 END) AS win_rate_net FROM {trades} GROUP BY fold) USING (fold))"""
 
 
 cte("folds", "", f"SELECT unnest([{', '.join(map(str, P.folds))}]) AS fold")
@@ -144,23 +145,37 @@ for s in ("", "b"):
     cte(f"tradesf{s}", f"tradesf{s}0", f"SELECT fold, date AS entry_date, exit_date, code, state_id, regime, ret_h AS ret_gross, ret_h - {P.cost} AS ret_net FROM tradesf{s}0")
     cte(f"pathf{s}", f"tradesf{s} daysf retd", path(f"tradesf{s}", "daysf", True))
     cte(f"metf{s}", f"pathf{s} tradesf{s}", metrics(f"pathf{s}", f"tradesf{s}"))
-cte("met", "path trades", metrics("path", "trades"))
+cte("met", "path trades", metrics("path", "trades", "LEFT "))
 cte("equity", "lab", f"""SELECT date, equity_market, equity_market / max(equity_market) OVER ({UPTO}) - 1 AS dd FROM (SELECT date, exp(sum(m) OVER ({UPTO})) AS equity_market FROM (
   SELECT date, coalesce(avg(CASE WHEN day = lday + 1 THEN ln(close) - ln(lclose) END), 0.0) AS m FROM (SELECT *, lag(day) {W} AS lday, lag(close) {W} AS lclose FROM (SELECT *, dense_rank() OVER (ORDER BY date) AS day FROM lab)) GROUP BY date))""")
 cte("eqn", "equity", "SELECT *, row_number() OVER (ORDER BY date) AS i FROM equity")
-NEXT = lambda cur: f"CASE WHEN {cur} IN ('BULL', 'RECOVERY') AND e.dd <= {P.dd_bear} THEN 'BEAR' WHEN {cur} = 'BEAR' AND e.dd >= {P.dd_recover} THEN 'RECOVERY' WHEN {cur} = 'RECOVERY' AND e.dd >= {P.dd_bull} THEN 'BULL' ELSE {cur} END"
-cte("fsm", "eqn", f"SELECT i, date, dd, {NEXT(chr(39) + 'BULL' + chr(39))} AS regime FROM eqn e WHERE i = 1 UNION ALL SELECT e.i, e.date, e.dd, {NEXT('f.regime')} FROM fsm f JOIN eqn e ON e.i = f.i + 1")
-cte("mtr", "trades fsm", "SELECT trades.*, fsm.regime AS macro_regime FROM trades JOIN fsm ON fsm.date = trades.entry_date")
-cte("dec", "mtr", f"SELECT *, mean / (se + {P.eps}) AS t_one_sample FROM (SELECT *, std / sqrt(n) AS se FROM (SELECT state_id, macro_regime, count(*) AS n, avg(ret_net) AS mean, coalesce(stddev_samp(ret_net), 0.0) AS std, sum(ret_net) AS sum FROM mtr GROUP BY 1, 2))")
+
+
+def fsm(name: str, p: Params) -> str:
+    step = lambda cur: f"CASE WHEN {cur} IN ('BULL', 'RECOVERY') AND e.dd <= {p.dd_bear} THEN 'BEAR' WHEN {cur} = 'BEAR' AND e.dd >= {p.dd_recover} THEN 'RECOVERY' WHEN {cur} = 'RECOVERY' AND e.dd >= {p.dd_bull} THEN 'BULL' ELSE {cur} END"
+    return f"SELECT i, date, dd, {step(chr(39) + 'BULL' + chr(39))} AS regime FROM eqn e WHERE i = 1 UNION ALL SELECT e.i, e.date, e.dd, {step('f.regime')} FROM {name} f JOIN eqn e ON e.i = f.i + 1"
+
+
+def decomposed(pre: str, p: Params) -> None:
+    """Regimes, trades by regime, decomposition, flip map, classes and attribution of the trades in <pre>trades."""
+    trades, labels = f"{pre}trades", f"{pre}fsm"
+    cte(labels, "eqn", fsm(labels, p))
+    cte(f"{pre}mtr", f"{trades} {labels}", f"SELECT {trades}.*, {labels}.regime AS macro_regime FROM {trades} JOIN {labels} ON {labels}.date = {trades}.entry_date")
+    cte(f"{pre}dec", f"{pre}mtr", f"SELECT *, mean / (se + {p.eps}) AS t_one_sample FROM (SELECT *, std / sqrt(n) AS se FROM (SELECT state_id, macro_regime, count(*) AS n, avg(ret_net) AS mean, coalesce(stddev_samp(ret_net), 0.0) AS std, sum(ret_net) AS sum FROM {pre}mtr GROUP BY 1, 2))")
+    side = lambda x, n: f"SELECT state_id, mean AS mu_{n}, n AS n_{n}, std * std AS s2_{n}, t_one_sample AS t_{n}_pos FROM {pre}dec WHERE macro_regime = '{x}'"
+    cte(f"{pre}flip", f"{pre}dec", f"SELECT *, (mu_bull - mu_bear) / (sqrt(s2_bull / n_bull + s2_bear / n_bear) + {p.eps}) AS t_flip, n_bull >= {p.cell_visits} AND n_bear >= {p.cell_visits} AS reliable FROM ({side('BULL', 'bull')}) JOIN ({side('BEAR', 'bear')}) USING (state_id)")
+    cte(f"{pre}classes", f"{pre}flip", f"""SELECT state_id, CASE WHEN NOT reliable THEN 'INSUFFICIENT' WHEN t_bull_pos > {p.t_least} AND t_bear_pos > {p.t_least} THEN 'INVARIANT' WHEN t_bull_pos > {p.t_least} AND t_bear_pos < -{p.t_least} THEN 'TRAP'
+  WHEN t_bull_pos > {p.t_least} AND abs(t_bear_pos) <= {p.t_least} THEN 'CONDITIONAL' WHEN t_bull_pos <= 0 AND t_bear_pos <= 0 THEN 'DEAD' ELSE 'AMBIGUOUS' END AS state_class FROM {pre}flip""")
+    cte(f"{pre}attr", f"{trades} {pre}classes", f"SELECT {trades}.*, coalesce(state_class, 'UNCLASSIFIED') AS state_class FROM {trades} LEFT JOIN {pre}classes USING (state_id)")
+
+
+decomposed("", P)
+cte("ctrades", "valid reg", f"SELECT date AS entry_date, code, state_id % {CLASS_STATES} AS state_id, regime, next_r AS ret_gross, next_r - {P.cost} AS ret_net FROM valid JOIN reg USING (state_id)")
+decomposed("c", CLASSES)
 cte("drift", "fwd fsm", "SELECT regime, state_id, next_state, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY regime, state_id) AS P FROM fwd JOIN fsm USING (date) WHERE next_state IS NOT NULL GROUP BY 1, 2, 3")
 cte("klm", "drift", "SELECT state_id, next_state, coalesce(a.P, 0.0) AS pb, coalesce(b.n, 0) AS ne FROM (SELECT * FROM drift WHERE regime = 'BULL') a FULL JOIN (SELECT * FROM drift WHERE regime = 'BEAR') b USING (state_id, next_state)")
 cte("kl", "klm", f"""SELECT state_id, sum(CASE WHEN pb > 0 THEN pb * ln((pb + {P.eps}) / ((ne + 1) / (total + k) + {P.eps})) ELSE 0.0 END) AS kl_bull_bear
   FROM (SELECT *, sum(ne) OVER (PARTITION BY state_id) AS total, (SELECT count(DISTINCT next_state) FROM klm) AS k FROM klm) GROUP BY 1""")
-side = lambda x, n: f"SELECT state_id, mean AS mu_{n}, n AS n_{n}, std * std AS s2_{n}, t_one_sample AS t_{n}_pos FROM dec WHERE macro_regime = '{x}'"
-cte("flip", "dec", f"SELECT *, (mu_bull - mu_bear) / (sqrt(s2_bull / n_bull + s2_bear / n_bear) + {P.eps}) AS t_flip, n_bull >= {P.cell_visits} AND n_bear >= {P.cell_visits} AS reliable FROM ({side('BULL', 'bull')}) JOIN ({side('BEAR', 'bear')}) USING (state_id)")
-cte("classes", "flip", f"""SELECT state_id, CASE WHEN NOT reliable THEN 'INSUFFICIENT' WHEN t_bull_pos > {P.t_least} AND t_bear_pos > {P.t_least} THEN 'INVARIANT' WHEN t_bull_pos > {P.t_least} AND t_bear_pos < -{P.t_least} THEN 'TRAP'
-  WHEN t_bull_pos > {P.t_least} AND abs(t_bear_pos) <= {P.t_least} THEN 'CONDITIONAL' WHEN t_bull_pos <= 0 AND t_bear_pos <= 0 THEN 'DEAD' ELSE 'AMBIGUOUS' END AS state_class FROM flip""")
-cte("attr", "trades classes", "SELECT trades.*, coalesce(state_class, 'UNCLASSIFIED') AS state_class FROM trades LEFT JOIN classes USING (state_id)")
 cte("hid", "states", "SELECT code, date, p, state_id, CASE WHEN day(date) = 1 THEN -1 ELSE state_id % 8 END AS Z_t FROM states")
 cte("hp", "hid", f"SELECT * FROM (SELECT *, lead(Z_t) {W} AS z_next, lead(p) {W} - p AS r_t FROM hid) WHERE Z_t <> -1 AND z_next <> -1")
 cte("grid", "", "SELECT a.range AS z, b.range AS z_next FROM range(8) a, range(8) b")
@@ -171,5 +186,5 @@ LIVE = ("r", "sigma", "v", "l", "p")
 cte("live", "feats", f"SELECT code, date, p, r, sigma, v, l FROM (SELECT code, date, p, r, sigma, v, CASE WHEN count(volume) {f20} = {P.w_liq} THEN avg(volume) {f20} END AS l FROM feats) WHERE r IS NOT NULL AND sigma IS NOT NULL AND l IS NOT NULL")
 cte("livez", "live", "SELECT * FROM (SELECT *, " + ", ".join(f"CASE WHEN count({c}) {fl} = {P.live_window} THEN greatest(-{P.z_clip}, least({P.z_clip}, ({c} - avg({c}) {fl}) / (greatest(stddev_samp({c}) {fl}, {P.std_floor}) + {P.live_eps}))) END AS z_{c}" for c in LIVE) + " FROM live) WHERE z_r IS NOT NULL AND z_sigma IS NOT NULL AND z_v IS NOT NULL AND z_l IS NOT NULL AND z_p IS NOT NULL")
 cte("livek", "livez", f"SELECT *, row_number() {W} AS k FROM livez")
-below = lambda c: f"least({K - 1}, CAST(floor(count(CASE WHEN x.z_{c} < a.z_{c} THEN 1 END) / {float(P.live_window)} * {K}) AS BIGINT))"
+below = lambda c: f"least({K - 1}, CAST(floor(count(CASE WHEN round(x.z_{c}, 9) < round(a.z_{c}, 9) THEN 1 END) / {float(P.live_window)} * {K}) AS BIGINT))"
 cte("lives", "livek", "SELECT *, " + " + ".join(f"z_{c}_bin * {K**i}" for i, c in enumerate(LIVE)) + " AS state_id FROM (SELECT a.code, a.date, " + ", ".join(f"{below(c)} AS z_{c}_bin" for c in LIVE) + f" FROM livek a JOIN livek x ON x.code = a.code AND x.k BETWEEN a.k - {P.live_window} AND a.k - 1 WHERE a.k > {P.live_window} GROUP BY a.code, a.date)")

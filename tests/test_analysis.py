@@ -145,7 +145,7 @@ def test_hmm_recovers_a_sticky_chain(spark):
             z = z if rng.random() < 0.95 else 1 - z
             rows.append((f"s{s}", s, day(i), int(z if rng.random() < 0.95 else 1 - z)))
     seqs = spark.createDataFrame(rows, "seq_id string, code long, date date, C_t int").cache()
-    model = latent.fit_hmm(seqs, 2, 2, iterations=15, spread=2)
+    model = latent.fit_hmm(seqs, 2, 2, iterations=15, rows=400)
     assert np.allclose(model.trans.sum(1), 1) and np.allclose(model.emit.sum(1), 1) and np.diag(model.trans).min() > 0.8
     got = latent.decode_states(seqs, model)
     assert got.count() == len(rows) and {r.Z_t for r in got.select("Z_t").distinct().collect()} <= {0, 1}
@@ -153,10 +153,25 @@ def test_hmm_recovers_a_sticky_chain(spark):
 
 def test_rank_bins_are_causal(spark):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=30)
-    df = spark.createDataFrame([(1, day(i), float(v)) for i, v in enumerate(x)], "code long, date date, z double")
-    got = [r.b for r in df.select("date", live.rank_bin("z", 10, 6).alias("b")).orderBy("date").collect()]
-    assert got == [None if i < 10 else min(5, math.floor((x[i - 10 : i] < x[i]).sum() / 10 * 6)) for i in range(30)]
+    x = {c: rng.normal(size=n) for c, n in (("a", 30), ("b", 7), ("c", 25))}
+    df = spark.createDataFrame([(c, day(i), float(v), "k") for c, xs in x.items() for i, v in enumerate(xs)], "code string, date date, z double, other string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    got = {(r.code, r.date): r.z_bin for r in live.rank_bins(df, ["z"], 10, 6).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(c, day(i)): min(5, math.floor((xs[i - 10 : i] < xs[i]).sum() / 10 * 6)) for c, xs in x.items() for i in range(10, len(xs))}
+
+
+def test_occupancy_turnover_and_exposure(spark):
+    rows = [(day(i), c, (i + c) % 2 if i != 2 else -1) for i in range(4) for c in range(3)]
+    df = spark.createDataFrame(rows, "date date, code int, Z_t int")
+    got = {(r.date, r.z): (round(r.recent, 6), r.changed) for r in surfaces.occupancy_change(df, 2, 1, 3).collect()}
+    assert got == {(day(i), z): (round((2 if (i + z) % 2 == 0 else 1) / 3, 6), i > 0) for i in (0, 1, 3) for z in (0, 1)}
+    w = spark.createDataFrame([(day(0), 1, 1.0), (day(1), 2, 1.0), (day(2), 2, 0.5), (day(2), 1, 0.5)], "date date, code int, weight double")
+    assert [r.turnover for r in surfaces.turnover(w).orderBy("date").collect()] == [0.5, 1.0, 0.5]
+    edge = spark.createDataFrame([(0, -1.0), (1, 1.0)], "z int, e double")
+    dd = spark.createDataFrame([(day(i), -0.2 if i == 1 else 0.0) for i in range(4)], "date date, dd double")
+    assert [r.exposure for r in surfaces.bear_exposure(df, edge, dd).orderBy("date").collect()] == [0.0, 0.5, 1.0]
 
 
 def test_clean_panel_keeps_the_last_row(spark):

@@ -33,7 +33,7 @@ from .common import small_batches
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Cached words or chunks of one Python worker; beyond it the cache starts anew.
 CACHE = 400_000
-_UNSAFE = re.compile(r" (?:\s|\Z)")
+UNSAFE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -186,7 +186,7 @@ class Encoder:
         if len(self.words) > CACHE:
             self.words.clear()
         cut = [(self.pattern.findall(c), cell) for c, cell in todo]
-        new = {w for words, _ in cut for w in words} - self.words.keys()
+        new = {w for words, _ in cut for w in words if w not in self.words}  # a set less the keys would walk all keys
         for w, ids in Trie(self.vocab).encode([w.encode() for w in new]).items():
             self.words[w.decode()] = array("I", ids).tobytes()
         for words, cell in cut:
@@ -205,7 +205,7 @@ class Encoder:
             for k, part in enumerate(parts):
                 if k % 2:
                     got.append(array("I", [self.vocab.special[part]]).tobytes())
-                elif part and _UNSAFE.search(part):
+                elif part and UNSAFE.search(part):
                     got += map(other, _CUT.split(part))
                 elif part:
                     first, *rest = part.split(" ")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, encoder
+from .bpe import UNSAFE, Encoder, encoder
 from .common import small_batches
 
 LEAF = 32
@@ -28,7 +28,17 @@ SCHEMA = "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_char
 
 
 def counter(path: str) -> Encoder:
-    return encoder(path, special=False)
+    return encoder(path, special=False, plain=True)
+
+
+def chunks_of(text: str) -> list[str]:
+    """The parts of text between single spaces, each with the space before it."""
+    if not text:
+        return []
+    if UNSAFE.search(text):
+        return _CUT.split(text)
+    first, *rest = text.split(" ")
+    return [*([first] if first else ()), *[" " + c for c in rest]]
 
 
 class CountTree:
@@ -36,7 +46,7 @@ class CountTree:
 
     def __init__(self, text: str, enc: Encoder, counts: list[int] | None = None, leaf: int = LEAF):
         self.enc = enc
-        chunks = _CUT.split(text) if text else []
+        chunks = chunks_of(text)
         counts = self._counts(chunks) if counts is None else counts
         self.chunks, self.encoded = len(chunks), 0
         self.leaves = ["".join(chunks[i : i + leaf]) for i in range(0, len(chunks), leaf)] or [""]
@@ -105,7 +115,7 @@ class CountTree:
         lo = before[-2] if len(before) > 1 else 0
         hi = after[1] if len(after) > 1 else len(work)
         region = work[lo:a] + insert + work[b:hi]
-        old, new = _CUT.split(work[lo:hi]), _CUT.split(region)
+        old, new = chunks_of(work[lo:hi]), chunks_of(region)
         tokens = sum(self.tokens[self.base + first : self.base + last + 1]) - sum(self._counts(old)) + sum(self._counts(new))
         self.encoded += len(new)
         self._set(first, work[:lo] + region + work[hi:], tokens)
@@ -121,11 +131,9 @@ def count_tokens(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
         enc = counter(path)
         for b in small_batches(batches, "text"):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            cut = [_CUT.split(t) if t else [] for t in texts]
-            flat = enc.counts(texts)
             rows = []
-            for doc, text, chunks, counts, todo in zip(b.column(0).to_pylist(), texts, cut, flat, b.column(2).to_pylist()):
-                tree = CountTree(text, enc, counts if len(counts) == len(chunks) else None)
+            for doc, text, counts, todo in zip(b.column(0).to_pylist(), texts, enc.counts(texts), b.column(2).to_pylist()):
+                tree = CountTree(text, enc, counts)
                 n = tree.n_tokens
                 for e in todo or ():
                     if e is not None:

@@ -32,7 +32,9 @@ from .common import small_batches
 #: The pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Cached words or chunks of one Python worker; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE = 200_000
+#: Bytes of text encoded at a time.
+BATCH = 1 << 20
 UNSAFE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -63,12 +65,16 @@ class Vocabulary:
         self.known = np.zeros(self.size, bool)
         self.known[[*self.ids.values(), *self.special.values()]] = True
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}  # of a token: rank and halves of the merge that makes it
+        self.one_way = True  # whether each token is made by one merge only
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
-        self.tails = {t[i:] for t in self.ids for i in range(len(t))}
+            self.one_way &= vocab[a + b] not in self.parts
+            self.parts[vocab[a + b]] = rank, vocab[a], vocab[b]
+        self._suffixes()
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # at most 4 * CACHE of them
         self._alone: dict[int, bool] = {}
 
     def merged(self, word: bytes) -> list[int]:
@@ -81,13 +87,67 @@ class Vocabulary:
             ids[i : i + 2] = [self.merges[ids[i], ids[i + 1]][1]]
         return ids
 
+    def _suffixes(self) -> None:
+        """Automaton over the tokens' prefixes: `step` leads from state and byte on, `ends` has the tokens that end in a state, longest first."""
+        self.edges: dict[int, int] = {}
+        above, depth, own = [0], [0], [-1]
+        for t, i in self.ids.items():
+            state = 0
+            for byte in t:
+                key = state << 8 | byte
+                if key not in self.edges:
+                    self.edges[key] = len(own)
+                    above.append(key)
+                    depth.append(depth[state] + 1)
+                    own.append(-1)
+                state = self.edges[key]
+            own[state] = i
+        self.fail = [0] * len(own)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        for state in sorted(range(1, len(own)), key=depth.__getitem__):
+            parent, byte = above[state] >> 8, above[state] & 255
+            f = self.fail[parent]
+            while parent and f and f << 8 | byte not in self.edges:
+                f = self.fail[f]
+            self.fail[state] = f = self.edges.get(f << 8 | byte, 0) if parent else 0
+            self.ends[state] = ((own[state], depth[state]), *self.ends[f]) if own[state] >= 0 else self.ends[f]
+        self.step = dict(self.edges)
+
+    def advance(self, state: int, byte: int) -> int:
+        """The state of the longest suffix, with this byte added, that is a prefix of a token."""
+        key = state << 8 | byte
+        while state and state << 8 | byte not in self.edges:
+            state = self.fail[state]
+        if len(self.step) > len(self.edges) + 4 * CACHE:
+            self.step = dict(self.edges)
+        self.step[key] = found = self.edges.get(state << 8 | byte, 0)
+        return found
+
     def follows(self, a: int, b: int) -> bool:
         """Whether token b can stand after token a in an encoding."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a * self.size + b)
         if known is None:
-            known = self.pairs[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+            if len(self.pairs) > 4 * CACHE:
+                self.pairs.clear()
+            known = self._apart(a, b) if self.one_way else self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+            self.pairs[a * self.size + b] = known
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        """Undoes the merges of a and b beside their border, latest first, to see whether one across it would have come before."""
+        before = len(self.merges)  # merges across the border that rank before this would have been taken
+        while True:
+            across = self.merges.get((a, b))
+            if across is not None and across[0] < before:
+                return False
+            left, right = self.parts.get(a), self.parts.get(b)
+            if right is not None and (left is None or right[0] >= left[0]):
+                before, b = right[0] + 1, right[1]  # of equal merges the one further left, across the border, comes first
+            elif left is not None:
+                before, a = left[0], left[2]
+            else:
+                return True
+
     def starts(self, a: int) -> bool:
         known = self._alone.get(a)
         if known is None:
@@ -111,26 +171,23 @@ class Trie:
     def encode(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
         """Ids of each word. Sorted insertion visits the trie depth first; `path` holds the nodes above the current one."""
         out: dict[bytes, list[int]] = {}
-        last, back, tails, tokens = self.last, self.back, self.vocab.tails, self.vocab.ids
-        pairs, follows, starts = self.vocab.pairs, self.vocab.follows, self.vocab.starts
-        path, before = [0], b""
+        vocab, last, back, size = self.vocab, self.last, self.back, self.vocab.size
+        pairs, ends, follows, starts = vocab.pairs, vocab.ends, vocab.follows, vocab.starts
+        path, states, before = [0], [0], b""
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del path[shared + 1 :]
+            del path[shared + 1 :], states[shared + 1 :]
+            state, step = states[shared], vocab.step
             for depth in range(shared + 1, len(word) + 1):
-                ends = []
-                for start in range(depth - 1, -1, -1):
-                    piece = word[start:depth]
-                    token = tokens.get(piece)
-                    if token is not None:
-                        ends.append((token, path[start]))
-                    elif piece not in tails:
-                        break
-                for token, node in reversed(ends):
+                state = step.get(state << 8 | word[depth - 1], -1)
+                if state < 0:
+                    state, step = vocab.advance(states[-1], word[depth - 1]), vocab.step
+                for token, length in ends[state]:
+                    node = path[depth - length]
                     if node:
-                        fits = pairs.get((last[node], token))
+                        fits = pairs.get(last[node] * size + token)
                         if fits is None:
                             fits = follows(last[node], token)
                     else:
@@ -140,6 +197,7 @@ class Trie:
                 else:
                     raise ValueError(f"no token ends {word[:depth]!r}")
                 path.append(len(last))
+                states.append(state)
                 last.append(token)
                 back.append(node)
             ids, node = [], path[-1]
@@ -185,7 +243,8 @@ class Encoder:
             return
         if len(self.words) > CACHE:
             self.words.clear()
-        cut = [(self.pattern.findall(c), cell) for c, cell in todo]
+        alone = lambda c: len(c) > 1 and c[1:].isascii() and c[1:].isalpha() and (c[0] == " " or c[0].isascii() and c[0].isalpha())
+        cut = [([c] if alone(c) else self.pattern.findall(c), cell) for c, cell in todo]
         new = {w for words, _ in cut for w in words if w not in self.words}  # a set less the keys would walk all keys
         for w, ids in Trie(self.vocab).encode([w.encode() for w in new]).items():
             self.words[w.decode()] = array("I", ids).tobytes()
@@ -238,20 +297,35 @@ def encoder(path: str, special: bool = True, plain: bool = False) -> Encoder:
     return Encoder(path, special, plain)
 
 
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs' doc_id with ids array<int>, one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in small_batches(batches, "text"):
-            ids = enc.ids(t or "" for t in b.column(1).to_pylist())
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
+        for b in small_batches(batches, "text", BATCH):
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(enc.ids(t or "" for t in b.column(1).to_pylist()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """doc_id, ids array<int>, text as decoded from the ids, one row for each row of docs: encode and decode in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in small_batches(batches, "text", BATCH):
+            ids = enc.ids(t or "" for t in b.column(1).to_pylist())
+            texts = pa.array([enc.decode(np.frombuffer(x, "<i4")) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), texts], ["doc_id", "ids", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """All columns of encoded, and text decoded from its ids array<int>; a column named text is replaced."""
     keep = [c for c in encoded.columns if c != "text"]
@@ -263,9 +337,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                col = part.column(at)
-                values, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
-                texts = [enc.decode(values[x:y]) for x, y in zip(ends[:-1], ends[1:])]
+                texts = [enc.decode(np.asarray(x.values if x.is_valid else [], np.int64)) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*keep, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields) + ", text string"

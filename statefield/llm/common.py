@@ -17,9 +17,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset a local session gets a temporary one; a cluster has none, so that raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="statefield-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where

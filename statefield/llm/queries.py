@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from . import ann, bpe, exact_dedup, html_extract, language_id, packing, simhash
 from .shipping import ship
 
 #: A tokenizer file; every node has it, and it isn't part of this repository.
-BYTE_BPE = os.environ.get("STATEFIELD_BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 #: The rules given for op3.
 URL_RULES = [
@@ -40,10 +40,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text, and the text decoded from them."""
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE)
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    digested = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), "ids")
-    return bpe.decode(digested, BYTE_BPE).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +88,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents by streaming keyed state."""
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 OP10_SQL = r"""

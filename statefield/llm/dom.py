@@ -17,6 +17,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
 SHIELD = frozenset("ul ol dl table select body html div section article".split())
 
+#: Elements nested deeper are siblings at this depth, as browsers have it.
+DEEPEST = 512
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>", re.S)
 _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
@@ -67,6 +70,8 @@ class _Parser:
         if tag in CLOSES:
             self.close_open(CLOSES[tag], SHIELD if tag != "body" else frozenset())
         if tag not in VOID:
+            if len(self.stack) == DEEPEST:
+                self.stack.pop()
             names = " ".join(x for m in _NAMES.findall(attrs) for x in m if x) if "=" in attrs else ""
             self.stack.append((tag, names.lower()))
 
@@ -91,25 +96,43 @@ class _Parser:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; scripts, styles, titles and comments give none."""
-    p, at, n = _Parser(), 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
+    """The leaf blocks of a page in order; scripts, styles, titles and comments give none.
+
+    Takes time in proportion to the page: no tag is sought beyond the last `>`, where only a comment can begin.
+    """
+    p, at, n, ends = _Parser(), 0, len(page), {}
+    last = page.rfind(">") + 1
+    while at < last:
+        m = _TAG.search(page, at, last)
         if m is None:
-            p.text(page[at:])
             break
         if m.start() > at:
             p.text(page[at : m.start()])
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
+            if at == last and _unclosed(m[0]):
+                at = n
             continue
         if m[1]:
             p.close(tag)
         elif tag in RAW:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if tag not in ends:
+                    ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+                end = ends[tag].search(page, at, last)
                 at = end.end() if end else n
         else:
             p.open(tag, m[3])
+    if at < n:
+        rest = page[at:]
+        p.text(rest[: min((i for i in map(rest.find, _OPENINGS) if i >= 0), default=n)])
     p.flush()
     return p.out
+
+
+_OPENINGS = ("<!--", "<![CDATA[")
+
+
+def _unclosed(markup: str) -> bool:
+    """Whether a comment or a CDATA section lacks its end."""
+    return markup.startswith(_OPENINGS[0]) and not markup.endswith("-->") or markup.startswith(_OPENINGS[1]) and not markup.endswith("]]>")

@@ -4,13 +4,14 @@ import hashlib
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from statefield.llm import ann, bpe, common, exact_dedup, html_extract, language_id, packing, simhash, substring_dedup, token_counts, url_filter
 from statefield.llm.components import connected_components
 
-BPE = "/opt/tokenizers/byte_bpe_50k.json"
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 LONG = " ".join(f"word{i % 37}x{i}" for i in range(3000))
 DOCS = [
     (1, "a  b\tc"), (2, "a b c"), (3, None), (4, ""), (5, "x"), (5, "x"), (6, "other text here"), (7, LONG), (8, LONG + " tail"), (None, "a b c"), (None, None), (9, "\n \t"),
@@ -38,13 +39,28 @@ def by_hand(rows):
 
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda c: F.substring(exact_dedup.sha256(c), 1, 1)])
 def test_exact_dedup(spark, docs, digest):
-    got = exact_dedup.exact_dedup(docs, digest, max_files=1).collect()
+    got = exact_dedup.exact_dedup(docs, digest, batches=3).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=str) == by_hand(DOCS)
     texts = len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in DOCS})
     assert sum(r.kept for r in got) == texts
     assert exact_dedup.exact_dedup(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda c: F.substring(exact_dedup.sha256(c), 1, 1)])
+@pytest.mark.parametrize("files", [True, False])
+def test_later_tables_meet_the_stored_state(spark, tmp_path, digest, files):
+    one, two = [(5, "a b"), (6, "c"), (7, "c ")], [(3, "c"), (4, "a  b"), (8, "new"), (9, "new"), (6, "c")]
+    found = []
+    for i, rows in enumerate((one, two)):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        if files:
+            df.write.parquet(str(tmp_path / f"in{i}"))
+            df = spark.read.parquet(str(tmp_path / f"in{i}"))
+        found.append(sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df, digest, store=str(tmp_path / "store")).collect()))
+    assert found[0] == [(5, 5, 1, True), (6, 6, 1, True), (7, 7, 1, True)]
+    assert found[1] == [(3, 3, 3, True), (4, 4, 2, True), (6, 3, 3, False), (8, 8, 2, True), (9, 8, 2, False)]
+
+
 def test_exact_dedup_digest_and_kept_rows(spark, docs):
     got = {r.doc_id: r.text_sha256 for r in exact_dedup.exact_dedup(docs).collect()}
     assert got[1] == got[2] == hashlib.sha256(b"a b c").hexdigest() and got[9] == hashlib.sha256(b" ").hexdigest()
@@ -234,8 +250,47 @@ def test_language_id(spark):
     got = sorted((r.id, r.language, r.rejected) for r in language_id.identify(df, model, "id", declared="lang", address="url").collect())
     assert [g for g in got if g[0] < 3] == [(1, "en", False), (1, "en", False), (2, "fr", False)] and all(g[2] for g in got if g[0] >= 3)
     assert language_id.identify(empty(df), model, "id", declared="lang", address="url").count() == 0
-    with pytest.raises(ValueError):
-        language_id.fit_text(spark.createDataFrame([], "id long, text string, lang string"))
+    unknown = language_id.fit_text(spark.createDataFrame([], "id long, text string, lang string"))
+    assert unknown.languages == ()
+    assert sorted((r.id, r.language, r.rejected) for r in language_id.identify(df, unknown, "id").collect()) == [(i, None, i >= 3) for i in (1, 1, 2, 3, 4, 5)]
+
+
+def test_language_fusion_equals_the_formula(spark):
+    words = {"en": "the house and the garden with that thing ", "fr": "la maison et le jardin avec cette chose "}
+    labelled = spark.createDataFrame([(i, words[x] * (1 + i % 3), x) for i in range(30) for x in words], "id long, text string, lang string")
+    model = language_id.fit_text(labelled)
+    rows = [(i, words["en" if i % 4 else "fr"][: 3 + 7 * i], "fr" if i % 5 == 0 else None, f"https://w{i % 3}.site{i % 2}.{'fr' if i % 6 == 1 else 'com'}/p") for i in range(24)]
+    rows += [(50, "", "en", "https://w0.site0.com/"), (51, None, None, None), (50, "", "en", "https://w0.site0.com/")]
+    df = spark.createDataFrame(rows, "id long, text string, lang string, url string")
+    names, log = model.languages, np.log
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    own, share, places = [], [], []
+    for _, text, lang, url in rows:
+        ll, letters = model.evidence(text or "")
+        host = (url or "").split("://")[-1].split("/")[0]
+        suffix = host.rsplit(".", 1)[-1] if "." in host else ""
+        for told, trust in ((lang, language_id.DECLARED), (language_id.SUFFIXES.get(suffix), language_id.SUFFIX)):
+            if told in names:
+                ll = ll + np.array([log(trust) if x == told else log((1 - trust) / (len(names) - 1)) for x in names])
+        own.append(ll)
+        share.append(soft(ll) if letters else 0 * ll)
+        places.append(("", suffix, ".".join(host.split(".")[-2:]), host))
+    want = []
+    for i, row in enumerate(rows):
+        prior = np.full(len(names), 1 / len(names))
+        for level in range(4):
+            rest = sum((share[j] for j in range(len(rows)) if j != i and places[j][: level + 1] == places[i][: level + 1]), np.zeros(len(names)))
+            prior = (rest + language_id.STRENGTH * prior) / (rest.sum() + language_id.STRENGTH)
+        p = soft(own[i] + log(prior))
+        want.append((row[0], names[int(p.argmax())], round(float(p.max()), 9)))
+    got = [(r.id, r.language, round(r.confidence, 9)) for r in language_id.identify(df, model, "id", declared="lang", address="url").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_every_language_has_its_own_sample(spark):
+    rows = [(i, f"text {i}", "en" if i % 50 else "fr") for i in range(400)] + [(1, "text 1", "en")] * 20
+    got = language_id.training_rows(spark.createDataFrame(rows, "id long, text string, lang string"), 12).collect()
+    assert sum(r.lang == "en" for r in got) == 12 and sum(r.lang == "fr" for r in got) == 8 and len({(r.lang, r.text) for r in got}) == 20
 
 
 def test_groups_span_batches(spark):

@@ -1,18 +1,18 @@
 """Parts of the text operators that need no Spark session."""
 
-import os
 import random
 import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from statefield.llm import ann, bpe, dom, html_extract, language_id, packing, simhash, substring_dedup, token_counts
 
-BPE = os.environ.get("STATEFIELD_BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = [" ", "  ", "\n", "\t", "a", "the", " hello", "'re", "'", "1", "23", "é", "—", "!", "<|endoftext|>", " ", "\x1f", "日本", "🙂", "\x85"]
 texts = st.lists(st.sampled_from(PIECES), max_size=40).map("".join) | st.text(max_size=60)
 
@@ -238,7 +238,33 @@ def test_crf_decodes_like_enumeration_and_extracts_unseen_layouts():
     assert html_extract.main_text("", trained) == ""
 
 
-def test_trigrams_take_letters_only():
-    assert len(language_id.trigrams("123 ... !!!")) == 0 and len(language_id.trigrams("é")) > 0
-    assert np.array_equal(language_id.trigrams("ABC"), language_id.trigrams("abc"))
-    assert language_id.plain_text("<script>x</script><p>hi<!-- no --></p>").split() == ["hi"]
+def hashes(text):
+    return np.concatenate(list(language_id.trigrams(text)))
+
+
+def test_trigrams_take_letters_only(monkeypatch):
+    assert len(hashes("123 ... !!!")) == 0 and len(hashes("é")) > 0
+    assert np.array_equal(hashes("ABC"), hashes("abc"))
+    whole = hashes("ab cde, 12 fgh " * 9)
+    monkeypatch.setattr(language_id, "SLICE", 5)
+    assert np.array_equal(hashes("ab cde, 12 fgh " * 9), whole)
+    assert language_id.plain_text("<script>x</script><p>h&eacute;<!-- no --></p>").split() == ["hé"]
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<script ", "<!--", "<![CDATA[", "<", "<div>x", "</p>", '<a "', "<html ", "<p><b>&", "<script>"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_malformed_pages_take_linear_time(unit, end):
+    import time
+
+    page = unit * 60_000 + end
+    began = time.process_time()
+    html_extract.main_text(page, html_extract.trained())
+    language_id.plain_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_what_follows_the_last_tag_is_text():
+    text = lambda page: [b.text for b in dom.blocks(page)]
+    assert text("<p>a</p>b <i c") == ["a", "b <i c"] and text("<p>a</p>b<!-- c") == ["a", "b"]
+    assert text("a<!-- b > c") == ["a"] and text("a<![CDATA[ b > c") == ["a"] and text("a <!-- b --> c <p") == ["a c <p"]
+    assert text("<script>a</script b") == []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statefield.llm import exact_dedup, language_id, packing, simhash, substring_dedup
-from statefield.llm.common import materialise, release
+from statefield.llm.common import fresh, materialise, release
 from statefield.llm.queries import BYTE_BPE
 from statefield.llm.shipping import ship
 
@@ -16,40 +16,49 @@ from statefield.llm.shipping import ship
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; `lang` counts as declared, `source` as the host.
 
-    Every row is decided by itself, whatever rows share its doc_id or lack one. Rows are told apart by a digest of the
-    columns that evidence comes from; those equal in all of them and in doc_id have one verdict.
+    Every row is decided by itself, whatever rows share its doc_id or lack one: null and empty texts go, as do texts without
+    letters. Rows are told apart by a digest of the columns that evidence comes from; those equal in all of them and in doc_id
+    have one verdict. Without any declared language only rows without letters go. Empty tables give empty ones.
     """
     ship(spark)
     model = language_id.fit_text(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
-    known = [F.coalesce(c, F.lit("")) for c in ("lang", "source", "text")]
-    row = F.struct("doc_id", F.unhex(F.sha2(F.concat(*(x for c in known for x in (F.length(c), F.lit(":"), c))), 256)).alias("digest"))
-    found = language_id.identify(docs.withColumn("_row", row), model, "_row", declared="lang", address="source")
-    gone = materialise(found.where("rejected").select(F.col("_row.doc_id").alias("_gone"), F.col("_row.digest").alias("_digest")).distinct(), "language-gone")
-    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (row["digest"] == gone["_digest"])
+    row, gone_id, gone_digest = (fresh(c, docs) for c in ("row", "gone", "digest"))
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text")]
+    key = F.struct("doc_id", F.unhex(F.sha2(F.concat(*(x for c in known for x in (F.length(c), F.lit(":"), c))), 256)).alias("digest"))
+    found = language_id.identify(docs.withColumn(row, key), model, row, declared="lang", address="source")
+    gone = found.where("rejected").select(F.col(f"{row}.doc_id").alias(gone_id), F.col(f"{row}.digest").alias(gone_digest)).distinct()
+    gone = materialise(gone, "language-gone")
+    same = docs["doc_id"].eqNullSafe(gone[gone_id]) & (key["digest"] == gone[gone_digest])
     return docs.join(gone, same, "left_anti")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest doc_id."""
+    """Of documents with equal texts the one with the smallest doc_id, nulls last; null texts are empty. Empty tables give empty ones."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near duplicates, that with the smallest doc_id: shingles of five words, similarity of 0.8 or more.
+
+    Rows without doc_id, text or words stay; rows of one doc_id count as one document. Empty tables give empty ones.
+    """
     ship(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that earlier documents have; those of which nothing is left go."""
+    """Documents without passages that earlier documents have; those of which nothing is left go.
+
+    Null and empty texts stay as they are, as do rows without doc_id. Empty tables give empty ones.
+    """
     ship(spark)
     found = substring_dedup.substring_dedup(docs)
-    left = (F.size("removed") == 0) | (F.trim("text") != "")
+    left = (F.size(found.columns[-1]) == 0) | (F.trim("text") != "")
     return found.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences of at most 1024."""
+    """The documents' tokens in sequences of at most 1024; null and empty texts are one closing token. Empty tables give no rows."""
     ship(spark)
     return packing.pack(docs, BYTE_BPE)
 

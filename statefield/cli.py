@@ -18,13 +18,21 @@ NEEDED = ("trades", "state_class", "regime_labels", "transition_drift")
 
 
 def build(spark: SparkSession, source: str, out: str) -> None:
-    """Writes the report tables and the JSON reports made from the tables in source."""
-    trades, classes, labels, drift = (f(spark, source) for f in (catalog.trades, catalog.classes, catalog.macro_labels, catalog.drift))
+    """Writes the report tables, the JSON reports and the charts made from the tables in source."""
+    trades, classes, labels, drift = (f(spark, source) for f in (catalog.holdings, catalog.classes, catalog.macro_labels, catalog.drift))
     sinks.write_tables({"trades": trades, "state_class": classes, "regime_labels": labels, "transition_drift": drift}, out)
     marked = macro.attribution(trades, classes)
     sinks.report_json({"total": macro.summary(marked), "by_class": macro.summary(marked, "state_class"), "by_regime": macro.summary(marked, "regime"), "contributors": macro.contributors(marked)}, os.path.join(out, "attribution.json"))
-    kl = macro.kl_bull_bear(drift, TABLES)
-    sinks.report_json({"top_kl": macro.top(kl, "kl_bull_bear", TABLES.top_states, "state_id"), "stay": macro.top(macro.stay_by_regime(drift), "abs_delta", TABLES.top_states, "state_id"), "frequency": macro.regime_frequency(labels)}, os.path.join(out, "diagnostics.json"))
+    kl, stay, frequency = macro.kl_bull_bear(drift, TABLES), macro.stay_by_regime(drift), macro.regime_frequency(labels)
+    sinks.report_json({"top_kl": macro.top(kl, "kl_bull_bear", TABLES.top_states, "state_id"), "stay": macro.top(stay, "abs_delta", TABLES.top_states, "state_id"), "frequency": frequency}, os.path.join(out, "diagnostics.json"))
+    sinks.charts(
+        {
+            "drawdown": lambda path: sinks.line_chart({"drawdown": [(r.date.toordinal(), r.dd) for r in labels.collect()]}, path, "Drawdown of the market"),
+            "regimes": lambda path: sinks.line_chart({c: [(r.year, r[f"share_{c}"]) for r in frequency.collect()] for c in ("BULL", "BEAR", "RECOVERY")}, path, "Share of each regime by year"),
+            "classes": lambda path: sinks.line_chart({r.state_class: [(0, 0), (1, r.sum)] for r in macro.summary(marked, "state_class").collect()}, path, "Result of each class"),
+        },
+        out,
+    )
 
 
 def main(args: list[str] | None = None) -> int:

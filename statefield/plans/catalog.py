@@ -5,7 +5,9 @@ Every query takes the driver's tables; the daily panel is made from lineitem. Do
 
 from __future__ import annotations
 
+import json
 import re
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -322,6 +324,96 @@ register("s17_business_days", "panel", "SELECT CAST(d AS DATE) AS date FROM gene
 register("k3_new_rows", "panel", "SELECT date, code FROM panel WHERE date >= DATE '2000-01-01' AND (date, code) NOT IN (SELECT (date, code) FROM panel WHERE code % 2 = 0)")(lambda s, d: sinks.new_rows(panel(s, d).where("date >= '2000-01-01'"), panel(s, d).where("code % 2 = 0")).select("date", "code"))
 register("u2_universe_leak", "panel", "SELECT DISTINCT code FROM panel WHERE code NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")(lambda s, d: live.leaked(panel(s, d), s.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 0").select(F.col("s_suppkey").alias("code"))))
 
+# Sources and sinks: what is written is read again
+
+
+def _written(df: DataFrame, name: str, write=None) -> str:
+    path = sinks.scratch(df.sparkSession, name)
+    (write or (lambda d, p: d.write.parquet(p)))(df, path)
+    return path
+
+
+def _raw_path(s: SparkSession, d: str) -> str:
+    return _written(panel(s, d), "raw", sinks.write_by_year)
+
+
+def _joined(s: SparkSession, d: str) -> DataFrame:
+    """raw, states and regimes of three written tables."""
+    raw = tables.read_panel(s, _raw_path(s, d), ["date", "code", "close"])
+    vec = tables.read_panel(s, _written(state_rows(s, d), "states", sinks.write_state_vector), ["date", "code", "state_id"])
+    reg = s.read.parquet(_written(labelled(s, d).select("date", "code", "regime").where("code % 3 > 0"), "regimes"))
+    return tables.joined_panel(raw, vec, reg)
+
+
+SHOWN = f"code, date, {rs('volume trade_value')}, {r('close + 1e-9', 'close')}"
+shown_close = lambda df: df.withColumn("close", F.col("close") + 1e-9)
+register("s1_panel_by_years", "panel", f"SELECT {SHOWN} FROM panel WHERE year(date) BETWEEN 1997 AND 1999")(lambda s, d: shown_close(tables.read_panel(s, _raw_path(s, d), ["code", "date", "close", "volume", "trade_value"], 1997, 1999)))
+register("s2_state_vector", "states", f"SELECT code, date, {rs('p r sigma v l flow z_r z_sigma z_v z_flow')}, bin_r, bin_sigma, bin_v, bin_flow, state_id FROM states WHERE year(date) >= 1999")(lambda s, d: tables.read_panel(s, _written(state_rows(s, d), "states", sinks.write_state_vector), [c for c in sinks.STATE_COLUMNS if c != "close"], 1999))
+register("s4_joined_panel", "states reg", f"SELECT states.code, date, {r('close + 1e-9', 'close')}, states.state_id, CASE WHEN states.code % 3 > 0 THEN regime END AS regime FROM states LEFT JOIN reg USING (state_id)")(lambda s, d: shown_close(_joined(s, d)).select("code", "date", "close", "state_id", "regime"))
+register("s4_horizon_panel", "states", f"SELECT code, date, {r('lead(close, 5) OVER (PARTITION BY code ORDER BY date) / close - 1', 'ret_h')} FROM states")(lambda s, d: features.horizon_return(_joined(s, d), 5).select("code", "date", "ret_h"))
+register("s7_merged", "hid", f"SELECT code, date, {r('p')}, Z_t FROM hid")(lambda s, d: tables.merge_checked(s.read.parquet(_written(hidden(s, d).select("code", "date", "p"), "p")), s.read.parquet(_written(hidden(s, d).select("code", "date", "Z_t"), "z"))))
+register("s8_artifact", "fsm equity", f"SELECT date, {r('dd')}, regime FROM fsm")(lambda s, d: tables.require_domain(tables.read_artifact(s, _written(macro_labels(s, d).join(market(s, d).select("date", "equity_market"), "date"), "labels"), "regime_labels"), "regime", ["BULL", "BEAR", "RECOVERY"]).select("date", "dd", "regime"))
+register("s9_universe", "panel", "SELECT DISTINCT lpad(CAST(code AS VARCHAR), 6, '0') AS code FROM panel")(lambda s, d: tables.read_universe(s, _written(panel(s, d).agg(F.to_json(F.struct(F.collect_set(F.col("code").cast("string")).alias("symbols"))).alias("value")), "universe", lambda df, p: df.write.text(p))))
+register("s10_matrix", "hmat", f"SELECT CAST(z AS INT) AS i, CAST(z_next AS INT) AS j, {r('t', 'v')} FROM hmat")(lambda s, d: tables.matrix_as_long(s, np.array([x.t for x in latent.transition_matrix(hidden(s, d)).orderBy("z", "z_next").collect()]).reshape(8, 8)))
+LINES = "l_orderkey * 10 + l_linenumber"
+landed = lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").alias("price"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ingest_id"))
+register("s11_landed_market", "", f"SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, CAST(l_shipdate AS DATE) AS date, {r('l_extendedprice', 'close')}, CAST({LINES} AS BIGINT) AS ingest_id, 'KOSPI' AS market FROM lineitem")(lambda s, d: tables.landed_market(landed(s, d), {"price": "close"}, "KOSPI"))
+register("s14_first_close", "", f"SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS date, {r(f'arg_min(l_extendedprice, {LINES})', 'close')} FROM lineitem GROUP BY 1, 2")(lambda s, d: live.first_close(landed(s, d).withColumnRenamed("price", "close")).select("code", "date", "close"))
+register("s15_close_source", "panel states", f"SELECT code, date, {r('close + 1e-9', 'close')} FROM panel JOIN (SELECT code, date FROM states) USING (code, date)")(lambda s, d: shown_close(tables.close_of(labelled(s, d).drop("close"), panel(s, d)).join(state_rows(s, d).select("code", "date"), ["code", "date"])).select("code", "date", "close"))
+register("s16_live_inputs", "states edge", f"SELECT states.date, code, state_id, {r('round(E_raw, 4)', 'edge')} FROM states JOIN edge USING (state_id) WHERE E_raw > 0 AND visits >= {P.min_visits}")(lambda s, d: _live_inputs(s, d))
+
+
+def _live_inputs(s: SparkSession, d: str) -> DataFrame:
+    """Rows of written states with their priorities out of a written configuration."""
+    edge = states.edges(states.state_table(valid_pairs(s, d), P)).where(f"E_raw > 0 and visits >= {P.min_visits}").select("state_id", F.round("E_raw", 4).alias("e")).collect()
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
+        json.dump({"state_priority": {str(x.state_id): x.e for x in edge}, "tradeable_states": [x.state_id for x in edge]}, f)
+        f.flush()
+        rows, priorities, _, _ = tables.live_inputs(s, _written(state_rows(s, d).select("date", "code", "state_id"), "live"), f.name)
+    return rows.join(priorities, "state_id").select("date", "code", "state_id", "edge")
+
+
+register("k2_tables", "trans stats", f"SELECT s AS state_id, s_next, n, {r('p')}, visits FROM trans JOIN stats ON stats.state_id = trans.s")(lambda s, d: _tables_again(s, d))
+
+
+def _tables_again(s: SparkSession, d: str) -> DataFrame:
+    path = sinks.scratch(s, "tables")
+    sinks.write_tables({"transitions": states.transitions(valid_pairs(s, d)), "state_table": states.state_table(valid_pairs(s, d), P)}, path)
+    return s.read.parquet(f"{path}/transitions").withColumnRenamed("s", "state_id").join(s.read.parquet(f"{path}/state_table").select("state_id", "visits"), "state_id")
+
+
+def _meta(s: SparkSession, d: str) -> DataFrame:
+    """Counts of the hidden chain as a written JSON file has them, a missing edge as null."""
+    path, edge = sinks.scratch(s, "meta"), latent.edge_state(hidden(s, d)).orderBy("z").collect()
+    sinks.write_meta(s, path, {"k": len(edge), "pairs": sum(x.n for x in edge), "E": [float("nan") if x.e is None else x.e for x in edge]})
+    meta = tables.read_meta(s, path)
+    return s.createDataFrame([(z, meta["k"], meta["pairs"], e) for z, e in enumerate(meta["E"])], "z long, k long, pairs long, e double")
+
+
+register("k4_meta", "hes", f"SELECT z, CAST(8 AS BIGINT) AS k, CAST((SELECT sum(n) FROM hes) AS BIGINT) AS pairs, {r('e')} FROM hes")(_meta)
+
+
+def _appended(s: SparkSession, d: str) -> DataFrame:
+    """A panel that was appended in two parts that overlap, the second one twice."""
+    path, rows = sinks.scratch(s, "appended"), panel(s, d)
+    for part in ("date < '1999-01-01'", "date >= '1998-06-01'", "date >= '1998-06-01'"):
+        sinks.append_new(rows.where(part), path)
+    return tables.read_panel(s, path, ["code", "date", "close", "volume", "trade_value"])
+
+
+register("k3_appended", "panel", f"SELECT {SHOWN} FROM panel")(lambda s, d: shown_close(_appended(s, d)))
+register("k7_report", "trades", f"SELECT regime, {SUM} FROM trades GROUP BY 1")(lambda s, d: s.createDataFrame([(x["regime"], x["n"], float(x["sum"]), float(x["mean"]), float(x["std"])) for x in json.loads(sinks.report_json({"by_regime": macro.summary(trades(s, d), "regime")}))["by_regime"]], "regime string, n long, sum double, mean double, std double"))
+register("k10_dry_run", "states", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS written FROM states")(lambda s, d: _dry(s, d))
+
+
+def _dry(s: SparkSession, d: str) -> DataFrame:
+    path = sinks.scratch(s, "dry")
+    out = sinks.write_state_vector(state_rows(s, d), path, dry=True)
+    p = s._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(s._jsparkSession.sessionState().newHadoopConf()).exists(p)
+    return out.agg(F.count(F.lit(1)).alias("n")).withColumn("written", F.lit(int(there)).cast("long"))
+
+
 # Formulas
 
 register("d1_ev_surface", "mtr", f"SELECT state_id, macro_regime AS macro, count(*) AS n, {r('avg(ret_net)', 'ev')}, {r('stddev_samp(ret_net) / sqrt(count(*))', 'se')}, {r('CASE WHEN stddev_samp(ret_net) > 0 THEN avg(ret_net) / (stddev_samp(ret_net) / sqrt(count(*))) END', 't')} FROM mtr GROUP BY 1, 2")(lambda s, d: surfaces.ev_surface(trades(s, d), macro_labels(s, d)))

@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import html
 import json
 import logging
 import math
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The columns of a written state vector, in order.
 STATE_COLUMNS = ["date", "code", "close", "p", "r", "sigma", "v", "l", "flow", "z_r", "z_sigma", "z_v", "z_flow", "bin_r", "bin_sigma", "bin_v", "bin_flow", "state_id"]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, spark.checkpoint.dir; only a local session may do without one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="statefield-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_by_year(df: DataFrame, path: str, columns: list[str] | None = None, dry: bool = False) -> DataFrame:
     """Writes rows under year=YYYY folders (K1); dry: everything but the write."""
     out = df.select(*(columns or df.columns)).withColumn("year", F.year("date"))
@@ -32,6 +47,15 @@ def write_tables(tables: dict[str, DataFrame], path: str, dry: bool = False) ->
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def write_meta(spark: SparkSession, path: str, values: dict, dry: bool = False) -> str:
+    """A JSON file of settings and counts beside tables (K4 to K6); NaN and infinities become null."""
+    clean = lambda x: {k: clean(v) for k, v in x.items()} if isinstance(x, dict) else [clean(v) for v in x] if isinstance(x, (list, tuple)) else None if isinstance(x, float) and not math.isfinite(x) else x
+    text = json.dumps(clean(values), allow_nan=False, default=str)
+    if not dry:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return text
+
+
 def new_rows(landed: DataFrame, existing: DataFrame, keys: tuple[str, ...] = ("date", "code")) -> DataFrame:
     """Landed rows, one for each key, whose key isn't there yet."""
     return landed.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
@@ -73,12 +97,30 @@ def report_json(parts: dict[str, DataFrame | dict], path: str | None = None) ->
     return text
 
 
+def line_chart(series: dict[str, list[tuple[float, float]]], path: str, title: str = "", width: int = 900, height: int = 400) -> None:
+    """Lines over a common pair of axes as an SVG file (K9); series without points are left out."""
+    shown = {k: [(float(x), float(y)) for x, y in v if math.isfinite(x) and math.isfinite(y)] for k, v in series.items()}
+    points = [p for v in shown.values() for p in v]
+    if not points:
+        raise ValueError("nothing to draw")
+    (x0, x1), (y0, y1) = ((min(v), max(v)) for v in zip(*points))
+    at = lambda v, a, b, n: round(40 + (v - a) / ((b - a) or 1.0) * (n - 60), 1)
+    lines = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="40" y="16">{html.escape(title)}</text>', f'<text x="2" y="{height - 36}">{y0:.4g}</text><text x="2" y="30">{y1:.4g}</text>']
+    for i, (name, v) in enumerate(shown.items()):
+        if v:
+            trail = " ".join(f"{at(x, x0, x1, width)},{round(height - at(y, y0, y1, height), 1)}" for x, y in sorted(v))
+            colour = f"hsl({i * 360 // len(shown)},60%,45%)"
+            lines.append(f'<polyline fill="none" stroke="{colour}" points="{trail}"/><text x="{50 + 140 * i}" y="{height - 8}" fill="{colour}">{html.escape(name)}</text>')
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join([*lines, "</svg>"]))
+
+
 def charts(drawings: dict[str, Callable[[str], None]], folder: str) -> list[str]:
-    """Draws each chart to a file; one that fails doesn't stop the others (K9)."""
+    """Draws each chart to an SVG file; one that fails doesn't stop the others (K9)."""
     done = []
     for name, draw in drawings.items():
         try:
-            draw(f"{folder}/{name}.png")
+            draw(f"{folder}/{name}.svg")
             done.append(name)
         except Exception:
             logging.getLogger(__name__).warning("chart %s failed", name, exc_info=True)

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Columns that each artifact must have.
+#: The columns that each written artifact has.
 ARTIFACTS = {
     "regime_pnl": ["macro_regime", "n_trades", "mean", "std", "sum", "hit_rate", "sharpe_ann"],
     "state_decomp": ["state_id", "macro_regime", "n", "mean", "std", "sum", "se", "t_one_sample"],
@@ -18,6 +18,7 @@ ARTIFACTS = {
     "trades": ["entry_date", "exit_date", "code", "state_id", "regime", "ret_gross", "ret_net"],
     "panel": ["date", "code", "state_id"],
 }
+#: Settings of the live path where a deployment names none.
 DEFAULT_CONFIG = {"K": 6, "WINDOW": 252, "STD_FLOOR": 1e-6, "Z_CLIP": 5, "EPS": 1e-8}
 
 
@@ -38,8 +39,8 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def require_domain(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
-    """Raises if a column has other values than allowed (S8, U2); the list of odd ones is bounded."""
-    odd = [r[0] for r in df.where(~F.col(column).isin(allowed)).select(column).distinct().limit(10).collect()]
+    """Raises if a column has other values than allowed, null among them (S8, U2); the list of odd ones is bounded."""
+    odd = [r[0] for r in df.where(~F.col(column).isin(allowed) | F.col(column).isNull()).select(column).distinct().limit(10).collect()]
     if odd:
         raise ValueError(f"{column} has {odd}")
     return df
@@ -94,6 +95,23 @@ def read_config(path: str | None) -> dict:
         return DEFAULT_CONFIG | json.load(f)
 
 
+def live_inputs(spark: SparkSession, states_path: str, config_path: str | None, names_path: str | None = None) -> tuple[DataFrame, DataFrame, dict, DataFrame | None]:
+    """States, priorities (state_id, edge) of the tradeable states, settings, and names of codes of the live path.
+
+    The settings' state_priority maps states to their edges, tradeable_states lists those that count.
+    """
+    config = read_config(config_path)
+    allowed = {int(x) for x in config.get("tradeable_states", config.get("state_priority", {}))}
+    rows = [(int(k), float(v)) for k, v in config.get("state_priority", {}).items() if int(k) in allowed]
+    names = spark.read.parquet(names_path).select("code", "name") if names_path else None
+    return spark.read.parquet(states_path), spark.createDataFrame(rows, "state_id long, edge double"), config, names
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    """What write_meta wrote."""
+    return json.loads("".join(r[0] for r in spark.read.text(path).collect()))
+
+
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
     """code for each symbol of a universe file."""
     return spark.read.json(path, multiLine=True).select(F.explode("symbols").alias("code")).select(F.lpad("code", 6, "0").alias("code"))

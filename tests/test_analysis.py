@@ -1,7 +1,9 @@
 """Operators on inline tables with answers worked out by hand."""
 
 import datetime as dt
+import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -233,3 +235,31 @@ def test_command_line_tells_unbuilt_reports(spark, tmp_path):
     from statefield import cli
 
     assert cli.main(["summary", "--out", str(tmp_path)]) == 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_command_line_builds_and_shows_reports(spark, tmp_path, capsys):
+    from statefield import cli
+
+    out = str(tmp_path / "reports")
+    assert cli.main(["build", "--source", "/root/testdata/sf0.001", "--out", out]) == 0
+    assert {"attribution.json", "diagnostics.json", "drawdown.svg", "regimes.svg", "classes.svg"} <= set(os.listdir(out))
+    report = json.loads((tmp_path / "reports" / "attribution.json").read_text())
+    assert sum(x["n"] for x in report["by_class"]) == report["total"][0]["n"] > 0
+    for command, shown in (("summary", "state_class"), ("class", "state_id"), ("regime", "share_BULL"), ("drift", "kl_bull_bear")):
+        assert cli.main([command, "--out", out]) == 0
+        assert shown in capsys.readouterr().out
+
+
+def test_charts_and_meta(spark, tmp_path):
+    def fails(path):
+        raise OSError("no disk")
+
+    done = sinks.charts({"a": lambda p: sinks.line_chart({"x": [(0, 1), (1, float("nan")), (2, 3)], "y": []}, p), "b": fails, "c": lambda p: sinks.line_chart({}, p)}, str(tmp_path))
+    assert done == ["a"] and (tmp_path / "a.svg").read_text().count("polyline") == 1
+    path = str(tmp_path / "meta")
+    assert sinks.write_meta(spark, path, {"a": float("inf")}, dry=True) == '{"a": null}' and not os.path.exists(path)
+    sinks.write_meta(spark, path, {"a": [1.5, float("nan")], "b": {"c": 2}})
+    assert tables.read_meta(spark, path) == {"a": [1.5, None], "b": {"c": 2}}
+    with pytest.raises(ValueError):
+        tables.require_domain(spark.createDataFrame([("BULL",), (None,)], "r string"), "r", ["BULL"])

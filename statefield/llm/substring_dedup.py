@@ -12,9 +12,12 @@ A passage of 51 words holds a whole sentence or 26 words of a long one, of which
 seed within CONTEXT words of either end, unless all such units are of under unit_words words. Where the first unit of a
 run has an earliest occurrence elsewhere, in other words, the run isn't extended on that side.
 
-Two shuffles of digests (16 bytes each), one of the texts for the words around earliest occurrences that runs end with, and
-one of the texts with their marks; hot digests are pre-aggregated, and the joins back to the units and to the words around
-them are ones that adaptive execution splits. Marks carry the digest and are checked against the text.
+The documents are parsed for their digests once, which are written; two shuffles of digests, one of the texts for the words
+around earliest occurrences that runs end with, and one of the texts with their marks. Hot digests are pre-aggregated, and
+the joins back to the units and to the words around them are ones that adaptive execution splits. Marks carry the digest and
+are checked against the text. Digests have 64 bits: no unit has run_words words, so text goes only where two in a row agree.
+
+With run_words 0 every later occurrence of a unit goes, however short; the default spares lines that merely recur.
 
 Defined results: null text counts as empty and comes back as it was; rows of one doc_id count as one document; rows
 without doc_id rank last and share one rank, so among themselves they keep their units. Empty tables give no rows.
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import fresh, materialise, small_batches
 
 _END = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*")
 _WORD = re.compile(r"\S+")
@@ -82,25 +85,28 @@ def _cut_long(text: str, start: int, end: int, out: list[tuple[int, int, int, st
             at = cut_at
 
 
-def digest(unit: str) -> bytes:
-    return xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass"))
+def digest(unit: str) -> int:
+    d = xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"))
+    return d - (1 << 64) if d >> 63 else d
 
 
 def unit_digests(docs: DataFrame, unit_words: int = UNIT_WORDS) -> DataFrame:
-    """doc_id, pos, digest of each unit that is looked up."""
+    """doc_id, pos, digest of each unit that is looked up; they are written, document by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
-            ids, places, digests = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ends, places, digests = [0], [], []
+            for text in b.column(1).to_pylist():
                 for pos, (_, _, words, unit) in enumerate(units(text or "")):
                     if words >= unit_words:
-                        ids.append(doc)
                         places.append(pos)
                         digests.append(digest(unit))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary())], ["doc_id", "pos", "digest"])
+                ends.append(len(places))
+            ends = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(places, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(digests, pa.int64()))], ["doc_id", "pos", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, pos int, digest binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, pos array<int>, digest array<long>")
+    return materialise(found, "substring-units").select("doc_id", F.explode(F.arrays_zip("pos", "digest")).alias("u")).select("doc_id", "u.pos", "u.digest")
 
 
 def contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -117,9 +123,9 @@ def contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
                     digests.append(digest(unit))
                     before.append(_words_before(text, start))
                     after.append(_words_after(text, end))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(before, pa.string()), pa.array(after, pa.string())], ["digest", "before", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())], ["digest", "before", "after"])
 
-    found = rows.mapInArrow(run, "digest binary, before string, after string")
+    found = rows.mapInArrow(run, "digest long, before string, after string")
     return found.groupBy("digest").agg(F.min(F.struct("before", "after")).alias("around"))
 
 
@@ -153,7 +159,7 @@ def _equal(a: list[str], b: list[str]) -> int:
     return n
 
 
-def removed_runs(text: str, marks: dict[int, set[bytes]], unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS, around: dict[bytes, tuple[str, str]] | None = None) -> list[tuple[int, int]]:
+def removed_runs(text: str, marks: dict[int, set[int]], unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS, around: dict[int, tuple[str, str]] | None = None) -> list[tuple[int, int]]:
     """Spans of text that go, in code points, given the digests marked at unit positions.
 
     around: the words before and after the earliest occurrence of digests.
@@ -196,7 +202,10 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def substring_dedup(docs: DataFrame, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """docs' columns with text cut, and removed array<struct<start, end>>: spans of the original text, in code points."""
+    """docs' columns with text cut, and removed array<struct<start, end>>: spans of the original text, in code points.
+
+    Where docs has a column removed, the new one is called _removed.
+    """
     found = unit_digests(docs, unit_words)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos")
     first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select(F.col("digest").alias("d"), "first")
@@ -210,28 +219,29 @@ def substring_dedup(docs: DataFrame, unit_words: int = UNIT_WORDS, run_words: in
     ends = materialise(ends, "substring-ends")
     around = materialise(contexts(docs, ends.select("first_doc", "first_pos")), "substring-contexts")
     around = ends.select("doc_id", "digest").join(around, "digest").groupBy(F.col("doc_id").alias("_with")).agg(F.collect_list(F.struct("digest", "around.before", "around.after")).alias("_around"))
-    marks = later.select(F.col("doc_id").alias("_doc"), F.transform("marks", lambda m: F.struct(m["pos"].alias("pos"), m["digest"].alias("digest"))).alias("_marks"))
-    marks = marks.join(around, F.col("_doc") == F.col("_with"), "left").drop("_with")
+    own, marked, with_ = fresh("doc", docs), fresh("marks", docs), fresh("around", docs)
+    marks = later.select(F.col("doc_id").alias(own), F.transform("marks", lambda m: F.struct(m["pos"].alias("pos"), m["digest"].alias("digest"))).alias(marked))
+    marks = marks.join(around, F.col(own) == F.col("_with"), "left").select(own, marked, F.col("_around").alias(with_))
     keep = docs.columns
-    joined = docs.join(marks, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    at, marked = keep.index("text"), len(keep)
+    joined = docs.join(marks, docs["doc_id"].cast("long") == marks[own], "left").select(*(docs[c] for c in keep), marks[marked], marks[with_])
+    at, first_mark, removed_name = keep.index("text"), len(keep), fresh("removed", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
             texts, removed = b.column(at).to_pylist(), []
-            for i, (marks_of, around_of) in enumerate(zip(b.column(marked).to_pylist(), b.column(marked + 1).to_pylist())):
+            for i, (marks_of, around_of) in enumerate(zip(b.column(first_mark).to_pylist(), b.column(first_mark + 1).to_pylist())):
                 spans: list[tuple[int, int]] = []
                 if marks_of and texts[i]:
-                    by_pos: dict[int, set[bytes]] = {}
+                    by_pos: dict[int, set[int]] = {}
                     for m in marks_of:
                         by_pos.setdefault(m["pos"], set()).add(m["digest"])
                     spans = removed_runs(texts[i], by_pos, unit_words, run_words, {x["digest"]: (x["before"], x["after"]) for x in around_of or ()})
                     texts[i] = cut(texts[i], spans)
                 removed.append([{"start": s, "end": e} for s, e in spans])
-            cols = list(b.columns[:marked])
+            cols = list(b.columns[:first_mark])
             cols[at] = pa.array(texts, pa.string())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, kind)], [*keep, "removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, kind)], [*keep, removed_name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", removed array<struct<start:int,end:int>>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{removed_name}` array<struct<start:int,end:int>>"
     return joined.mapInArrow(run, schema)

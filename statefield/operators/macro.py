@@ -32,24 +32,19 @@ def market_equity(panel: DataFrame) -> DataFrame:
 
 
 def regime_fsm(dd: DataFrame, p: Params = DEFAULT, *keep: str) -> DataFrame:
-    """date, dd, regime: BULL, BEAR, RECOVERY with hysteresis (Q3); a fold over the one date series."""
-    row = F.struct("date", "dd", *keep)
-    one = dd.agg(F.array_sort(F.collect_list(row)).alias("s"))
-    kind = one.schema["s"].dataType.elementType
-
-    def step(acc: Column, x: Column) -> Column:
-        cur = acc["cur"]
-        new = (
-            F.when(cur.isin("BULL", "RECOVERY") & (x["dd"] <= p.dd_bear), "BEAR")
-            .when((cur == "BEAR") & (x["dd"] >= p.dd_recover), "RECOVERY")
-            .when((cur == "RECOVERY") & (x["dd"] >= p.dd_bull), "BULL")
-            .otherwise(cur)
-        )
-        return F.struct(new.alias("cur"), F.array_append(acc["out"], F.struct(*(x[f.name].alias(f.name) for f in kind.fields), new.alias("regime"))).alias("out"))
-
-    empty = F.array().cast(f"array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in kind.fields)},regime:string>>")
-    start = F.struct(F.lit("BULL").alias("cur"), empty.alias("out"))
-    return one.select(F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("x")).select("x.*")
+    """date, dd, regime: BULL, BEAR, RECOVERY with hysteresis (Q3); windows over the one date series.
+
+    Each row at or under dd_bear begins a stretch, in which the first row at or above dd_recover ends the BEAR and a row after
+    that at or above dd_bull ends the RECOVERY. Before the first stretch all is BULL.
+    """
+    upto = lambda w: w.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    rows = dd.select("date", "dd", *keep).withColumn("_stretch", F.count_if(F.col("dd") <= p.dd_bear).over(upto(Window.partitionBy(F.lit(0)))))
+    w = upto(Window.partitionBy("_stretch"))
+    rows = rows.withColumn("_up", F.count_if(F.col("dd") >= p.dd_recover).over(w))
+    before = F.coalesce(F.lag("_up").over(Window.partitionBy("_stretch").orderBy("date")), F.lit(0))
+    rows = rows.withColumn("_before", before).withColumn("_out", F.count_if((F.col("dd") >= p.dd_bull) & (F.col("_before") > 0)).over(w))
+    regime = F.when((F.col("_stretch") == 0) | (F.col("_out") > 0), "BULL").when(F.col("_up") > 0, "RECOVERY").otherwise("BEAR")
+    return rows.select("date", "dd", *keep, regime.alias("regime"))
 
 
 def with_regime(df: DataFrame, labels: DataFrame, on: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,11 @@ def identify(train: DataFrame, ret: str, p: Params = DEFAULT, *by: str) -> DataF
     stats = train.where(F.col("state_id").isNotNull()).groupBy(*by, "state_id").agg(
         F.count(F.lit(1)).alias("visits"), F.avg(ret).alias("mu_r"), F.stddev_samp(ret).alias("sigma_r"), F.mode("regime", True).alias("regime")
     )
+    return _marked(stats, p)
+
+
+def _marked(stats: DataFrame, p: Params) -> DataFrame:
+    """stats with t_stat and tradeable."""
     t = ratio(F.col("mu_r"), ratio(F.col("sigma_r"), F.sqrt(F.col("visits"))))
     good = (F.col("mu_r") > 0) & (F.col("visits") >= p.min_visits) & (F.col("t_stat") >= p.t_least) & F.col("regime").isin(*p.regimes)
     return stats.withColumn("t_stat", t).withColumn("tradeable", F.coalesce(good, F.lit(False)))
@@ -87,19 +96,26 @@ def without_bear(candidates: DataFrame, bear: DataFrame) -> DataFrame:
 def non_overlapping(candidates: DataFrame, cost: float = DEFAULT.cost, *by: str) -> DataFrame:
     """Greedy trades per code: a candidate enters if its date is after the last exit (Q1).
 
-    candidates: by.., code, date, exit_date, state_id, regime, ret_h. The fold runs over one code's candidates in order.
+    candidates: by.., code, date, exit_date, state_id, regime, ret_h. A code's candidates pass in order, and all that is held of
+    them is the last exit.
     """
-    row = F.struct("date", "exit_date", "state_id", "regime", "ret_h")
-    held = candidates.groupBy(*by, "code").agg(F.array_sort(F.collect_list(row)).alias("c"))
-    kind = held.schema["c"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("date").alias("last"), F.array().cast(kind).alias("kept"))
+    keys = [*by, "code"]
+    rows = candidates.select(*keys, "date", "exit_date", "state_id", "regime", "ret_h")
 
-    def step(acc: Column, x: Column) -> Column:
-        enter = acc["last"].isNull() | (x["date"] > acc["last"])
-        return F.struct(F.when(enter, x["exit_date"]).otherwise(acc["last"]).alias("last"), F.when(enter, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            day, out = (b.column(len(keys) + i).cast(pa.int32()).to_numpy() for i in (0, 1))
+            own, enter = list(zip(*(b.column(i).to_pylist() for i in range(len(keys))))), np.zeros(b.num_rows, bool)
+            for i, (key, d) in enumerate(zip(own, day.tolist())):
+                if key != at or last is None or d > last:
+                    at, last, enter[i] = key, int(out[i]), True
+            yield b.filter(pa.array(enter))
 
-    trades = held.select(*by, "code", F.explode(F.aggregate("c", start, step, lambda a: a["kept"])).alias("x"))
-    return trades.select(*by, F.col("x.date").alias("entry_date"), F.col("x.exit_date").alias("exit_date"), "code", F.col("x.state_id").alias("state_id"), F.col("x.regime").alias("regime"), F.col("x.ret_h").alias("ret_gross"), (F.col("x.ret_h") - cost).alias("ret_net"))
+    trades = rows.repartition(*keys).sortWithinPartitions(*keys, "date", "exit_date").mapInArrow(run, rows.schema)
+    return trades.select(*by, F.col("date").alias("entry_date"), "exit_date", "code", "state_id", "regime", F.col("ret_h").alias("ret_gross"), (F.col("ret_h") - cost).alias("ret_net"))
 
 
 def portfolio_path(trades: DataFrame, prices: DataFrame, dates: DataFrame, cost: float = DEFAULT.cost, clamp: bool = False, *by: str) -> DataFrame:
@@ -107,25 +123,26 @@ def portfolio_path(trades: DataFrame, prices: DataFrame, dates: DataFrame, cost:
 
     dates: by.., date, the calendar of the test period; the trade is active on the calendar's dates after entry up to exit, also on
     those that its code has no row on. An exit beyond the calendar skips the trade, or with clamp ends at the last date (Q4b).
+    The calendar is one row a day, so it is broadcast; the trades meet it by the numbers of their days.
     """
     on = list(by)
     span = Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))
     days = dates.select(*on, "date").distinct()
-    last = days.groupBy(*on).agg(F.max("date").alias("_last")) if on else days.agg(F.max("date").alias("_last"))
-    t = trades.join(days.withColumnRenamed("date", "entry_date"), [*on, "entry_date"], "left_semi")
-    t = t.join(last, on) if on else t.crossJoin(F.broadcast(last))
-    inside = days.withColumnRenamed("date", "exit_date").withColumn("_in", F.lit(True))
-    t = t.join(inside, [*on, "exit_date"], "left")
-    t = t.withColumn("exit_date", F.when(F.col("_in"), F.col("exit_date")).otherwise(F.col("_last"))) if clamp else t.where("_in")
-    near = F.explode(F.sequence(F.trunc("entry_date", "month"), F.trunc("exit_date", "month"), F.expr("interval 1 month"))).alias("_m")
-    spread = t.select(*on, "code", "entry_date", "exit_date", near)
-    active = spread.join(days.withColumn("_m", F.trunc("date", "month")), [*on, "_m"]).where((F.col("date") > F.col("entry_date")) & (F.col("date") <= F.col("exit_date")))
+    days = days.select("*", F.row_number().over(span.orderBy("date")).alias("day"), F.count(F.lit(1)).over(span).alias("days"))
+    entry = F.broadcast(days.select(*on, F.col("date").alias("entry_date"), F.col("day").alias("_entry"), F.col("days").alias("_last")))
+    exit_ = F.broadcast(days.select(*on, F.col("date").alias("exit_date"), F.col("day").alias("_exit")))
+    t = trades.join(entry, [*on, "entry_date"]).join(exit_, [*on, "exit_date"], "left" if clamp else "inner")
+    t = t.select(*on, "code", "_entry", F.coalesce("_exit", "_last").alias("_exit"))
+    held = t.select("*", F.explode(F.sequence(F.least(F.col("_entry") + 1, F.col("_exit")), F.col("_exit"))).alias("day"))
+    held = held.join(F.broadcast(days.select(*on, "day", "date")), [*on, "day"])
     returns = daily_return(prices.select("code", "date", "close")).select("code", "date", "ret_d")
-    pnl = active.join(returns, ["code", "date"], "left").groupBy(*on, "date").agg(F.sum(F.coalesce("ret_d", F.lit(0.0))).alias("pnl"), F.count(F.lit(1)).alias("n"))
-    exits = t.groupBy(*on, F.col("exit_date").alias("date")).agg(F.count(F.lit(1)).alias("exits"))
-    path = days.join(pnl, [*on, "date"], "left").join(exits, [*on, "date"], "left")
+    active = F.col("day") > F.col("_entry")
+    sums = held.join(returns, ["code", "date"], "left").groupBy(*on, "day").agg(
+        F.sum(F.when(active, F.coalesce("ret_d", F.lit(0.0)))).alias("pnl"), F.count_if(active).alias("n"), F.count_if(F.col("day") == F.col("_exit")).alias("exits")
+    )
+    path = days.select(*on, "day", "date").join(sums, [*on, "day"], "left")
     n = F.coalesce("n", F.lit(0).cast("long"))
-    ret = F.when(n > 0, (F.col("pnl") - cost * F.coalesce("exits", F.lit(0))) / F.col("n")).otherwise(0.0)
+    ret = F.when(n > 0, (F.col("pnl") - cost * F.col("exits")) / F.col("n")).otherwise(0.0)
     path = path.select(*on, "date", n.alias("n_active"), ret.alias("port_ret"))
     upto = span.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return path.withColumn("equity", F.product(1 + F.col("port_ret")).over(upto))
@@ -170,19 +187,30 @@ def folds(spark, p: Params = DEFAULT) -> DataFrame:
     )
 
 
+def identify_before(rows: DataFrame, ret: str, years: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """fold and what identify gives for all rows before the fold's first year; sums by state and year are cumulated, not rows."""
+    sums = rows.where(F.col("state_id").isNotNull()).groupBy("state_id", "regime", F.year("date").alias("year")).agg(F.count(ret).alias("n"), F.count(F.lit(1)).alias("rows"), F.sum(ret).alias("s"), F.sum(F.col(ret) * F.col(ret)).alias("q"))
+    cells = sums.join(years.select("fold"), F.col("year") < F.col("fold")).groupBy("fold", "state_id", "regime").agg(*(F.sum(c).alias(c) for c in ("n", "rows", "s", "q")))
+    often = F.min(F.when(F.col("regime").isNotNull(), F.struct((-F.col("rows")).alias("k"), "regime")))["regime"]
+    g = cells.groupBy("fold", "state_id").agg(F.sum("rows").alias("visits"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), often.alias("regime"))
+    mu = ratio(F.col("s"), F.col("n"))
+    var = ratio(F.greatest(F.col("q") - F.col("s") * mu, F.lit(0.0)), F.nullif(F.col("n") - 1, F.lit(0)))
+    return _marked(g.select("fold", "state_id", "visits", mu.alias("mu_r"), F.sqrt(var).alias("sigma_r"), "regime"), p)
+
+
 def walk_forward(labelled: DataFrame, p: Params = DEFAULT, overlay: bool = False) -> DataFrame:
     """Fold metrics of expanding training and one test year each; all folds in one plan, the fold is a key (B5, B6, P6; overlay B7)."""
     years = F.broadcast(folds(labelled.sparkSession, p))
     rows = horizon_return(labelled, p.horizon)
     known = rows.where("ret_h is not null")
-    picked = chosen(identify(known.join(years, F.col("date") < F.col("start")), "ret_h", p, "fold"), "fold")
-    test = rows.join(years, F.col("date").between(F.col("start"), F.col("end")))
-    cand = test.where("ret_h is not null").join(picked, ["fold", "state_id"], "left_semi")
+    picked = chosen(identify_before(known, "ret_h", years, p), "fold")
+    test = rows.join(years, F.year("date") == F.col("fold"))
+    cand = test.where("ret_h is not null").join(F.broadcast(picked), ["fold", "state_id"], "left_semi")
     if overlay:
         cand = without_bear(cand, market_bear(labelled, p.sma))
     trades = non_overlapping(cand, p.cost, "fold")
     path = portfolio_path(trades, labelled, test.select("fold", "date").distinct(), p.cost, True, "fold")
-    path = path.join(trades.select("fold").distinct(), "fold", "left_semi")
+    path = path.join(F.broadcast(trades.select("fold").distinct()), "fold", "left_semi")
     return path_metrics(path, trades, p, "fold").drop("sortino", "avg_active")
 
 

@@ -169,6 +169,59 @@ def test_substring_dedup(spark, docs):
     assert substring_dedup.substring_dedup(empty(docs)).count() == 0
 
 
+def runs_by_hand(docs, run_words):
+    """Spans that go, found by comparing whole texts: docs is [(doc_id, text)] in order of doc_id."""
+    first, out = {}, []
+    for doc, text in docs:
+        places = [m.span() for m in re.finditer(r"\S+", text)]
+        words, at, runs, on = text.lower().split(), 0, [], False
+        for pos, (_, _, n, unit) in enumerate(substring_dedup.units(text)):
+            if n >= substring_dedup.UNIT_WORDS and unit in first:
+                if not on:
+                    runs.append([at, at, first[unit][:2], None])
+                runs[-1][1], runs[-1][3], on = at + n, (first[unit][0], first[unit][1] + n), True
+            elif n >= substring_dedup.UNIT_WORDS:
+                first[unit], on = (words, at), False
+            at += n
+        spans = []
+        for a, b, (w1, i), (w2, j) in runs:
+            a0, b0 = a, b
+            while a > 0 and i > 0 and a0 - a < substring_dedup.CONTEXT and words[a - 1] == w1[i - 1]:
+                a, i = a - 1, i - 1
+            while b < len(words) and j < len(w2) and b - b0 < substring_dedup.CONTEXT and words[b] == w2[j]:
+                b, j = b + 1, j + 1
+            while spans and spans[-1][1] >= a:
+                a, b = min(a, spans[-1][0]), max(b, spans.pop()[1])
+            spans.append((a, b))
+        out.append((doc, [(places[a][0], places[b - 1][1]) for a, b in spans if b - a >= run_words]))
+    return out
+
+
+@pytest.mark.parametrize("run_words", [25, 0])
+def test_substring_dedup_equals_brute_force(spark, run_words):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("aeioustr"), 6))
+    prose = lambda n: " ".join(word() + ("." if rng.random() < 0.1 else "\n" if rng.random() < 0.03 else "") for _ in range(n))
+    passages = [prose(n) for n in (60, 51, 90, 30, 12, 6)]
+    docs = []
+    for i in range(60):
+        parts = [prose(int(rng.integers(0, 60)))]
+        for _ in range(int(rng.integers(0, 4))):
+            parts += [passages[rng.integers(6)], prose(int(rng.integers(0, 40)))]
+        docs.append((i, " ".join(parts)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, [(x.start, x.end) for x in r.removed]) for r in substring_dedup.substring_dedup(df, run_words=run_words).collect())
+    want = runs_by_hand(docs, run_words)
+    assert got == want and sum(len(s) for _, s in want) > 20
+
+
+def test_substring_dedup_with_clashing_names(spark):
+    names = ["removed", "doc", "_doc", "marks", "_marks", "around"]
+    df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string").select("doc_id", "text", *(F.lit("x").alias(c) for c in names))
+    out = substring_dedup.substring_dedup(df)
+    assert out.columns == [*df.columns, "_removed"] and sorted(map(tuple, out.collect())) == [(1, "a", *"xxxxxx", []), (2, None, *"xxxxxx", [])]
+
+
 def test_passage_of_51_words_within_sentences(spark):
     word = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:7] + ("." if i % 17 == 0 else "")
     one, two, passage = ([word(i) for i in range(*r)] for r in ((0, 60), (100, 160), (207, 258)))
@@ -206,6 +259,87 @@ def test_sections_of_a_hot_host_are_judged_by_their_labels(spark):
     assert [got[i] == "block" for i in range(len(urls))] == bad
 
 
+def judged_by_hand(rows, most_children=32, heavy=0.05, z=2.0, smoothing=20.0, most_bad=0.5):
+    """{(host, segments): (template, branch, bad share, rejected)} of [(host, segments, bad or None)], node by node."""
+
+    def differs(x, n, all_x, all_n):
+        if not n or n == all_n:
+            return False
+        p = all_x / all_n
+        return abs(x / n - (all_x - x) / (all_n - n)) > z * (p * (1 - p) * (1 / n + 1 / (all_n - n))) ** 0.5
+
+    def add(table, key, v):
+        table[key] = tuple(a + b for a, b in zip(table.get(key, (0, 0, 0)), v))
+
+    counts, out, hosts = {}, {}, {}
+    for host, segs, bad in rows:
+        add(counts, (host, segs), (1, bad is not None, bool(bad)))
+        add(hosts, host, (1, bad is not None, bool(bad)))
+    overall = sum(v[2] for v in hosts.values()) / max(1, sum(v[1] for v in hosts.values()))
+    for host, (_, h_labelled, h_bad) in hosts.items():
+        t = {segs: segs for h, segs in counts if h == host}
+        for i in range(max(map(len, t))):
+            nodes = {}
+            for segs, path in t.items():
+                if len(path) > i:
+                    add(nodes.setdefault(path[:i], {}), path[i], counts[host, segs])
+            wild = set()
+            for up, children in nodes.items():
+                total = sum(v[0] for v in children.values())
+                light = {c for c, v in children.items() if len(children) > most_children and v[0] < heavy * total}
+                below, like = {}, {}
+                for segs, path in t.items():
+                    if len(path) > i and path[:i] == up and path[i] in light:
+                        for down in range(len(path) - i):
+                            add(below, (path[i], path[i + 1 : i + 1 + down]), counts[host, segs])
+                            add(like, path[i + 1 : i + 1 + down], counts[host, segs])
+                wild |= {(up, c) for c in light} - {(up, c) for (c, rest), v in below.items() if differs(v[2], v[1], like[rest][2], like[rest][1])}
+            t = {s: p[:i] + ("*",) + p[i + 1 :] if len(p) > i and (p[:i], p[i]) in wild else p for s, p in t.items()}
+        leaves = {}
+        for segs, path in t.items():
+            add(leaves, path, counts[host, segs])
+        b, level = {p: p for p in leaves}, {p: len(p) for p in leaves}
+        for i in range(max(level.values()), 0, -1):
+            parts, wholes = {}, {}
+            for p in leaves:
+                if level[p] == i:
+                    add(parts, b[p], leaves[p])
+                    add(wholes, b[p][: i - 1], leaves[p])
+            for p in leaves:
+                if level[p] == i:
+                    v, w = parts[b[p]], wholes[b[p][: i - 1]]
+                    b[p], level[p] = (b[p], 0) if differs(v[2], v[1], w[2], w[1]) else (b[p][: i - 1] + ("*",), i - 1)
+        sums = {}
+        for p in leaves:
+            add(sums, b[p], leaves[p])
+        host_share = (h_bad + smoothing * overall) / (h_labelled + smoothing)
+        for segs, path in t.items():
+            _, n, x = sums[b[path]]
+            share = (x + smoothing * host_share) / (n + smoothing)
+            out[host, segs] = ("/" + "/".join(path), "/" + "/".join(b[path]), round(share, 9), share > most_bad)
+    return out
+
+
+def test_url_templates_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(4000):
+        host, section, deep = f"h{rng.integers(3)}.net", rng.integers(45), rng.integers(0, 5)
+        path = [f"s{chr(97 + section % 26)}{chr(97 + section // 26)}", *(str(rng.choice(["x", "y", "spam", "z"])) for _ in range(deep))]
+        if rng.random() < 0.3:
+            path.append(f"item-{chr(97 + rng.integers(26))}{chr(97 + rng.integers(26))}")
+        bad = None if rng.random() < 0.3 else bool(rng.random() < (0.9 if "spam" in path[1:3] or section in (5, 17) else 0.1))
+        rows.append((i, f"http://{host}/{'/'.join(path)}", host, tuple(path), bad))
+    want = judged_by_hand([r[2:] for r in rows])
+    df = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows if r[4] is not None], "page_id long, bad boolean")
+    got = {r.page_id: r for r in url_filter.filter_urls(df, [], labels).collect()}
+    for i, _, host, segs, _ in rows:
+        template, branch, share, rejected = want[host, segs]
+        assert (got[i].template, got[i].branch, round(got[i].bad_share, 9), got[i].verdict) == (template, branch, share, "block" if rejected else "allow")
+    assert {r.verdict for r in got.values()} == {"allow", "block"} and len({r.branch for r in got.values()}) > 8
+
+
 def test_url_templates_differ_below_the_fourth_segment(spark):
     urls = [f"http://h.net/en/2024/05/12/{w}/x{'/deep' * 3}" for w in ("spam", "news") for _ in range(40)]
     df = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
@@ -220,7 +354,7 @@ def test_nearest(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [0.0] * 6), (903, [None] * 6), (904, [float("nan")] + [1.0] * 5), (905, [1.0, 2.0]), (None, [1.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     got = {}
-    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), k=5, shard=80, block=3).collect():
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), k=5, shard=80, block=3, most_groups=2).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     n = np.sqrt((x * x).sum(1))
     assert sorted(got) == [0, 50, 100, 150, 200, 250]
@@ -229,7 +363,9 @@ def test_nearest(spark):
         order = [int(j) for j in np.lexsort((np.arange(300), -s)) if j != q][:5]
         assert [found[i][0] for i in range(1, 6)] == order
         assert np.allclose([found[i][1] for i in range(1, 6)], s[order])
-    assert ann.nearest(empty(df), empty(df)).count() == 0
+    assert ann.nearest(empty(df), empty(df)).count() == 0 and ann.nearest(df, empty(df)).count() == 0
+    twice = df.where("vec_id in (10, 20, 50)").union(df.where("vec_id = 50"))
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(twice, twice.where("vec_id = 50"), k=5).collect()) == [(50, 1, 10), (50, 1, 10), (50, 2, 20), (50, 2, 20)]
 
 
 def test_html_extract(spark):

@@ -65,9 +65,9 @@ def drop_table(df: DataFrame) -> None:
 BROADCAST_ROWS = 1_000_000
 
 
-def known_size(df: DataFrame) -> DataFrame:
-    """A written list of a few numbers a row, marked for broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def known_size(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written list of a few numbers a row, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def fresh(name: str, df: DataFrame) -> str:

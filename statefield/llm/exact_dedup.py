@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, fresh, known_size, materialise, new_path, text_or_empty
 
+#: Rows of the list of hits up to which it is broadcast: some 30 MB.
+WIDE_ROWS = 250_000
 #: The state is on disk; without preallocation, as many partitions have a small state each.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -126,12 +128,22 @@ def _runs(spark: SparkSession, path: str) -> int:
 
 
 def _fetched(rows: DataFrame) -> DataFrame:
-    """rows with norm, the normalised text at their locator; only the files that have such rows are read, and only their texts."""
-    rows = materialise(rows, "dedup-places")
-    files = [r[0] for r in rows.select("locator.file").distinct().collect()]
-    texts = rows.sparkSession.read.schema("text string").parquet(*map(unquote, files)).select("text", _locator().alias("at"))
-    on = (F.col("at.row") == F.col("locator.row")) & (F.xxhash64("at.file") == F.xxhash64("locator.file")) & (F.col("at.file") == F.col("locator.file"))
-    return texts.join(rows, on).select(*rows.columns, normalised("text").alias("norm"))
+    """rows with norm, the normalised text at their locator; only the files that have such rows are read, and only their texts.
+
+    Files go by a number, a hash under a seed that tells the files at hand apart.
+    """
+    rows, seed = materialise(rows, "dedup-places"), 0
+    number = lambda c: F.xxhash64(c, F.lit(seed))
+    numbered = lambda: rows.select("locator.file").distinct().select("file", number("file").alias("n")).collect()
+    files = numbered()
+    while len({r.n for r in files}) < len(files):
+        seed += 1
+        files = numbered()
+    texts = rows.sparkSession.read.schema("text string").parquet(*(unquote(r.file) for r in files))
+    texts = texts.select("text", number("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
+    places = materialise(rows.select(*(c for c in rows.columns if c != "locator"), number("locator.file").alias("file"), F.col("locator.row").alias("row")), "dedup-numbered")
+    found = texts.join(known_size(places, WIDE_ROWS), (F.col("at_file") == F.col("file")) & (F.col("at_row") == F.col("row")))
+    return found.select(*places.columns, normalised("text").alias("norm"))
 
 
 def _clashes(grouped: DataFrame) -> DataFrame | None:
@@ -152,7 +164,7 @@ def _clashes(grouped: DataFrame) -> DataFrame | None:
 def _by_bytes(rows: DataFrame) -> DataFrame:
     """Results of rows grouped by digest and bytes."""
     texts = materialise(_fetched(rows), "dedup-clash-texts")
-    groups = texts.groupBy("digest", "norm").agg(F.min(_stay(F.col("locator"))).alias("stay"), F.count(F.lit(1)).alias("group_size"))
+    groups = texts.groupBy("digest", "norm").agg(F.min(_stay(F.lit(None))).alias("stay"), F.count(F.lit(1)).alias("group_size"))
     kept = (F.col("stay.run") == F.col("run")) & (F.col("stay.row_id") == F.col("row_id"))
     return texts.join(groups, ["digest", "norm"]).select("run", "doc_id", F.col("stay.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 

@@ -83,8 +83,8 @@ def training_rows(labelled: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", digest.alias("digest"))
     light = usable.select("lang", "digest")
     share = 2.0 * rows / F.col("n") * 2.0**64 - 2.0**63
-    counts = light.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    low = light.join(counts, "lang").where(F.col("digest").cast("double") <= share).select("lang", "digest").distinct()
+    counts = materialise(light.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
+    low = light.join(known_size(counts), "lang").where(F.col("digest").cast("double") <= share).select("lang", "digest").distinct()
     ranked = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("digest"))).where(F.col("k") <= rows).select("lang", "digest")
     chosen = materialise(ranked, "language-sample")
     return usable.join(known_size(chosen), ["lang", "digest"], "left_semi").dropDuplicates(["lang", "digest"]).select("lang", "text")

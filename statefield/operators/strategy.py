@@ -210,7 +210,6 @@ def walk_forward(labelled: DataFrame, p: Params = DEFAULT, overlay: bool = False
         cand = without_bear(cand, market_bear(labelled, p.sma))
     trades = non_overlapping(cand, p.cost, "fold")
     path = portfolio_path(trades, labelled, test.select("fold", "date").distinct(), p.cost, True, "fold")
-    path = path.join(F.broadcast(trades.select("fold").distinct()), "fold", "left_semi")
     return path_metrics(path, trades, p, "fold").drop("sortino", "avg_active")
 
 

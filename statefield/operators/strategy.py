@@ -123,24 +123,20 @@ def portfolio_path(trades: DataFrame, prices: DataFrame, dates: DataFrame, cost:
 
     dates: by.., date, the calendar of the test period; the trade is active on the calendar's dates after entry up to exit, also on
     those that its code has no row on. An exit beyond the calendar skips the trade, or with clamp ends at the last date (Q4b).
-    The calendar is one row a day, so it is broadcast; the trades meet it by the numbers of their days.
+    The calendar is an array of days, one for each key, and is broadcast; trades meet it by the numbers of their days.
     """
     on = list(by)
     span = Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))
-    days = dates.select(*on, "date").distinct()
-    days = days.select("*", F.row_number().over(span.orderBy("date")).alias("day"), F.count(F.lit(1)).over(span).alias("days"))
-    entry = F.broadcast(days.select(*on, F.col("date").alias("entry_date"), F.col("day").alias("_entry"), F.col("days").alias("_last")))
-    exit_ = F.broadcast(days.select(*on, F.col("date").alias("exit_date"), F.col("day").alias("_exit")))
-    t = trades.join(entry, [*on, "entry_date"]).join(exit_, [*on, "exit_date"], "left" if clamp else "inner")
-    t = t.select(*on, "code", "_entry", F.coalesce("_exit", "_last").alias("_exit"))
-    held = t.select("*", F.explode(F.sequence(F.least(F.col("_entry") + 1, F.col("_exit")), F.col("_exit"))).alias("day"))
-    held = held.join(F.broadcast(days.select(*on, "day", "date")), [*on, "day"])
+    days = F.sort_array(F.collect_set("date")).alias("_days")
+    calendar = dates.groupBy(*on).agg(days) if on else dates.agg(days)
+    t = trades.join(F.broadcast(calendar), on) if on else trades.crossJoin(F.broadcast(calendar))
+    t = t.select(*on, "code", "_days", F.array_position("_days", F.col("entry_date")).alias("_entry"), F.array_position("_days", F.col("exit_date")).alias("_exit")).where("_entry > 0")
+    t = t.withColumn("_exit", F.when(F.col("_exit") > 0, F.col("_exit")).otherwise(F.size("_days"))) if clamp else t.where("_exit > 0")
+    held = t.select("*", F.explode(F.sequence(F.least(F.col("_entry") + 1, F.col("_exit")), F.col("_exit"))).alias("_day"))
+    held = held.select(*on, "code", F.element_at("_days", F.col("_day").cast("int")).alias("date"), (F.col("_day") > F.col("_entry")).alias("_active"), (F.col("_day") == F.col("_exit")).alias("_ends"))
     returns = daily_return(prices.select("code", "date", "close")).select("code", "date", "ret_d")
-    active = F.col("day") > F.col("_entry")
-    sums = held.join(returns, ["code", "date"], "left").groupBy(*on, "day").agg(
-        F.sum(F.when(active, F.coalesce("ret_d", F.lit(0.0)))).alias("pnl"), F.count_if(active).alias("n"), F.count_if(F.col("day") == F.col("_exit")).alias("exits")
-    )
-    path = days.select(*on, "day", "date").join(sums, [*on, "day"], "left")
+    sums = held.join(returns, ["code", "date"], "left").groupBy(*on, "date").agg(F.sum(F.when(F.col("_active"), F.coalesce("ret_d", F.lit(0.0)))).alias("pnl"), F.count_if("_active").alias("n"), F.count_if("_ends").alias("exits"))
+    path = calendar.select(*on, F.explode("_days").alias("date")).join(sums, [*on, "date"], "left")
     n = F.coalesce("n", F.lit(0).cast("long"))
     ret = F.when(n > 0, (F.col("pnl") - cost * F.col("exits")) / F.col("n")).otherwise(0.0)
     path = path.select(*on, "date", n.alias("n_active"), ret.alias("port_ret"))

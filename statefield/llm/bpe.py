@@ -72,7 +72,7 @@ class Vocabulary:
             self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
             self.one_way &= vocab[a + b] not in self.parts
             self.parts[vocab[a + b]] = rank, vocab[a], vocab[b]
-        self._suffixes()
+        self.ends: list[tuple[tuple[int, int], ...]] = []
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pairs: dict[int, bool] = {}  # at most 4 * CACHE of them
         self._alone: dict[int, bool] = {}
@@ -87,6 +87,11 @@ class Vocabulary:
             ids[i : i + 2] = [self.merges[ids[i], ids[i + 1]][1]]
         return ids
 
+    def prepare(self) -> None:
+        """Makes the automaton, once: what counts or packs ids from another encoder does without its memory."""
+        if not self.ends:
+            self._suffixes()
+
     def _suffixes(self) -> None:
         """Automaton over the tokens' prefixes: `step` leads from state and byte on, `ends` has the tokens that end in a state, longest first."""
         self.edges: dict[int, int] = {}
@@ -103,7 +108,7 @@ class Vocabulary:
                 state = self.edges[key]
             own[state] = i
         self.fail = [0] * len(own)
-        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        self.ends = [()] * len(own)
         for state in sorted(range(1, len(own)), key=depth.__getitem__):
             parent, byte = above[state] >> 8, above[state] & 255
             f = self.fail[parent]
@@ -164,6 +169,7 @@ class Trie:
     """Prefixes of the inserted words; nodes are numbered depth first, node 0 is the empty prefix."""
 
     def __init__(self, vocab: Vocabulary):
+        vocab.prepare()
         self.vocab = vocab
         self.last: list[int] = [-1]
         self.back: list[int] = [-1]

@@ -218,7 +218,7 @@ KEYS, ROWS, WIDE = 12, 2, 24
 #: Texts of fewer shingles are not told apart by fingerprints, which vary too much there.
 SHORT = 64
 #: Shingles of the texts that are compared at a time.
-SHINGLES = 1 << 20
+SHINGLES = 1 << 19
 _ORDERS = np.random.default_rng(42).integers(0, 2**63, (KEYS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

@@ -145,9 +145,21 @@ def _logs(languages: tuple[str, ...], told: Column, trust: float) -> Column:
     return F.array(*(F.when(~known, F.lit(0.0)).when(told == x, F.lit(math.log(trust))).otherwise(F.lit(other)) for x in languages))
 
 
+def _once(c: Column, f) -> Column:
+    """f(c), where c is worked out once however often f refers to it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def _softmax(scores: Column) -> Column:
-    e = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, v: s + v))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
+    shares = lambda s: _once(F.transform(s, lambda x: F.exp(x - F.array_max(s))), lambda e: F.transform(e, lambda x: x / total(e)))
+    return _once(scores, shares)
+
+
+def _smoothed(counts: Column, above: Column) -> Column:
+    """Shares of the counts with STRENGTH rows more that are spread as above."""
+    total = F.aggregate(counts, F.lit(STRENGTH), lambda s, v: s + v)
+    return F.zip_with(counts, above, lambda x, p: (x + STRENGTH * p) / total)
 
 
 def identify(rows: DataFrame, model: TextModel, key: str, text: str = "text", declared: str | None = None, address: str | None = None, markup: bool = False, least: float = LEAST) -> DataFrame:
@@ -178,13 +190,10 @@ def identify(rows: DataFrame, model: TextModel, key: str, text: str = "text", de
     share = F.when(F.col("letters") > 0, _softmax(F.col("own"))).otherwise(F.array(*[F.lit(0.0)] * n))
     seen = materialise(seen.withColumn("own", own).withColumn("share", share), "language-evidence")
     fused = seen.join(_level_sums(seen, n), ["suffix", "domain", "host"])
-    prior = [F.lit(1.0 / n)] * n
+    prior = F.array(*[F.lit(1.0 / n)] * n)
     for level in ("of_all", "of_suffix", "of_domain", "of_host"):
-        rest = [F.greatest(F.col(level)[i] - F.col("share")[i], F.lit(0.0)) for i in range(n)]
-        total = sum(rest[1:], rest[0]) + STRENGTH
-        fused = fused.withColumn("above", F.array(*((x + STRENGTH * p) / total for x, p in zip(rest, prior))))
-        prior = [F.col("above")[i] for i in range(n)]
-    fused = fused.withColumn("posterior", _softmax(F.zip_with("own", F.transform("above", lambda p: F.ln(p)), lambda a, b: a + b)))
+        prior = _smoothed(F.zip_with(level, "share", lambda a, b: F.greatest(a - b, F.lit(0.0))), prior)
+    fused = fused.withColumn("posterior", _softmax(F.zip_with("own", prior, lambda a, p: a + F.ln(p))))
     best = F.array_max("posterior")
     language = F.element_at(F.array(*(F.lit(x) for x in languages)), F.array_position("posterior", best).cast("int"))
     out = fused.select(F.col("key").alias(key), language.alias("language"), best.alias("confidence"), "letters")

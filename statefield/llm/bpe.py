@@ -64,21 +64,15 @@ class Vocabulary:
             self.bytes[i] = t.encode()
         self.known = np.zeros(self.size, bool)
         self.known[[*self.ids.values(), *self.special.values()]] = True
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}  # of a token: rank and halves of the merge that makes it
-        self.one_way = True  # whether each token is made by one merge only
-        for rank, m in enumerate(spec["model"]["merges"]):
-            a, b = m if isinstance(m, list) else m.split(" ")
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
-            self.one_way &= vocab[a + b] not in self.parts
-            self.parts[vocab[a + b]] = rank, vocab[a], vocab[b]
         self.ends: list[tuple[tuple[int, int], ...]] = []
+        self.path = path
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pairs: dict[int, bool] = {}  # at most 4 * CACHE of them
         self._alone: dict[int, bool] = {}
 
     def merged(self, word: bytes) -> list[int]:
         """The encoding by repeated merging of the lowest-ranked pair."""
+        self.prepare()
         ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
         while len(ids) > 1:
             rank, i = min(((self.merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges), default=(0, -1))
@@ -88,9 +82,21 @@ class Vocabulary:
         return ids
 
     def prepare(self) -> None:
-        """Makes the automaton, once: what counts or packs ids from another encoder does without its memory."""
-        if not self.ends:
-            self._suffixes()
+        """Reads the merges and makes the automaton, once: what takes ids from another encoder does without their memory."""
+        if self.ends:
+            return
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}  # of a token: rank and halves of the merge that makes it
+        self.one_way = True  # whether each token is made by one merge only
+        for rank, m in enumerate(model["merges"]):
+            a, b = m if isinstance(m, list) else m.split(" ")
+            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.one_way &= vocab[a + b] not in self.parts
+            self.parts[vocab[a + b]] = rank, vocab[a], vocab[b]
+        self._suffixes()
 
     def _suffixes(self) -> None:
         """Automaton over the tokens' prefixes: `step` leads from state and byte on, `ends` has the tokens that end in a state, longest first."""

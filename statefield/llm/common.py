@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +34,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables of this process that release() may drop.
-_temporary: list[DataFrame] = []
+#: Where the tables that a pipeline's stage makes for its own use are noted; None outside of one.
+_noted: ContextVar[list[DataFrame] | None] = ContextVar("noted tables", default=None)
+
+
+@contextlib.contextmanager
+def noting(tables: list[DataFrame]) -> Iterator[None]:
+    """Notes the temporary tables made in this context, and in no other, so that whoever runs it can drop them."""
+    token = _noted.set(tables)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+
+
+def is_noted() -> bool:
+    return _noted.get() is not None
+
+
+def note(df: DataFrame, path: str) -> DataFrame:
+    """df as a temporary table at path."""
+    df._statefield_path = path
+    if (tables := _noted.get()) is not None:
+        tables.append(df)
+    return df
 
 
 def materialise(df: DataFrame, name: str, temporary: bool = True) -> DataFrame:
@@ -40,16 +65,16 @@ def materialise(df: DataFrame, name: str, temporary: bool = True) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._statefield_path = path
     if temporary:
-        _temporary.append(out)
+        return note(out, path)
+    out._statefield_path = path
     return out
 
 
-def release() -> None:
-    """Drops the temporary tables made so far. Call it only when all that was made from them has been written."""
-    while _temporary:
-        drop_table(_temporary.pop())
+def drop_tables(tables: list[DataFrame]) -> None:
+    """Drops what was noted. Call it only when all that was made from them has been written."""
+    while tables:
+        drop_table(tables.pop())
 
 
 def drop_table(df: DataFrame) -> None:
@@ -77,6 +102,22 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column that tells each row from all others: its file, as 128 bits, and its row there.
+
+    The column is the same in every plan over these files. Rows that aren't read from files are written first.
+    """
+    path = F.col("_metadata.file_path")
+    place = F.struct(F.xxhash64(path).alias("f1"), F.xxhash64(F.lit(1), path).alias("f2"), F.col("_metadata.row_index").alias("row"))
+    if "_metadata" in docs.columns:  # it hides the files' own
+        hidden = fresh("metadata", docs)
+        return placed(docs.withColumnRenamed("_metadata", hidden), name).withColumnRenamed(hidden, "_metadata")
+    try:
+        return docs.select(*(docs[c] for c in docs.columns), place.alias(name))
+    except AnalysisException:
+        return materialise(docs, "placed").select("*", place.alias(name))
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most about `most` bytes of a text column, so that memory doesn't follow the texts' lengths."""
     for b in batches:

@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, known_size, materialise, new_path, text_or_empty
+from .common import SPACE, fresh, known_size, materialise, new_path, note, text_or_empty
 
 #: Rows of the list of hits up to which it is broadcast: some 30 MB.
 WIDE_ROWS = 250_000
@@ -102,6 +102,8 @@ def exact_dedup(docs: DataFrame, digest=sha256, batches: int = 2, store: str | N
     rows = located.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", digest(normalised("text")).alias("digest"), "locator", F.lit(run).alias("run"))
     rows.write.mode("append").parquet(path)
     every = spark.read.schema(rows.schema).parquet(path)
+    if store is None:
+        note(every, base)
     mine = every.where(F.col("run") == run)
     if mine.isEmpty():
         return mine.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))

@@ -15,11 +15,10 @@ empty lines always do). Empty tables give no rows. Columns of docs pass through
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, known_size, materialise, text_or_empty
+from .common import fresh, known_size, materialise, placed, text_or_empty
 
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,21 +41,6 @@ def _digest(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")]
 
 
-def _placed(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a column that tells each row from all others; rows that aren't read from files are written first."""
-    path = F.col("_metadata.file_path")
-    place = F.struct(F.xxhash64(path).alias("f1"), F.xxhash64(F.lit(1), path).alias("f2"), F.col("_metadata.row_index").alias("row"))
-    if "_metadata" not in docs.columns:
-        try:
-            return docs.select(*(docs[c] for c in docs.columns), place.alias(name))
-        except AnalysisException:
-            pass
-    if "_metadata" in docs.columns:  # else its name hides that of the written table
-        hidden = fresh("metadata", docs)
-        return _placed(docs.withColumnRenamed("_metadata", hidden), name).withColumnRenamed(hidden, "_metadata")
-    return materialise(docs, "line-texts").select("*", place.alias(name))
-
-
 def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1, h2, n_docs of each line key that is in at least min_docs documents."""
     keys = docs.select(F.explode(F.array_distinct(F.transform(lines_of("text"), line_key))).alias("key"))
@@ -76,7 +60,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     Where docs has columns of these names the new ones are called _n_lines and _dropped.
     """
     place, n_name, gone = fresh("place", docs), fresh("n_lines", docs), fresh("dropped", docs)
-    rows = _placed(docs, place)
+    rows = placed(docs, place)
     common = materialise(common_lines(rows, min_docs, min_chars).select("h1", "h2"), "common-lines")
     lines = rows.select(F.col(place).alias("at"), F.posexplode(lines_of("text")).alias("pos", "line"))
     lines = lines.select("at", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= max(1, min_chars))

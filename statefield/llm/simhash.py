@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, groups, known_size, materialise, small_batches
+from .common import fresh, groups, known_size, materialise, placed, small_batches
 from .components import connected_components
 
 TILE = 1024
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, "text"):
             fps = np.fromiter((fingerprint(shingle_hashes(t.as_py(), words)) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -158,7 +158,7 @@ def tile_pairs(blocks: DataFrame, key: list[str], node: str, span: Column, weigh
     cols, weight = blocks.columns, F.lit(weight) if isinstance(weight, int) else weight
     large = blocks.groupBy(*key).agg(F.sum(weight).alias("w"), F.min(node).alias("lead")).where(F.col("w") > most).select(*key, "lead")
     large = materialise(large, "large-blocks")
-    whole = lambda df: df.select(*cols, F.lit(-1).alias("ta"), F.lit(-1).alias("tb"))
+    whole = lambda df: df.select(*cols, F.lit(-1).cast("long").alias("ta"), F.lit(-1).cast("long").alias("tb"))
     if large.isEmpty():
         return whole(blocks), None
     rows = blocks.join(large, key).withColumn("span", span.cast("int"))
@@ -170,7 +170,7 @@ def tile_pairs(blocks: DataFrame, key: list[str], node: str, span: Column, weigh
     rows = materialise(rows, "large-rows")
     counts = rows.groupBy(*key, "span", "done").agg(F.ceil(F.sum(weight) / most).cast("int").alias("salts"))
     tiles = counts.select(*key, "span", "done", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    number = lambda salt: (2 * F.col("span") + F.col("done")) * SALTS + salt
+    number = lambda salt: (2 * F.col("span") + F.col("done")).cast("long") * SALTS + salt
     tiles = materialise(tiles.select(*key, "span", "done", number(F.col("salt")).alias("t")), "tiles")
     other = tiles.select(*key, F.col("span").alias("span2"), F.col("done").alias("done2"), F.col("t").alias("t2"))
     fits = (F.col("t") <= F.col("t2")) & (F.col("span2") - F.col("span") <= 1) & (F.col("done") + F.col("done2") < 2)
@@ -217,6 +217,8 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 2, tile: int
 KEYS, ROWS, WIDE = 12, 2, 24
 #: Texts of fewer shingles are not told apart by fingerprints, which vary too much there.
 SHORT = 64
+#: Rows of a list of places up to which it is broadcast: some 30 MB.
+PLACES = 400_000
 #: Shingles of the texts that are compared at a time.
 SHINGLES = 1 << 19
 _ORDERS = np.random.default_rng(42).integers(0, 2**63, (KEYS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -240,29 +242,35 @@ def _keys(h: np.ndarray) -> np.ndarray:
     return key
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE, tile: int = TILE, shingles: int = SHINGLES) -> DataFrame:
-    """doc_id, component_id of every document that has a near duplicate: Jaccard similarity of shingle sets of at least `similarity`.
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE, tile: int = TILE, shingles: int = SHINGLES, place: str | None = None) -> DataFrame:
+    """doc_id, component_id, place, stays of every row that has a near duplicate: Jaccard similarity of shingle sets of at least `similarity`.
 
     Fingerprints within a wide radius don't agree on any band, so blocks are made by shingles instead: a document's first
     shingles in ROWS orders are a key, of which it has KEYS. Documents of similarity s share none of them with probability
     (1 - s ** ROWS) ** KEYS, 5 in a million at 0.8. Blocks are compared tile by tile as in fingerprint_links, but for texts
     under SHORT shingles; candidates are then verified by exact similarity, component by component, `shingles` at a time.
-    Rows without doc_id or words take no part, rows of one doc_id count as one document.
+    Rows are told apart by their place, whatever doc_ids they share: component_id is the smallest doc_id of the component, and
+    the first row with it is the one that stays. place: a column of docs that placed() made, if it has one. Rows without doc_id or words take no part.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", 1 << 20):
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for i, t in enumerate(b.column(2)):
                 if len(h := np.unique(shingle_hashes(t.as_py(), words))):
-                    rows.append((d, fingerprint(h), len(h), _keys(h)))
-            ids, fps, n, keys = zip(*rows) if rows else ((), (), (), (np.empty(0, np.uint64),))
+                    rows.append((i, fingerprint(h), len(h), _keys(h)))
+            at, fps, n, keys = zip(*rows) if rows else ((), (), (), (np.empty(0, np.uint64),))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys).view(np.int64)), KEYS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], ["doc_id", "fp", "n", "keys"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null and text is not null")
-    signed = materialise(texts.mapInArrow(sign, "doc_id long, fp long, n int, keys array<long>"), "signatures")
-    each = lambda df, fp, first: df.select("doc_id", fp.alias("fp"), F.bit_count(fp).alias("pop"), "n", F.posexplode("keys").alias("band", "value")).withColumn("band", F.col("band") + first)
+            own = b.select([0, 1]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], ["place", "doc_id", "fp", "n", "keys"])
+
+    at_place = "place struct<f1: long, f2: long, row: long>"
+    texts = placed(docs.select("doc_id", "text"), "place") if place is None else docs.withColumnRenamed(place, "place")
+    texts = texts.select("place", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null and text is not null")
+    # numbers stand for rows from here on; they hold once they are written
+    signed = texts.mapInArrow(sign, f"{at_place}, doc_id long, fp long, n int, keys array<long>").withColumn("node", F.monotonically_increasing_id())
+    signed = materialise(signed, "signatures")
+    each = lambda df, fp, first: df.select("node", fp.alias("fp"), F.bit_count(fp).alias("pop"), "n", F.posexplode("keys").alias("band", "value")).withColumn("band", F.col("band") + first)
     short = each(signed.where(F.col("n") * similarity < SHORT), F.lit(0).cast("long"), KEYS)
     blocks = short.unionByName(each(signed.where(F.col("n") >= SHORT), F.col("fp"), 0))
     like = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n)
@@ -273,18 +281,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
         return linked(g.column("fp").to_numpy().view(np.uint64), radius, lambda i, j: np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
 
     key = ["band", "value"]
-    loose = connected_components(_compared(tile_pairs(blocks, key, "doc_id", F.floor(F.col("pop") / (radius + 1)), most=tile, near=near), key, "doc_id", close))
-    loose = materialise(loose.select(F.col("node").alias("_id"), "root"), "candidates")
+    loose = connected_components(_compared(tile_pairs(blocks, key, "node", F.floor(F.col("pop") / (radius + 1)), most=tile, near=near), key, "node", close))
+    loose = signed.select("node", "place").join(loose, "node").select("node", "root", F.col("place").alias("_place"))
+    loose = materialise(loose, "candidates")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", 1 << 20):
             sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
             n = np.array([len(h) for h in sets], np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), lists], ["doc_id", "root", "n", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), lists], ["node", "root", "n", "hashes"])
 
-    few = texts.join(known_size(loose), F.col("doc_id") == F.col("_id")).select("doc_id", "root", "text")
-    sets = materialise(few.mapInArrow(hashed, "doc_id long, root long, n int, hashes array<long>"), "shingle-sets")
+    few = texts.join(known_size(loose, PLACES), F.col("place") == F.col("_place")).select("node", "root", "text")
+    sets = materialise(few.mapInArrow(hashed, "node long, root long, n int, hashes array<long>"), "shingle-sets")
     both = F.size(F.array_intersect("hashes", "_lead.hashes"))
     same = both >= similarity * (F.col("n") + F.col("_lead.n") - both) - 1e-9
 
@@ -294,8 +303,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
 
     # sets of similar sizes are in the same or in neighbouring spans
     span = F.floor(F.ln("n") / math.log(1.01 / similarity))
-    edges = _compared(tile_pairs(sets, ["root"], "doc_id", span, F.col("n"), shingles, same), ["root"], "doc_id", similar)
-    return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    edges = _compared(tile_pairs(sets, ["root"], "node", span, F.col("n"), shingles, same), ["root"], "node", similar)
+    members = connected_components(edges).join(signed.select("node", "doc_id", "place"), "node")
+    members = materialise(members, "near-members")
+    first = members.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    return members.join(first, "root").select("doc_id", F.col("first.doc_id").alias("component_id"), "place", (F.col("node") == F.col("first.node")).alias("stays"))
 
 
 def similar_links(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +349,12 @@ def similar_links(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> tup
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without the documents whose component has one with a smaller doc_id. Columns pass through whatever their names."""
-    gone = near_duplicates(docs.select("doc_id", "text"), words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias(fresh("gone", docs)))
+    """docs without the rows that have a near duplicate with a smaller doc_id, or an earlier one with the same, in their component.
+
+    Columns pass through whatever their names.
+    """
+    own, gone_place = fresh("place", docs), fresh("gone", docs)
+    rows = placed(docs, own)
+    gone = near_duplicates(rows.select("doc_id", "text", own), words, similarity, place=own).where("not stays").select(F.col("place").alias(gone_place))
     gone = materialise(gone, "near-gone")
-    return docs.join(known_size(gone), docs["doc_id"].cast("long") == gone[gone.columns[0]], "left_anti")
+    return rows.join(known_size(gone, PLACES), rows[own] == gone[gone_place], "left_anti").drop(own)

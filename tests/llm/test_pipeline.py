@@ -88,3 +88,21 @@ def test_stages_take_empty_tables_and_clashing_names(spark):
             out = stage(spark, df, "")
             assert out.columns == docs.columns and out.count() <= df.count()
         assert corpus_pipeline.STAGES[-1][1](spark, df, "").count() == df.count()
+
+
+def test_the_pipeline_leaves_other_queries_tables(spark, tmp_path):
+    """Results made before a run can be read after it; the run leaves no tables but its own result."""
+    import os
+
+    from statefield.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    names = ("op1_language_id", "op4_simhash", "op8_substring_dedup", "op10_exact_dedup", "op11_line_dedup", "op12_divergence_audit", "op13_spelling_variants")
+    before = {n: queries.queries()[n](spark, sf) for n in names}
+    shared = spark.conf.get("spark.checkpoint.dir")
+    there = set(os.listdir(shared))
+    small = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    small.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() and all(df.count() for df in before.values())
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - there] == ["packing"]

@@ -1,6 +1,7 @@
 """Text operators on Spark: results against brute force, and nulls, empty tables, ties, repeated rows, clashing names."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -433,3 +434,30 @@ def test_groups_span_batches(spark):
     df = spark.createDataFrame([(i // 7, i) for i in range(50)], "k int, v long").coalesce(1)
     got = df.mapInArrow(lambda b: (g.combine_chunks().to_batches()[0].slice(0, 1) for x in [[y for z in b for y in (z.slice(0, 3), z.slice(3))]] for g in common.groups(x, ["k"])), "k int, v long")
     assert [(r.k, r.v) for r in got.collect()] == [(k, 7 * k) for k in range(8)]
+
+
+def test_near_copies_of_long_texts(spark):
+    """Components of many shingles, whose spans are large numbers."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
+    rows = []
+    for i in range(130):
+        w = list(base)
+        for _ in range(20):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows.append((500, " ".join(f"y{i}" for i in range(6000))))
+    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(r.doc_id for r in left.collect()) == [0, 500]
+
+
+def test_near_duplicates_are_rows_not_doc_ids(spark):
+    rng = random.Random(9)
+    a, c, d = ([f"{x}{rng.randrange(10**6)}" for _ in range(200)] for x in "acd")
+    near = lambda w: " ".join([*w[:90], "other", *w[91:]])
+    rows = [(1, " ".join(a), "r1"), (2, near(a), "r2"), (2, " ".join(c), "r3"), (3, near(c), "r4"), (4, " ".join(d), "r5"), (4, near(d), "r6"), (None, " ".join(a), "r7"), (5, None, "r8")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place string")
+    left = [r.place for r in simhash.drop_near_duplicates(docs).collect()]
+    assert len(left) == len(set(left)) == 5 and {"r1", "r3", "r7", "r8"} < set(left) and len({"r5", "r6"} & set(left)) == 1
+    found = simhash.near_duplicates(docs.drop("place")).collect()
+    assert sorted((r.doc_id, r.component_id, r.stays) for r in found if r.doc_id != 4) == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statefield.llm import exact_dedup, language_id, packing, simhash, substring_dedup
-from statefield.llm.common import fresh, materialise, release
+from statefield.llm.common import drop_table, drop_tables, fresh, is_noted, materialise, noting
 from statefield.llm.queries import BYTE_BPE
 from statefield.llm.shipping import ship
 
@@ -40,7 +40,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest doc_id: shingles of five words, similarity of 0.8 or more.
 
-    Rows without doc_id, text or words stay; rows of one doc_id count as one document. Empty tables give empty ones.
+    Every row is a document of its own, whatever rows share its doc_id; of those with the smallest one stays. Rows without doc_id,
+    text or words stay. Empty tables give empty ones.
     """
     ship(spark)
     return simhash.drop_near_duplicates(docs)
@@ -63,13 +64,26 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, BYTE_BPE)
 
 
-def _after_release(stage):
-    """A stage that first drops the tables of the stage before, whose rows have been written by then."""
+#: Tables of the stage called last, where stages are called one by one.
+_last: list[DataFrame] = []
+
+
+def _noted(stage, first: bool):
+    """A stage whose own tables are noted, by run() or else here: the next stage then drops them, and no one else's.
+
+    Called one by one, stages belong to one run at a time, and each result has to be written before the next stage is called.
+    """
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release()
-        return stage(spark, docs, sf_dir)
+        global _last
+        if is_noted():
+            return stage(spark, docs, sf_dir)
+        if not first:
+            drop_tables(_last)
+        _last = []
+        with noting(_last):
+            return stage(spark, docs, sf_dir)
 
     return run_stage
 
@@ -81,15 +95,23 @@ STAGES = [
     ("substring_dedup", drop_repeated_passages),
     ("packing", pack_sequences),
 ]
-STAGES = [(name, _after_release(stage)) for name, stage in STAGES]
+STAGES = [(name, _noted(stage, i == 0)) for i, (name, stage) in enumerate(STAGES)]
 
 #: SQL can't express the trained language model, the fingerprints or the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written and read again as the next one's documents."""
+    """All stages in order, each written and read again as the next one's documents.
+
+    Once a stage is written, its own tables and the documents it had go; tables of other queries stay.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name, temporary=False)
+        own: list[DataFrame] = []
+        with noting(own):
+            kept = materialise(stage(spark, docs, sf_dir), name, temporary=False)
+        drop_tables(own)
+        drop_table(docs)
+        docs = kept
     return docs

@@ -566,8 +566,12 @@ register("d16_gmm")(lambda s, d: surfaces.gmm_regimes(state_rows(s, d).select("c
 
 
 def queries() -> dict[str, Query]:
+    from . import incremental  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import incremental  # noqa: F401
+
     return dict(ORACLES)

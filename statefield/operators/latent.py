@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,9 +181,13 @@ def fit_centres(rows: DataFrame, cols: list[str], k: int, restarts: int, seed: i
 
 def kmeans(df: DataFrame, cols: list[str], k: int = DEFAULT.latent, restarts: int = 20, seed: int = 42, iterations: int = 300, tol: float = 1e-4) -> DataFrame:
     """C_t of each valid row, -1 for others; the restart with the lowest cost wins (M1). Clusters are numbered by their centres."""
-    centres = fit_centres(df.where("valid"), cols, k, restarts, seed, iterations, tol)
+    return assigned(df, cols, fit_centres(df.where("valid"), cols, k, restarts, seed, iterations, tol))
+
+
+def assigned(df: DataFrame, cols: list[str], centres: np.ndarray) -> DataFrame:
+    """C_t, the number of the nearest centre, the first of equally near ones; -1 for rows that aren't valid."""
     gap = lambda c: reduce(lambda a, b: a + b, ((F.col(x) - float(v)) * (F.col(x) - float(v)) for x, v in zip(cols, c)))
-    near = F.array_position(F.array(*(gap(c) for c in centres)), F.least(*(gap(c) for c in centres)) if k > 1 else gap(centres[0])) - 1
+    near = F.array_position(F.array(*(gap(c) for c in centres)), F.least(*(gap(c) for c in centres)) if len(centres) > 1 else gap(centres[0])) - 1
     return df.withColumn("C_t", F.when(F.col("valid"), near).otherwise(-1).cast("int"))
 
 
@@ -285,17 +288,6 @@ def fit_hmm(seqs: DataFrame, k: int = DEFAULT.latent, m: int = DEFAULT.latent, i
     return model
 
 
-def decode_states(seqs: DataFrame, model: CategoricalHMM) -> DataFrame:
-    """code, date, Z_t by Viterbi, sequence by sequence (M3)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        return pd.DataFrame({"code": pdf["code"], "date": pdf["date"], "Z_t": model.viterbi(pdf["C_t"].to_numpy(int))})
-
-    code = dict(seqs.dtypes)["code"]
-    return seqs.select("seq_id", "code", "date", "C_t").groupBy("seq_id").applyInPandas(run, f"code {code}, date date, Z_t int")
-
-
 def verify(df: DataFrame) -> bool:
     """Z_t is -1 exactly where R_t is null (V3)."""
     return df.agg(F.count_if((F.col("Z_t") == -1) != F.col("R_t").isNull()).alias("n")).first()["n"] == 0

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import CLASS_STATES, CLASSES
 from ..config import TABLES as P
-from ..operators import features, latent, live, macro, states, strategy, surfaces
+from ..operators import chains, features, latent, live, macro, states, strategy, surfaces
 from ..sources import sinks, tables
 from .oracles import query, r
 
@@ -519,7 +519,7 @@ def regimes(spark: SparkSession, sf: str) -> DataFrame:
     """code, date, p, state_id, C_t, Z_t, R_t of all rows: HMM, Viterbi, labels."""
     rows = clustered(spark, sf)
     seqs = latent.sequences(rows).select("seq_id", "code", "date", "C_t")
-    found = latent.decode_states(seqs, latent.fit_hmm(seqs, P.latent, P.latent))
+    found = chains.decode(seqs, latent.fit_hmm(seqs, P.latent, P.latent))
     rows = rows.select("code", "date", "p", "state_id", "C_t").join(found, ["code", "date"], "left").withColumn("Z_t", F.coalesce("Z_t", F.lit(-1)))
     return latent.apply_labels(rows, latent.label_scores(rows))
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TABLES as P
+from ..operators import chains, latent, split
+from ..operators.features import Z, state_vector, valid_mask
 from ..operators.live import LIVE
 from ..sources import sinks
 from ..streaming import live as streamed
-from .catalog import panel, register
+from .catalog import panel, register, rs, shared, state_rows
+from .oracles import CTES, cte, r
 
 # The daily path as a stream
 
@@ -41,3 +47,105 @@ def streamed_states(s: SparkSession, d: str) -> DataFrame:
 
 
 register("w7_streamed_states", "lives", "SELECT code, date, z_r_bin, z_sigma_bin, z_v_bin, z_l_bin, z_p_bin, state_id FROM lives")(streamed_states)
+
+# Hidden chains by blocks, under fixed parameters: three states, four categories; blocks of 64 rows, so that most codes have several
+
+START, TRANS = [0.5, 0.25, 0.25], [[0.75, 0.125, 0.125], [0.25, 0.5, 0.25], [0.125, 0.25, 0.625]]
+EMIT = [[0.5, 0.25, 0.125, 0.125], [0.125, 0.5, 0.25, 0.125], [0.125, 0.125, 0.25, 0.5]]
+#: Logarithms to multiples of 2^-10, so that sums of them and ties are exact in whatever order.
+LOGS = [np.round(np.log(np.array(x)) * 1024) / 1024 for x in (START, TRANS, EMIT)]
+MODEL = latent.CategoricalHMM(*(np.array(x) for x in (START, TRANS, EMIT)))
+K3 = range(3)
+
+
+@shared
+def chain_blocks(s: SparkSession, d: str) -> DataFrame:
+    rows = state_rows(s, d).select(F.col("code").cast("string").alias("seq_id"), "date", (F.col("state_id") % 4).alias("C_t"))
+    return chains.blocks_of(rows, 64)
+
+
+def _emitted(i: int, values=EMIT) -> str:
+    return f"CAST([{', '.join(map(str, map(float, values[i])))}][c + 1] AS DOUBLE)"
+
+
+def _scaled(xs: list[str], source: str, names: str, more: str = "code, k") -> str:
+    cells = ", ".join(f"{x} AS x{i}" for i, x in enumerate(xs))
+    return f"SELECT {more}, {', '.join(f'x{i} / s AS {names}{i}' for i in K3)}, s FROM (SELECT *, x0 + x1 + x2 AS s FROM (SELECT {more}, {cells} FROM {source}))"
+
+
+def chain_ctes() -> None:
+    cte("ob", "states", "SELECT code, date, state_id % 4 AS c, row_number() OVER (PARTITION BY code ORDER BY date) AS k, count(*) OVER (PARTITION BY code) AS n FROM states")
+    first = _scaled([f"{START[i]} * {_emitted(i)}" for i in K3], "ob WHERE k = 1", "a")
+    ahead = [f"({' + '.join(f'a{i} * {TRANS[i][j]}' for i in K3)}) * {_emitted(j)}" for j in K3]
+    then = _scaled(ahead, "(SELECT o.code, o.k, o.c, a0, a1, a2 FROM fw JOIN ob o ON o.code = fw.code AND o.k = fw.k + 1)", "a")
+    cte("fw", "ob", f"{first} UNION ALL {then}")
+    back = [" + ".join(f"{TRANS[i][j]} * {_emitted(j)} * b{j}" for j in K3) for i in K3]
+    before = _scaled(back, "(SELECT bw.code, bw.k - 1 AS k, o.c, b0, b1, b2 FROM bw JOIN ob o ON o.code = bw.code AND o.k = bw.k WHERE bw.k > 1)", "b")
+    cte("bw", "ob", f"SELECT code, k, {', '.join(f'CAST(1 AS DOUBLE) / 3 AS b{i}' for i in K3)}, CAST(1 AS DOUBLE) AS s FROM ob WHERE k = n UNION ALL {before}")
+    cte("gam", "fw bw", f"SELECT code, k, c, {', '.join(f'a{i} * b{i} / (a0 * b0 + a1 * b1 + a2 * b2) AS g{i}' for i in K3)} FROM fw JOIN bw USING (code, k) JOIN ob USING (code, k)")
+    moved = {(i, j): f"a{i} * {TRANS[i][j]} * {_emitted(j)} * b{j}" for i in K3 for j in K3}
+    cells = ", ".join(f"{x} AS m{i}{j}" for (i, j), x in moved.items())
+    total = " + ".join(f"m{i}{j}" for i, j in moved)
+    cte("mov", "fw bw", f"SELECT *, {total} AS s FROM (SELECT {cells} FROM fw JOIN bw ON bw.code = fw.code AND bw.k = fw.k + 1 JOIN ob ON ob.code = bw.code AND ob.k = bw.k)")
+    start, trans, emit = LOGS
+    score = lambda i: f"{float(start[i])} + {_emitted(i, emit)}"
+    best = lambda j: f"greatest({', '.join(f'v{i} + {float(trans[i][j])}' for i in K3)})"
+    came = lambda j: f"CASE WHEN v0 + {float(trans[0][j])} = {best(j)} THEN 0 WHEN v1 + {float(trans[1][j])} = {best(j)} THEN 1 ELSE 2 END"
+    step = ", ".join(f"{best(j)} + {_emitted(j, emit)} AS v{j}, {came(j)} AS f{j}" for j in K3)
+    cte("vit", "ob", f"SELECT code, k, {', '.join(f'{score(i)} AS v{i}, {i} AS f{i}' for i in K3)} FROM ob WHERE k = 1 UNION ALL SELECT o.code, o.k, {step} FROM vit JOIN ob o ON o.code = vit.code AND o.k = vit.k + 1")
+    cte("way", "vit", "SELECT code, k, CASE WHEN v0 = greatest(v0, v1, v2) THEN 0 WHEN v1 = greatest(v0, v1, v2) THEN 1 ELSE 2 END AS z FROM vit JOIN ob USING (code, k) WHERE k = n UNION ALL SELECT way.code, way.k - 1, [f0, f1, f2][way.z + 1] FROM way JOIN vit ON vit.code = way.code AND vit.k = way.k WHERE way.k > 1")
+
+
+chain_ctes()
+register("m2_log_likelihoods", "fw", f"SELECT CAST(code AS VARCHAR) AS seq_id, count(*) AS n, {r('sum(ln(s))', 'log_likelihood')} FROM fw GROUP BY 1")(lambda s, d: chains.log_likelihoods(chain_blocks(s, d), MODEL))
+_parts = " UNION ALL ".join(
+    [f"SELECT 'start' AS part, 0 AS i, {i} AS j, sum(g{i}) AS x FROM gam WHERE k = 1" for i in K3]
+    + [f"SELECT 'trans' AS part, {i} AS i, {j} AS j, sum(m{i}{j} / s) AS x FROM mov" for i in K3 for j in K3]
+    + [f"SELECT 'emit' AS part, {i} AS i, CAST(c AS INT) AS j, sum(g{i}) AS x FROM gam GROUP BY c" for i in K3]
+)
+register("m2_em_step", "gam mov", f"SELECT part, i, j, {r('x / sum(x) OVER (PARTITION BY part, i)', 'p')} FROM ({_parts})")(lambda s, d: chains.next_parameters(chain_blocks(s, d), MODEL))
+register("m3_viterbi_paths", "way", "SELECT CAST(code AS VARCHAR) AS seq_id, date, CAST(z AS INT) AS z FROM way JOIN ob USING (code, k)")(lambda s, d: chains.best_paths(chain_blocks(s, d), *LOGS).withColumnRenamed("Z_t", "z"))
+
+# One step of the clusters' iteration from fixed centres
+
+CENTRES = [[((3 * i + j * (i + 1)) % 8 - 3.5) / 4 for j in range(4)] for i in range(8)]
+_gaps = [" + ".join(f"power(z_{f} - {c}, 2)" for f, c in zip(Z, centre)) for centre in CENTRES]
+_near = " ".join(f"WHEN d{i} = least({', '.join(f'd{j}' for j in range(8))}) THEN {i}" for i in range(8))
+register("m1_lloyd_step", "zs", f"SELECT CAST(c AS INT) AS C_t, count(*) AS n, {', '.join(r(f'avg(z_{f})', f'z_{f}') for f in Z)} FROM (SELECT *, CASE {_near} END AS c FROM (SELECT *, {', '.join(f'{g} AS d{i}' for i, g in enumerate(_gaps))} FROM zs WHERE {' AND '.join(f'z_{f} IS NOT NULL' for f in Z)})) GROUP BY 1")(
+    lambda s, d: latent.assigned(valid_z(s, d), [f"z_{f}" for f in Z], np.array(CENTRES)).where("valid").groupBy("C_t").agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"z_{f}").alias(f"z_{f}") for f in Z))
+)
+
+
+def valid_z(s: SparkSession, d: str) -> DataFrame:
+    return valid_mask(state_vector(panel(s, d), P), [f"z_{f}" for f in Z])
+
+
+# One code with all rows, its windows in blocks
+
+#: Longer than the windows reach back, and short enough for many blocks.
+BLOCK = 1000
+
+
+def one_code(s: SparkSession, d: str) -> DataFrame:
+    """The panel as one code's history, in order of day and code; date is a number."""
+    day = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long")
+    return panel(s, d).select(F.lit(1).alias("code"), (day * 10_000_000 + F.col("code")).alias("date"), "close", "volume", "trade_value")
+
+
+def one_code_ctes() -> None:
+    """The expressions of the feature chain once more, over the panel as one code."""
+    chain = ("panel", "raw0", "raw1", "feats", "zs", "bins", "states")
+    cte("one_panel", "panel", "SELECT 1 AS code, CAST(date - DATE '1970-01-01' AS BIGINT) * 10000000 + code AS date, close, volume, trade_value FROM panel")
+    for n in chain[1:]:
+        sql = re.sub(rf"\bFROM ({'|'.join(chain)})\b", r"FROM one_\1", CTES[n][1])
+        cte(f"one_{n}", " ".join(f"one_{x}" for x in CTES[n][0]), sql)
+
+
+one_code_ctes()
+register("w4_split_states", "one_bins", f"SELECT date, {rs('r sigma l flow z_r z_sigma z_v z_flow')}, bin_r, bin_sigma, bin_v, bin_flow, CAST(bin_r + 6 * bin_sigma + 36 * bin_v + 216 * bin_flow AS BIGINT) AS state_id FROM one_bins".replace(" date,", " date AS at,", 1))(
+    lambda s, d: split.state_vector(one_code(s, d), P, BLOCK).select(F.col("date").alias("at"), "r", "sigma", "l", "flow", *(f"z_{f}" for f in Z), *(f"bin_{f}" for f in Z), "state_id")
+)
+_ok = " AND ".join(f"z_{f} IS NOT NULL" for f in Z)
+register("w16_split_sequences", "one_zs", f"SELECT date AS at, '1|' || gap AS seq_id FROM (SELECT date, ok, count(CASE WHEN NOT ok THEN 1 END) OVER (ORDER BY date) AS gap FROM (SELECT date, coalesce(z_v > -0.5, false) AND {_ok} AS ok FROM one_zs)) WHERE ok")(
+    lambda s, d: split.sequences(sinks.written(split.z_scores(one_code(s, d), P, BLOCK), "split-z").withColumn("valid", F.coalesce(F.col("z_v") > -0.5, F.lit(False)) & F.expr(_ok.lower()))).select(F.col("date").alias("at"), "seq_id")
+)

@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_by_year(df: DataFrame, path: str, columns: list[str] | None = None, dry: bool = False) -> DataFrame:
     """Writes rows under year=YYYY folders (K1); dry: everything but the write."""
     out = df.select(*(columns or df.columns)).withColumn("year", F.year("date"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from statefield.config import Params
 from statefield.functions.columns import causal_moments, equal_frequency_bin
-from statefield.operators import features, latent, live, macro, states, strategy, surfaces
+from statefield.operators import chains, features, latent, live, macro, states, strategy, surfaces
 from statefield.sources import sinks, tables
 
 D0 = dt.date(2020, 1, 1)
@@ -149,7 +149,7 @@ def test_hmm_recovers_a_sticky_chain(spark):
     seqs = spark.createDataFrame(rows, "seq_id string, code long, date date, C_t int").cache()
     model = latent.fit_hmm(seqs, 2, 2, iterations=15, rows=400)
     assert np.allclose(model.trans.sum(1), 1) and np.allclose(model.emit.sum(1), 1) and np.diag(model.trans).min() > 0.8
-    got = latent.decode_states(seqs, model)
+    got = chains.decode(seqs, model)
     assert got.count() == len(rows) and {r.Z_t for r in got.select("Z_t").distinct().collect()} <= {0, 1}
 
 

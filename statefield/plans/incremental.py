@@ -142,10 +142,10 @@ def one_code_ctes() -> None:
 
 
 one_code_ctes()
-register("w4_split_states", "one_bins", f"SELECT date, {rs('r sigma l flow z_r z_sigma z_v z_flow')}, bin_r, bin_sigma, bin_v, bin_flow, CAST(bin_r + 6 * bin_sigma + 36 * bin_v + 216 * bin_flow AS BIGINT) AS state_id FROM one_bins".replace(" date,", " date AS at,", 1))(
-    lambda s, d: split.state_vector(one_code(s, d), P, BLOCK).select(F.col("date").alias("at"), "r", "sigma", "l", "flow", *(f"z_{f}" for f in Z), *(f"bin_{f}" for f in Z), "state_id")
+register("w4_split_states", "one_bins", f"SELECT place, {rs('r sigma l flow z_r z_sigma z_v z_flow')}, bin_r, bin_sigma, bin_v, bin_flow, CAST(bin_r + 6 * bin_sigma + 36 * bin_v + 216 * bin_flow AS BIGINT) AS state_id FROM (SELECT *, date AS place FROM one_bins)")(
+    lambda s, d: split.state_vector(one_code(s, d), P, BLOCK).select(F.col("date").alias("place"), "r", "sigma", "l", "flow", *(f"z_{f}" for f in Z), *(f"bin_{f}" for f in Z), "state_id")
 )
 _ok = " AND ".join(f"z_{f} IS NOT NULL" for f in Z)
-register("w16_split_sequences", "one_zs", f"SELECT date AS at, '1|' || gap AS seq_id FROM (SELECT date, ok, count(CASE WHEN NOT ok THEN 1 END) OVER (ORDER BY date) AS gap FROM (SELECT date, coalesce(z_v > -0.5, false) AND {_ok} AS ok FROM one_zs)) WHERE ok")(
-    lambda s, d: split.sequences(sinks.written(split.z_scores(one_code(s, d), P, BLOCK), "split-z").withColumn("valid", F.coalesce(F.col("z_v") > -0.5, F.lit(False)) & F.expr(_ok.lower()))).select(F.col("date").alias("at"), "seq_id")
+register("w16_split_sequences", "one_zs", f"SELECT place, '1|' || gap AS seq_id FROM (SELECT date AS place, ok, count(CASE WHEN NOT ok THEN 1 END) OVER (ORDER BY date) AS gap FROM (SELECT date, coalesce(z_v > -0.5, false) AND {_ok} AS ok FROM one_zs)) WHERE ok")(
+    lambda s, d: split.sequences(sinks.written(split.z_scores(one_code(s, d), P, BLOCK), "split-z").withColumn("valid", F.coalesce(F.col("z_v") > -0.5, F.lit(False)) & F.expr(_ok.lower()))).select(F.col("date").alias("place"), "seq_id")
 )

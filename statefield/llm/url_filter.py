@@ -4,8 +4,12 @@ Every host's paths form a tree of segments. Segments that are numbers, digests o
 below a node with many children, those that each hold little become wildcards too, unless the labelled purity of a child,
 or of a path below it, differs from that of its siblings. Templates whose labelled purity doesn't differ from that of
 their siblings are merged into one branch, and so are, level by level up to the host, the merged branches. The bad share of a branch is smoothed by that of
-the host, and that by the overall share; branches above the threshold are rejected. All stages are grouped aggregations of
-counts, so a host with a third of all rows is pre-aggregated before any shuffle.
+the host, and that by the overall share; branches above the threshold are rejected.
+
+Rows are counted by path first, so a host with a third of all rows is pre-aggregated before any shuffle. The tree of a host whose
+paths have at most SMALL segments in all is built and merged in one task (url_tree.py), in time that grows with its nodes, also
+where paths are hundreds of segments deep. Larger hosts go level by level, as grouped aggregations that touch only the rows that
+reach the level. Both give the same templates and branches.
 
 Defined results: a null url or one without :// has empty host and path, matches no rule and is judged as its template;
 labels are counted once per row and rows without label count for the tree's form only; repeated rows are judged alike.
@@ -20,7 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .url_tree import grown_tree
 
+#: Segments of a host's paths up to which its tree is built in one task, some 150 MB.
+SMALL = 400_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -90,13 +97,18 @@ def _sums() -> list[Column]:
     return [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
 
 
-def templates(urls: DataFrame, most_children: int = 32, heavy: float = 0.05, z: float = 2.0) -> DataFrame:
-    """Generalised paths: host, segs (typed segments), t (those of the template), n, labelled, bad. urls: host, path, bad (null: no label)."""
+def counted(urls: DataFrame) -> DataFrame:
+    """host, segs (typed segments), n, labelled, bad of each path. urls: host, path, bad (null: no label)."""
     rows = urls.select("host", "bad", _segments(F.col("path")).alias("segs"))
     tree = rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
-    tree = materialise(tree.select("*", F.col("segs").alias("t")), "url-tree")
-    deepest = _depth(tree, most_children + 1)
-    for i in range(deepest):
+    return materialise(tree, "url-tree")
+
+
+def templates(tree: DataFrame, most_children: int = 32, heavy: float = 0.05, z: float = 2.0) -> DataFrame:
+    """Generalised paths, level by level: host, segs, t (segments of the template), n, labelled, bad of counted() paths."""
+    tree = tree.select("host", "segs", "n", "labelled", "bad", F.col("segs").alias("t"))
+    finished: list[DataFrame] = []
+    for i in range(_depth(tree, most_children + 1)):
         at = tree.where(F.size("t") > i).withColumn("up", F.slice("t", 1, i)).withColumn("child", F.col("t")[i])
         children = at.groupBy("host", "up", "child").agg(*_sums())
         node = children.groupBy("host", "up").agg(F.count(F.lit(1)).alias("kinds"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad"))).where(F.col("kinds") > most_children)
@@ -112,9 +124,11 @@ def templates(urls: DataFrame, most_children: int = 32, heavy: float = 0.05, z:
         like = below.groupBy("host", "up", "rest").agg(F.sum("labelled").alias("l_all"), F.sum("bad").alias("b_all"))
         kept = below.join(like, ["host", "up", "rest"]).where(_differs(F.col("bad"), F.col("labelled"), F.col("b_all"), F.col("l_all"), z)).select("host", "up", "child").distinct()
         wide = light.join(kept, ["host", "up", "child"], "left_anti").withColumn("wild", F.lit(True))
-        joined = tree.withColumn("up", F.slice("t", 1, i)).withColumn("child", F.get("t", F.lit(i))).join(wide, ["host", "up", "child"], "left")
         generalised = F.when(F.col("wild"), F.concat("up", F.array(F.lit("*")), F.slice("t", i + 2, F.greatest(F.size("t"), F.lit(1))))).otherwise(F.col("t"))
-        tree = materialise(joined.withColumn("t", generalised).select("host", "segs", "n", "labelled", "bad", "t"), "url-tree")
+        finished.append(tree.where(F.size("t") <= i))
+        tree = materialise(at.join(wide, ["host", "up", "child"], "left").select("host", "segs", "n", "labelled", "bad", generalised.alias("t")), "url-tree")
+    for part in finished:
+        tree = tree.unionByName(part)
     return tree
 
 
@@ -126,7 +140,7 @@ def branches(tree: DataFrame, z: float = 2.0) -> DataFrame:
     """host, t, b (the branch's segments), labelled, bad for each template, merged level by level from the deepest on.
 
     What is merged below a segment is a branch b = (..., segment, *) that has the segment's siblings for its own, and the
-    template that ends with the segment too. level: the number of segments that siblings have, 0 if nothing is left to merge.
+    template that ends with the segment too. level: the number of segments that siblings have.
     """
     leaves = materialise(tree.groupBy("host", "t").agg(*_sums()).select("host", "t", "labelled", "bad"), "url-leaves")
     deepest = max(1, _depth(leaves, 2))
@@ -134,21 +148,36 @@ def branches(tree: DataFrame, z: float = 2.0) -> DataFrame:
     under = lambda path, n: F.concat(F.slice(path, 1, n) if n else F.array().cast("array<string>"), F.array(F.lit("*")))
     start = F.when(F.size("t") > deepest, under("t", deepest)).otherwise(F.col("t"))
     leaves = leaves.select("host", "t", start.alias("b"), F.least(F.size("t"), F.lit(deepest)).alias("level"), "labelled", "bad")
+    out, moved = [], leaves.where("false")
     for i in range(deepest, 0, -1):
-        parts = leaves.where(F.col("level") == i).groupBy("host", "b").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("x")).withColumn("up", F.slice("b", 1, i - 1))
+        here = leaves.where(F.col("level") == i).unionByName(moved)
+        parts = here.groupBy("host", "b").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("x")).withColumn("up", F.slice("b", 1, i - 1))
         wholes = parts.groupBy("host", "up").agg(F.sum("l").alias("l_all"), F.sum("x").alias("x_all"))
-        apart = parts.join(wholes, ["host", "up"]).where(_differs(F.col("x"), F.col("l"), F.col("x_all"), F.col("l_all"), z)).select("host", "b", F.lit(i).alias("level"), F.lit(True).alias("apart"))
-        leaves = leaves.join(apart, ["host", "b", "level"], "left")
-        here = F.col("level") == i
-        b = F.when(here & F.col("apart").isNull(), under("b", i - 1)).otherwise(F.col("b"))
-        level = F.when(here, F.when(F.col("apart").isNull(), F.lit(i - 1)).otherwise(F.lit(0))).otherwise(F.col("level"))
-        leaves = materialise(leaves.select("host", "t", b.alias("b"), level.alias("level"), "labelled", "bad"), "url-branches")
-    return leaves
-
-
-def judged(tree: DataFrame, smoothing: float = 20.0, most_bad: float = 0.5, z: float = 2.0) -> DataFrame:
-    """host, t, template, branch, bad_share, rejected for each template of templates()."""
-    both = branches(tree, z).withColumn("branch", _named(F.col("b")))
+        apart = parts.join(wholes, ["host", "up"]).where(_differs(F.col("x"), F.col("l"), F.col("x_all"), F.col("l_all"), z)).select("host", "b", F.lit(True).alias("apart"))
+        told = materialise(here.join(apart, ["host", "b"], "left"), "url-branches")
+        out.append(told.where("apart").drop("apart"))
+        moved = told.where("apart is null").drop("apart").withColumn("b", under("b", i - 1)).withColumn("level", F.lit(i - 1))
+    for part in out:
+        moved = moved.unionByName(part)
+    return moved.drop("level")
+
+
+def branched(tree: DataFrame, most_children: int = 32, heavy: float = 0.05, z: float = 2.0, small: int = SMALL) -> DataFrame:
+    """host, segs, template, branch, labelled, bad of counted() paths."""
+    sizes = tree.groupBy("host").agg(F.sum(F.size("segs")).alias("segments"))
+    large = materialise(sizes.where(F.col("segments") > small).select("host"), "url-hosts")
+    few = tree.join(large, "host", "left_anti")
+    kind = "host string, segs array<string>, template string, branch string, labelled long, bad long"
+    found = few.groupBy("host").applyInPandas(lambda rows: grown_tree(rows, most_children, heavy, z), kind)
+    if large.isEmpty():
+        return found
+    paths = templates(tree.join(large, "host", "left_semi"), most_children, heavy, z)
+    named = branches(paths, z).select("host", "t", _named(F.col("t")).alias("template"), _named(F.col("b")).alias("branch"))
+    return found.unionByName(paths.join(named, ["host", "t"]).select("host", "segs", "template", "branch", "labelled", "bad"))
+
+
+def judged(both: DataFrame, smoothing: float = 20.0, most_bad: float = 0.5) -> DataFrame:
+    """host, segs, template, branch, bad_share, rejected of branched() paths, which are written."""
     merged = both.groupBy("host", "branch").agg(F.sum("labelled").alias("b_labelled"), F.sum("bad").alias("b_bad"))
     hosts = both.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("bad").alias("h_bad"))
     whole = hosts.agg(F.try_divide(F.sum("h_bad"), F.sum("h_labelled")).alias("overall"))
@@ -156,20 +185,20 @@ def judged(tree: DataFrame, smoothing: float = 20.0, most_bad: float = 0.5, z: f
     host_share = (F.col("h_bad") + smoothing * overall) / (F.col("h_labelled") + smoothing)
     share = (F.col("b_bad") + smoothing * host_share) / (F.col("b_labelled") + smoothing)
     shares = merged.join(hosts, "host").join(F.broadcast(whole)).select("host", "branch", share.alias("bad_share"))
-    return both.select("host", "t", _named(F.col("t")).alias("template"), "branch").join(shares, ["host", "branch"]).withColumn("rejected", F.col("bad_share") > most_bad)
+    return both.select("host", "segs", "template", "branch").join(shares, ["host", "branch"]).withColumn("rejected", F.col("bad_share") > most_bad)
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, **how) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, smoothing: float = 20.0, most_bad: float = 0.5, **how) -> DataFrame:
     """page_id, host, path, rule, verdict, template, branch, bad_share for each row of pages.
 
-    labels: page_id, bad (boolean), at most one row for each page_id that counts.
+    labels: page_id, bad (boolean), at most one row for each page_id that counts. how: parameters of branched().
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = rows.withColumn("bad", F.lit(None).cast("boolean"))
     if labels is not None:
         known = rows.join(labels.groupBy("page_id").agg(F.max("bad").alias("bad")), "page_id", "left")
-    tree = templates(known.select("host", "path", "bad"))
-    verdicts = tree.select("host", "segs", "t").join(judged(tree, **how), ["host", "t"])
+    both = materialise(branched(counted(known.select("host", "path", "bad")), **how), "url-paths")
+    verdicts = judged(both, smoothing, most_bad)
     keyed = rows.withColumn("segs", _segments(F.col("path")))
     host, path = F.col("host"), F.col("path")
     verdict = F.coalesce(rule_of(rules, host, path, "verdict"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))

@@ -321,7 +321,9 @@ def judged_by_hand(rows, most_children=32, heavy=0.05, z=2.0, smoothing=20.0, mo
     return out
 
 
-def test_url_templates_equal_brute_force(spark):
+@pytest.mark.parametrize("small", [0, url_filter.SMALL, 3500])
+def test_url_templates_equal_brute_force(spark, small):
+    """Level by level, in one task a host, and both."""
     rng = np.random.default_rng(9)
     rows = []
     for i in range(4000):
@@ -334,13 +336,35 @@ def test_url_templates_equal_brute_force(spark):
     want = judged_by_hand([r[2:] for r in rows])
     df = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
     labels = spark.createDataFrame([(r[0], r[4]) for r in rows if r[4] is not None], "page_id long, bad boolean")
-    got = {r.page_id: r for r in url_filter.filter_urls(df, [], labels).collect()}
+    got = {r.page_id: r for r in url_filter.filter_urls(df, [], labels, small=small).collect()}
     for i, _, host, segs, _ in rows:
         template, branch, share, rejected = want[host, segs]
         assert (got[i].template, got[i].branch, round(got[i].bad_share, 9), got[i].verdict) == (template, branch, share, "block" if rejected else "allow")
     assert {r.verdict for r in got.values()} == {"allow", "block"} and len({r.branch for r in got.values()}) > 8
 
 
+def test_a_spider_trap(spark):
+    """Thousands of paths of up to 200 segments: nested ones, and ones of random words, which are wildcards at every level."""
+    import time
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    nested = [f"http://trap.net/{'/'.join(['next', 'page'] * (i % 100 + 1))}/{word()}" for i in range(1500)]
+    wild = [f"http://wild.net/{'/'.join(word() for _ in range(rng.randint(1, 200)))}" for _ in range(1500)]
+    df = spark.createDataFrame([*enumerate(nested + wild)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(0, 3000, 2)], "page_id long, bad boolean")
+    began = time.time()
+    got = {r.page_id: r for r in url_filter.filter_urls(df, [], labels).collect()}
+    assert len(got) == 3000 and time.time() - began < 60
+    assert max(r.template.count("*") for r in got.values()) > 100
+    few = [i for i in range(3000) if len((nested + wild)[i]) < 120 and i % 7 == 0]
+    rows = [("trap.net" if i < 1500 else "wild.net", tuple((nested + wild)[i].split("/")[3:]), i % 3 == 0 if i % 2 == 0 else None) for i in few]
+    want = judged_by_hand(rows)
+    again = {r.page_id: r for r in url_filter.filter_urls(df.where(F.col("page_id").isin(few)), [], labels).collect()}
+    for i, (host, segs, _) in zip(few, rows):
+        assert (again[i].template, again[i].branch, round(again[i].bad_share, 9)) == want[host, segs][:3]
+
+
 def test_url_templates_differ_below_the_fourth_segment(spark):
     urls = [f"http://h.net/en/2024/05/12/{w}/x{'/deep' * 3}" for w in ("spam", "news") for _ in range(40)]
     df = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")

@@ -1,7 +1,7 @@
 """HTML main text: a linear-chain conditional random field over the leaf blocks of the page.
 
 Features of a block are the elements above it with the words of their class, id and role names, its own element, and its text:
-length, link share, punctuation, place. Two labels (article or not) form a chain; weights come from labelled pages, which
+length, link share, punctuation, place; and whether the page has an element known to hold articles at all. Two labels (article or not) form a chain; weights come from labelled pages, which
 labelled_pages() writes in many layouts, by gradient ascent on the penalised likelihood with forward-backward; pages are
 decoded by Viterbi. Training takes seconds on the driver, its pages are bounded by TRAIN_PAGES, and the weights are small.
 
@@ -25,7 +25,7 @@ from .common import small_batches
 from .dom import Block, blocks
 
 #: Pages written to train on.
-TRAIN_PAGES = 600
+TRAIN_PAGES = 800
 #: Words in class, id and role names that features name.
 WORDS = (
     "content article main post entry story body text prose "
@@ -50,6 +50,10 @@ def named(names: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+#: Elements around what isn't an article, whatever their names.
+_FRAMING = frozenset("nav aside header footer form button label select menu".split())
+
+
 @functools.lru_cache(maxsize=20_000)
 def path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
     tags = [t for t, _ in path if t not in ("html", "body")]
@@ -59,6 +63,8 @@ def path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
             out.add(f"name={w}")
             if i == len(path) - 1:
                 out.add(f"ownname={w}")
+    if not any(named(n) for _, n in path) and not _FRAMING & set(tags):
+        out.add("plain")
     holders = [i for i, (t, n) in enumerate(path) if t in ("article", "main") or {"content", "article", "main", "post", "entry", "story"} & set(named(n))]
     if holders:
         out.add("held")
@@ -84,11 +90,21 @@ def text_features(b: Block) -> list[str]:
 
 
 def features(page: list[Block]) -> list[list[str]]:
+    """Of each block; where no element that is known to hold articles is on the page, blocks say so, as more hangs on their text then."""
     last = len(page) - 1
-    return [
-        ["bias", *path_features(b.path), *text_features(b), *(["first"] if i == 0 else ()), *(["last"] if i == last else ())]
-        for i, b in enumerate(page)
-    ]
+    paths = [path_features(b.path) for b in page]
+    without = not any("held" in p for p in paths)
+    out = []
+    for i, (b, path) in enumerate(zip(page, paths)):
+        text = text_features(b)
+        found = ["bias", *path, *text, *(["first"] if i == 0 else ()), *(["last"] if i == last else ())]
+        if without:
+            plain = "plain" if "plain" in path else "framed"
+            found += ["unheld page", f"unheld {plain}", *(f"unheld {plain} {x}" for x in text if x in ("ends", "sentences") or x.startswith(("words", "linked")))]
+        elif "held" not in path:
+            found.append("outside")
+        out.append(found)
+    return out
 
 
 class ChainCRF:
@@ -164,8 +180,11 @@ class ChainCRF:
         return cls(dict(zip(names, w.tolist())), t.tolist(), s.tolist())
 
 
-def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
-    """A page in a layout drawn at random, and the blocks of its article."""
+def labelled_page(rng: random.Random, holder: str | None = None) -> tuple[str, list[str]]:
+    """A page in a layout drawn at random, and the blocks of its article. holder: markup around the article, at {}.
+
+    A third of the pages have the article in no element that is known to hold one: in the body, in tables, under unknown names.
+    """
     syllables = "an ber cha den er fo gel hi in ka lo men na or pre qui ra sen ti u ve wa zu é ción ß".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
@@ -215,11 +234,17 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
         inner = pick((f"&copy; {word()}.example &middot; {sentence()}", f"<p>&copy; 2020 {words(1, 3)}</p>{links(3)}", f"<p>{sentence()}</p>", links(4)))
         return pick((f"<footer>{inner}</footer>", f"<div {cls('footer', 'site-footer', 'page-footer', 'legal')}>{inner}</div>"))
 
+    unknown = lambda: f'{pick(("class", "id"))}="{word()}{pick(("", f" {word()}", f"-{word()}"))}"'
+    table = lambda first: f'<table><tr>{first}<td>{{}}</td></tr></table>'
+    if holder is None and rng.random() < 0.34:
+        cell = f"<td>{links(rng.randint(2, 7))}</td>" if rng.random() < 0.6 else ""
+        holder = pick(("{}", "{}", "<div>{}</div>", f"<div {unknown()}>{{}}</div>", f"<div {unknown()}>{{}}</div>", f"<div {unknown()}><div {unknown()}>{{}}</div></div>", table(cell), table(cell), f"<table {unknown()}><tbody><tr>{cell}<td {unknown()}>{{}}</td></tr></tbody></table>"))
+    prose_tag = pick(("p", "p", "p", "p", "div")) if holder else "p"
     body = [main("h1", words(2, 9))] if rng.random() < 0.8 else []
     for _ in range(pick((1, 2, 3, 5, 9, 14))):
         kind = rng.random()
         if kind < 0.72:
-            body.append(main("p", prose()))
+            body.append(main(prose_tag, prose()))
         elif kind < 0.78:
             body.append(main(pick(("h2", "h3")), words(1, 7)))
         elif kind < 0.82:
@@ -239,18 +264,18 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     if rng.random() < 0.25:
         body.append(pick((comments, share, footer))())
     inside = "".join(body)
-    holder = pick(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", f"<div {cls('content', 'article', 'post', 'entry-content', 'story-body', 'main-content', 'post-body', 'article-text', 'main')}>{{}}</div>", f"<div {cls('wrapper', 'page', 'container')}><div {cls('content', 'article', 'main', 'post')}>{{}}</div></div>", f"<article {cls('post', 'hentry', 'story')}>{{}}</article>"))
+    holder = holder or pick(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", f"<div {cls('content', 'article', 'post', 'entry-content', 'story-body', 'main-content', 'post-body', 'article-text', 'main')}>{{}}</div>", f"<div {cls('wrapper', 'page', 'container')}><div {cls('content', 'article', 'main', 'post')}>{{}}</div></div>", f"<article {cls('post', 'hentry', 'story')}>{{}}</article>"))
     before = [f() for f in (notice, header, nav, nav, advert, form, aside) if rng.random() < 0.4]
     after = [f() for f in (comments, share, aside, advert, form, notice, footer, footer) if rng.random() < 0.4]
     page = "".join([*before, holder.replace("{}", inside), *after])
     return f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><script>var a='</p>';</script></head><body>{page}{pick(('</body></html>', ''))}", article
 
 
-def labelled_pages(n: int, seed: int) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(n: int, seed: int, holder: str | None = None) -> list[tuple[list[Block], list[int]]]:
     """Blocks and labels of n pages; a block is labelled as article if it is the article's next block."""
     rng, out = random.Random(seed), []
     while len(out) < n:
-        page, article = labelled_page(rng)
+        page, article = labelled_page(rng, holder)
         found = blocks(page)
         labels, at = [], 0
         for b in found:

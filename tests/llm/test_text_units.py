@@ -274,3 +274,21 @@ def test_what_follows_the_last_tag_is_text():
     assert text("<p>a</p>b <i c") == ["a", "b <i c"] and text("<p>a</p>b<!-- c") == ["a", "b"]
     assert text("a<!-- b > c") == ["a"] and text("a<![CDATA[ b > c") == ["a"] and text("a <!-- b --> c <p") == ["a c <p"]
     assert text("<script>a</script b") == []
+
+
+@pytest.mark.parametrize("holder", ["{}", "<div id=inhalt>{}</div>", '<section class="contenu principal">{}</section>', "<center><font size=2>{}</font></center>", "<table><tr><td><table><tr><td width=80%>{}</td></tr></table></td></tr></table>", '<div class="b7f3 x-2"><section>{}</section></div>'])
+def test_articles_without_known_holder(holder):
+    """Layouts that no page to train on has: characters of the article found, and of what is found those of the article."""
+    crf = html_extract.trained()
+    both = found = there = 0
+    for page, labels in html_extract.labelled_pages(120, 77, holder):
+        for b, got, want in zip(page, crf.decode(html_extract.features(page)), labels):
+            both, found, there = both + len(b.text) * (got and want), found + len(b.text) * got, there + len(b.text) * want
+    assert both / there > 0.95 and both / found > 0.95
+
+
+def test_bare_pages_have_text():
+    crf = html_extract.trained()
+    assert html_extract.main_text("<body><p>The first sentence is here, and calm.</p><p>The second one is long enough, too.</p></body>", crf) == "The first sentence is here, and calm.\nThe second one is long enough, too."
+    table = "<body><ul><li><a href=/>Home</a><li><a href=/x>Blog</a></ul><table><tr><td><a href=1>One</a><td><h1>A title of it</h1><p>A paragraph of text, in full sentences. It goes on.</p></table><div class=footer>&copy; 2020 me</div>"
+    assert html_extract.main_text(table, crf) == "A title of it\nA paragraph of text, in full sentences. It goes on."

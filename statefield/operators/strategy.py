@@ -103,42 +103,64 @@ def non_overlapping(candidates: DataFrame, cost: float = DEFAULT.cost, *by: str)
     rows = candidates.select(*keys, "date", "exit_date", "state_id", "regime", "ret_h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last = None, None
+        key, last = None, None
         for b in batches:
             if not b.num_rows:
                 continue
             day, out = (b.column(len(keys) + i).cast(pa.int32()).to_numpy() for i in (0, 1))
-            own, enter = list(zip(*(b.column(i).to_pylist() for i in range(len(keys))))), np.zeros(b.num_rows, bool)
-            for i, (key, d) in enumerate(zip(own, day.tolist())):
-                if key != at or last is None or d > last:
-                    at, last, enter[i] = key, int(out[i]), True
+            own = [np.asarray(b.column(i).to_pylist(), object) for i in range(len(keys))]
+            new = np.ones(b.num_rows, bool)
+            new[1:] = np.any([v[1:] != v[:-1] for v in own], axis=0)
+            starts, enter = np.flatnonzero(new).tolist(), np.zeros(b.num_rows, bool)
+            for a, z in zip(starts, [*starts[1:], b.num_rows]):
+                if (this := tuple(v[a] for v in own)) != key:
+                    key, last = this, None
+                i = a if last is None else a + int(np.searchsorted(day[a:z], last, "right"))
+                while i < z:  # from a trade to the first candidate after its exit
+                    enter[i], last = True, int(out[i])
+                    i += 1 + int(np.searchsorted(day[i + 1 : z], last, "right"))
             yield b.filter(pa.array(enter))
 
     trades = rows.repartition(*keys).sortWithinPartitions(*keys, "date", "exit_date").mapInArrow(run, rows.schema)
     return trades.select(*by, F.col("date").alias("entry_date"), "exit_date", "code", "state_id", "regime", F.col("ret_h").alias("ret_gross"), (F.col("ret_h") - cost).alias("ret_net"))
 
 
+#: Days of a bin in which returns meet the trades that hold their code.
+BIN = 32
+
+
 def portfolio_path(trades: DataFrame, prices: DataFrame, dates: DataFrame, cost: float = DEFAULT.cost, clamp: bool = False, *by: str) -> DataFrame:
     """by.., date, n_active, port_ret, equity: equal weight of the active trades.
 
     dates: by.., date, the calendar of the test period; the trade is active on the calendar's dates after entry up to exit, also on
     those that its code has no row on. An exit beyond the calendar skips the trade, or with clamp ends at the last date (Q4b).
-    The calendar is an array of days, one for each key, and is broadcast; trades meet it by the numbers of their days.
+    Active trades are counted from entries and exits before each date. Returns meet the trades that hold their code by bins of
+    days, of which a trade touches one or two; only the calendar, one row a day and key, is broadcast.
     """
     on = list(by)
     span = Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))
-    days = F.sort_array(F.collect_set("date")).alias("_days")
-    calendar = dates.groupBy(*on).agg(days) if on else dates.agg(days)
-    t = trades.join(F.broadcast(calendar), on) if on else trades.crossJoin(F.broadcast(calendar))
-    t = t.select(*on, "code", "_days", F.array_position("_days", F.col("entry_date")).alias("_entry"), F.array_position("_days", F.col("exit_date")).alias("_exit")).where("_entry > 0")
-    t = t.withColumn("_exit", F.when(F.col("_exit") > 0, F.col("_exit")).otherwise(F.size("_days"))) if clamp else t.where("_exit > 0")
-    held = t.select("*", F.explode(F.sequence(F.least(F.col("_entry") + 1, F.col("_exit")), F.col("_exit"))).alias("_day"))
-    held = held.select(*on, "code", F.element_at("_days", F.col("_day").cast("int")).alias("date"), (F.col("_day") > F.col("_entry")).alias("_active"), (F.col("_day") == F.col("_exit")).alias("_ends"))
-    returns = daily_return(prices.select("code", "date", "close")).select("code", "date", "ret_d")
-    sums = held.join(returns, ["code", "date"], "left").groupBy(*on, "date").agg(F.sum(F.when(F.col("_active"), F.coalesce("ret_d", F.lit(0.0)))).alias("pnl"), F.count_if("_active").alias("n"), F.count_if("_ends").alias("exits"))
-    path = calendar.select(*on, F.explode("_days").alias("date")).join(sums, [*on, "date"], "left")
-    n = F.coalesce("n", F.lit(0).cast("long"))
-    ret = F.when(n > 0, (F.col("pnl") - cost * F.col("exits")) / F.col("n")).otherwise(0.0)
+    calendar = dates.select(*on, "date").distinct()
+    entries = F.broadcast(calendar.withColumnRenamed("date", "entry_date"))
+    exits = F.broadcast(calendar.select(*on, F.col("date").alias("exit_date"), F.lit(True).alias("_known")))
+    t = trades.select(*on, "code", "entry_date", "exit_date").join(entries, [*on, "entry_date"], "left_semi").join(exits, [*on, "exit_date"], "left")
+    if clamp:
+        last = F.broadcast(calendar.groupBy(*on).agg(F.max("date").alias("_last")))
+        t = (t.join(last, on) if on else t.crossJoin(last)).withColumn("exit_date", F.when(F.col("_known"), F.col("exit_date")).otherwise(F.col("_last")))
+    else:
+        t = t.where("_known")
+    ends = F.explode(F.array(F.struct(F.col("entry_date").alias("date"), F.lit(1).alias("entry")), F.struct(F.col("exit_date").alias("date"), F.lit(0).alias("entry")))).alias("e")
+    events = t.select(*on, ends).groupBy(*on, "e.date").agg(F.sum("e.entry").alias("entries"), F.count_if(F.col("e.entry") == 0).alias("exits"))
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    held = t.select(*on, "code", day("entry_date").alias("_from"), day("exit_date").alias("_to")).where("_from < _to")
+    held = held.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_from") + 1) / BIN), F.floor(F.col("_to") / BIN))))
+    returns = daily_return(prices.select("code", "date", "close")).where("ret_d is not null").select("code", "date", "ret_d", day("date").alias("_day"), F.floor(day("date") / BIN).alias("_bin"))
+    earned = returns.join(held, ["code", "_bin"]).where("_from < _day and _day <= _to").groupBy(*on, "date").agg(F.sum("ret_d").alias("pnl"))
+    before = span.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    path = calendar.join(events, [*on, "date"], "left").join(earned, [*on, "date"], "left")
+    path = path.withColumn("n", count(F.sum(count("entries") - count("exits")).over(before)))
+    n = F.col("n")
+    ret = F.when(n > 0, (F.coalesce("pnl", F.lit(0.0)) - cost * count("exits")) / n).otherwise(0.0)
     path = path.select(*on, "date", n.alias("n_active"), ret.alias("port_ret"))
     upto = span.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return path.withColumn("equity", F.product(1 + F.col("port_ret")).over(upto))
@@ -205,7 +227,8 @@ def walk_forward(labelled: DataFrame, p: Params = DEFAULT, overlay: bool = False
     if overlay:
         cand = without_bear(cand, market_bear(labelled, p.sma))
     trades = non_overlapping(cand, p.cost, "fold")
-    path = portfolio_path(trades, labelled, test.select("fold", "date").distinct(), p.cost, True, "fold")
+    days = labelled.select("date").distinct().join(years, F.year("date") == F.col("fold")).select("fold", "date")
+    path = portfolio_path(trades, labelled, days, p.cost, True, "fold")
     return path_metrics(path, trades, p, "fold").drop("sortino", "avg_active")
 
 

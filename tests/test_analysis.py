@@ -263,3 +263,17 @@ def test_charts_and_meta(spark, tmp_path):
     assert tables.read_meta(spark, path) == {"a": [1.5, None], "b": {"c": 2}}
     with pytest.raises(ValueError):
         tables.require_domain(spark.createDataFrame([("BULL",), (None,)], "r string"), "r", ["BULL"])
+
+
+def test_path_joins_intervals_without_arrays_of_days(spark):
+    """No row carries the calendar, and no trade is compared with days beyond its bins."""
+    rows = [(c, day(i), 10.0 + i + c) for c in range(3) for i in range(40)]
+    prices = spark.createDataFrame(rows, "code long, date date, close double")
+    trades = spark.createDataFrame([(0, day(1), day(9)), (1, day(5), day(5)), (2, day(30), day(200))], "code long, entry_date date, exit_date date")
+    for clamp in (False, True):
+        path = strategy.portfolio_path(trades, prices, prices.select("date").distinct(), 0.01, clamp)
+        plan = path._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_set" not in plan and "collect_list" not in plan and "_bin" in plan
+        got = {r.date: r for r in path.collect()}
+        assert len(got) == 40 and [got[day(i)].n_active for i in (1, 2, 9, 10, 31, 39)] == [0, 1, 1, 0, int(clamp), int(clamp)]
+        assert abs(got[day(9)].port_ret - (1 / 18.0 - 0.01)) < 1e-12 and got[day(5)].port_ret > 0

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TABLES as P
-from ..operators import chains, latent, split
+from ..operators import basins, chains, latent, split, states
 from ..operators.features import Z, state_vector, valid_mask
 from ..operators.live import LIVE
 from ..sources import sinks
 from ..streaming import live as streamed
-from .catalog import panel, register, rs, shared, state_rows
+from .catalog import panel, register, rs, shared, state_rows, valid_pairs
 from .oracles import CTES, cte, r
 
 # The daily path as a stream
@@ -149,3 +149,49 @@ _ok = " AND ".join(f"z_{f} IS NOT NULL" for f in Z)
 register("w16_split_sequences", "one_zs", f"SELECT place, '1|' || gap AS seq_id FROM (SELECT date AS place, ok, count(CASE WHEN NOT ok THEN 1 END) OVER (ORDER BY date) AS gap FROM (SELECT date, coalesce(z_v > -0.5, false) AND {_ok} AS ok FROM one_zs)) WHERE ok")(
     lambda s, d: split.sequences(sinks.written(split.z_scores(one_code(s, d), P, BLOCK), "split-z").withColumn("valid", F.coalesce(F.col("z_v") > -0.5, F.lit(False)) & F.expr(_ok.lower()))).select(F.col("date").alias("place"), "seq_id")
 )
+
+# Metastable sets of the states' transitions: a fixed number of steps, so that SQL takes the same
+
+POWER, SWEEPS = 8, 6
+
+
+@shared
+def set_cells(s: SparkSession, d: str) -> DataFrame:
+    return basins.within(states.transitions(valid_pairs(s, d)), positive_states(s, d))
+
+
+@shared
+def positive_states(s: SparkSession, d: str) -> DataFrame:
+    """s, n of the states with a positive mean return."""
+    return states.state_table(valid_pairs(s, d), P).where("visits > 0 and mu_r_raw > 0").select(F.col("state_id").alias("s"), F.col("visits").alias("n"))
+
+
+def basin_ctes() -> None:
+    cte("kept", "stats", "SELECT state_id AS s, visits AS n FROM stats WHERE visits > 0 AND mu_r_raw > 0")
+    cte("cells", "trans kept", "SELECT s AS i, s_next AS j, p FROM trans WHERE s IN (SELECT s FROM kept) AND s_next IN (SELECT s FROM kept)")
+    cte("nodes", "cells", "SELECT i FROM cells UNION SELECT j FROM cells")
+    for side, to, of in (("r", "i", "j"), ("l", "j", "i")):
+        cte(f"{side}0", "nodes", "SELECT i, 1.0 / count(*) OVER () AS x, CAST(0 AS DOUBLE) AS norm FROM nodes")
+        for k in range(1, POWER + 1):
+            cte(f"{side}{k}", f"{side}{k - 1} nodes cells", f"SELECT i, y / sum(abs(y)) OVER () AS x, sum(abs(y)) OVER () AS norm FROM (SELECT nodes.i, coalesce(y, 0) AS y FROM nodes LEFT JOIN (SELECT c.{to} AS i, sum(p * x) AS y FROM cells c JOIN {side}{k - 1} v ON v.i = c.{of} GROUP BY 1) m ON m.i = nodes.i)")
+    cte("pair", f"l{POWER} r{POWER}", f"SELECT i, l.x AS le, r.x AS ri, sum(l.x * r.x) OVER () AS lr, r.norm AS l1 FROM l{POWER} l JOIN r{POWER} r USING (i)")
+    cte("y0", "pair", "SELECT i, x / sum(abs(x)) OVER () AS x, CAST(0 AS DOUBLE) AS norm FROM (SELECT i, ((i * 7919 + 13) % 1000) / 1000.0 - 0.5 AS x FROM pair)")
+    for k in range(1, POWER + 1):
+        cte(f"y{k}", f"y{k - 1} pair cells", f"SELECT i, z / sum(abs(z)) OVER () AS x, sum(abs(z)) OVER () AS norm FROM (SELECT pair.i, coalesce(y, 0) - l1 * ri * (SELECT sum(le * x) FROM y{k - 1} JOIN pair USING (i)) / lr AS z FROM pair LEFT JOIN (SELECT c.i, sum(p * x) AS y FROM cells c JOIN y{k - 1} v ON v.i = c.j GROUP BY 1) m ON m.i = pair.i)")
+    cte("stay", "kept cells", "SELECT s, n, coalesce(x, 0) AS stay, CASE WHEN coalesce(x, 0) < 1 - 1e-12 THEN coalesce(x, 0) / (1 - coalesce(x, 0)) END AS a FROM kept LEFT JOIN (SELECT i AS s, sum(p) AS x FROM cells GROUP BY 1) USING (s)")
+    cte("gaps", "stay", "SELECT *, row_number() OVER (ORDER BY a DESC NULLS FIRST, s) AS pos, lag(coalesce(a, 'inf'::DOUBLE)) OVER (ORDER BY a DESC NULLS FIRST, s) AS above FROM stay")
+    cte("cuts3", "gaps", "SELECT pos FROM (SELECT pos, CASE WHEN above IS NULL THEN NULL WHEN a > 0 THEN above / a WHEN a IS NULL THEN 1 WHEN above > 0 THEN 'inf'::DOUBLE ELSE 1 END AS gap FROM gaps) WHERE gap IS NOT NULL ORDER BY gap DESC, pos LIMIT 3")
+    cte("basin", "gaps cuts3", "SELECT s, stay, a, ['core', 'stable', 'bridge', 'escape'][1 + (SELECT count(*) FROM cuts3 WHERE cuts3.pos <= gaps.pos)] AS basin FROM gaps")
+    cte("h0", "kept basin", "SELECT s, CASE WHEN basin IN ('core', 'stable') THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM basin")
+    for k in range(1, SWEEPS + 1):
+        cte(f"h{k}", f"h{k - 1} h0 cells", f"SELECT h0.s, greatest(h0.x, coalesce(y, 0)) AS x FROM h0 LEFT JOIN (SELECT c.i AS s, sum(c.p * v.x / nullif(1 - coalesce(o.p, 0), 0)) AS y FROM cells c JOIN h{k - 1} v ON v.s = c.j LEFT JOIN cells o ON o.i = c.i AND o.j = c.i WHERE c.i <> c.j AND c.i NOT IN (SELECT s FROM h0 WHERE x > 0) GROUP BY 1) m ON m.s = h0.s")
+
+
+basin_ctes()
+_second = f"(SELECT max(norm) FROM y{POWER})"
+register("d6_spectrum", f"r{POWER} y{POWER}", f"SELECT {r('l1', 'first')}, {r('l2', 'second')}, {r('l1 - l2', 'gap')}, {r('CASE WHEN l2 > 0 AND l2 < 1 THEN -1 / ln(l2) ELSE 0.0 END', 'mixing')}, {r('1 - l1', 'leakage')} FROM (SELECT max(norm) AS l1, {_second} AS l2 FROM r{POWER})")(
+    lambda s, d: basins.spectrum(set_cells(s, d), POWER, 0.0)
+)
+register("d5_basins", "basin", f"SELECT s, {r('stay')}, {r('a', 'attractor')}, basin FROM basin")(lambda s, d: basins.basins(set_cells(s, d), positive_states(s, d)))
+register("d5_absorption", f"h{SWEEPS}", f"SELECT s, {r('x', 'reached')} FROM h{SWEEPS}")(lambda s, d: basins.absorption(set_cells(s, d), basins.basins(set_cells(s, d), positive_states(s, d)).where("basin in ('core', 'stable')"), positive_states(s, d), SWEEPS, 0.0))
+register("d4_mean_stability", "stay", f"SELECT {r('avg(stay)', 'unweighted')}, {r('sum(stay * n) / sum(n)', 'weighted')} FROM stay")(lambda s, d: basins.mean_stability(set_cells(s, d), positive_states(s, d)))

@@ -12,7 +12,7 @@ from ..config import TABLES as P
 from ..operators import basins, chains, latent, split, states
 from ..operators.features import Z, state_vector, valid_mask
 from ..operators.live import LIVE
-from ..sources import sinks
+from ..sources import commits, sinks
 from ..streaming import live as streamed
 from .catalog import panel, register, rs, shared, state_rows, valid_pairs
 from .oracles import CTES, cte, r
@@ -195,3 +195,20 @@ register("d6_spectrum", f"r{POWER} y{POWER}", f"SELECT {r('l1', 'first')}, {r('l
 register("d5_basins", "basin", f"SELECT s, {r('stay')}, {r('a', 'attractor')}, basin FROM basin")(lambda s, d: basins.basins(set_cells(s, d), positive_states(s, d)))
 register("d5_absorption", f"h{SWEEPS}", f"SELECT s, {r('x', 'reached')} FROM h{SWEEPS}")(lambda s, d: basins.absorption(set_cells(s, d), basins.basins(set_cells(s, d), positive_states(s, d)).where("basin in ('core', 'stable')"), positive_states(s, d), SWEEPS, 0.0))
 register("d4_mean_stability", "stay", f"SELECT {r('avg(stay)', 'unweighted')}, {r('sum(stay * n) / sum(n)', 'weighted')} FROM stay")(lambda s, d: basins.mean_stability(set_cells(s, d), positive_states(s, d)))
+
+# Appends by commits
+
+
+def committed(s: SparkSession, d: str) -> DataFrame:
+    """The panel in four batches that overlap, of which one comes twice and one fails before its commit; the first of a key stays."""
+    rows, path = panel(s, d).select("code", "date", "close"), sinks.scratch(s, "committed")
+    parts = {"a": rows.where("date < '1996-01-01'"), "b": rows.where("date < '1998-01-01'").withColumn("close", F.col("close") * 2), "c": rows.where("code % 2 = 0").withColumn("close", F.col("close") * 3), "d": rows}
+    for name in ("a", "b", "a", "c"):
+        commits.append_batch(parts[name], path, name)
+    commits.stage(parts["d"].withColumn("close", F.lit(-1.0)), path, commits.commits(s, path))
+    commits.append_batch(parts["d"], path, "d")
+    return commits.read_committed(s, path, rows.schema)
+
+
+_scale = "CASE WHEN date < '1996-01-01' THEN 1 WHEN date < '1998-01-01' THEN 2 WHEN code % 2 = 0 THEN 3 ELSE 1 END"
+register("k3_commits", "panel", f"SELECT code, date, {r(f'close * {_scale} + 1e-9', 'close')} FROM panel")(lambda s, d: committed(s, d).withColumn("close", F.col("close") + 1e-9))

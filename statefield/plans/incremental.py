@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TABLES as P
-from ..operators import basins, chains, latent, split, states
+from ..operators import basins, chains, latent, seeds, split, states
 from ..operators.features import Z, state_vector, valid_mask
 from ..operators.live import LIVE
 from ..sources import commits, sinks
@@ -212,3 +212,32 @@ def committed(s: SparkSession, d: str) -> DataFrame:
 
 _scale = "CASE WHEN date < '1996-01-01' THEN 1 WHEN date < '1998-01-01' THEN 2 WHEN code % 2 = 0 THEN 3 ELSE 1 END"
 register("k3_commits", "panel", f"SELECT code, date, {r(f'close * {_scale} + 1e-9', 'close')} FROM panel")(lambda s, d: committed(s, d).withColumn("close", F.col("close") + 1e-9))
+
+# Two fits whose labels are fixed: four hidden states, renamed and partly moved
+
+
+def _fit(s: SparkSession, d: str, z, label) -> dict[str, DataFrame]:
+    rows = state_rows(s, d).select("code", "date", "r", z.cast("long").alias("Z_t")).where("r is not null")
+    names = s.range(4).select(F.col("id").alias("z"), label.alias("label"))
+    return {"states": rows, "labels": names, "kept": rows.groupBy(F.col("Z_t").alias("z")).agg(F.avg("r").alias("m")).where("m > 0").select("z")}
+
+
+def seed_gate(s: SparkSession, d: str) -> DataFrame:
+    z, i = F.col("state_id") % 4, F.col("id")
+    first = _fit(s, d, z, F.concat(F.lit("L"), i.cast("string")))
+    other = _fit(s, d, F.when(F.col("code") % 7 == 0, (z + 2) % 4).otherwise((z + 1) % 4), F.when(i == 0, "X").otherwise(F.concat(F.lit("L"), ((i + 3) % 4).cast("string"))))
+    return seeds.seed_stability(first, other, 4)
+
+
+cte("fits", "states", "SELECT r, state_id % 4 AS a, CASE WHEN code % 7 = 0 THEN (state_id % 4 + 2) % 4 ELSE (state_id % 4 + 1) % 4 END AS b FROM states WHERE r IS NOT NULL")
+cte("shared_rows", "fits", "SELECT a, b, count(*) AS n FROM fits GROUP BY 1, 2")
+_count = lambda i: f"coalesce((SELECT n FROM shared_rows WHERE a = {i} AND b = p{i}), 0)"
+cte("perms", "shared_rows", f"SELECT *, {' + '.join(map(_count, range(4)))} AS gain FROM (SELECT w.range AS p0, x.range AS p1, y.range AS p2, z.range AS p3 FROM range(4) w, range(4) x, range(4) y, range(4) z WHERE len(list_distinct([w.range, x.range, y.range, z.range])) = 4)")
+cte("best_perm", "perms", "SELECT unnest([0, 1, 2, 3]) AS z, unnest([p0, p1, p2, p3]) AS o FROM (SELECT * FROM perms ORDER BY gain DESC LIMIT 1)")
+_sets = "SELECT avg(CASE WHEN x.z IS NULL OR y.z IS NULL THEN 1.0 ELSE 0.0 END) FROM (SELECT a AS z FROM fits GROUP BY 1 HAVING avg(r) > 0) x FULL JOIN (SELECT best_perm.z FROM (SELECT b FROM fits GROUP BY 1 HAVING avg(r) > 0) k JOIN best_perm ON o = b) y ON x.z = y.z"
+_labels = "SELECT avg(CASE WHEN 'L' || z = CASE WHEN o = 0 THEN 'X' ELSE 'L' || ((o + 3) % 4) END THEN 0.0 ELSE 1.0 END) FROM best_perm"
+_moved = "SELECT 1 - sum(CASE WHEN o = b THEN n ELSE 0 END) / sum(n) FROM shared_rows JOIN best_perm ON z = a"
+register("d9_seed_gate", "best_perm", f"SELECT {rs('rows_moved labels_changed set_changed')}, {r('greatest(labels_changed, set_changed)', 'value')}, greatest(labels_changed, set_changed) < 0.05 AS passed FROM (SELECT ({_moved}) AS rows_moved, ({_labels}) AS labels_changed, ({_sets}) AS set_changed)")(seed_gate)
+register("d9_yearly_shares", "states", f"SELECT z, CAST(y AS INT) AS year, {r('share')}, {r('abs(share - before)', 'shift')}, coalesce(abs(share - before) < 0.15, true) AS passed FROM (SELECT *, lag(share) OVER (PARTITION BY z ORDER BY y) AS before FROM (SELECT z.range AS z, y, count(s.z) / any_value(al) AS share FROM range(4) z CROSS JOIN (SELECT year(date) AS y, count(*) AS al FROM states GROUP BY 1) a LEFT JOIN (SELECT state_id % 4 AS z, year(date) AS yy FROM states) s ON s.z = z.range AND yy = y GROUP BY 1, 2))")(
+    lambda s, d: seeds.yearly_shares(state_rows(s, d).select("code", "date", (F.col("state_id") % 4).alias("Z_t")))
+)

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TABLES as P
-from ..operators import basins, chains, latent, seeds, split, states
+from ..operators import basins, chains, drift, latent, seeds, split, states, surfaces
 from ..operators.features import Z, state_vector, valid_mask
 from ..operators.live import LIVE
 from ..sources import commits, sinks
 from ..streaming import live as streamed
-from .catalog import panel, register, rs, shared, state_rows, valid_pairs
+from .catalog import hidden, panel, register, rs, shared, state_rows, valid_pairs
 from .oracles import CTES, cte, r
 
 # The daily path as a stream
@@ -241,3 +241,31 @@ register("d9_seed_gate", "best_perm", f"SELECT {rs('rows_moved labels_changed se
 register("d9_yearly_shares", "states", f"SELECT z, CAST(y AS INT) AS year, {r('share')}, {r('abs(share - before)', 'shift')}, coalesce(abs(share - before) < 0.15, true) AS passed FROM (SELECT *, lag(share) OVER (PARTITION BY z ORDER BY y) AS before FROM (SELECT z.range AS z, y, count(s.z) / any_value(al) AS share FROM range(4) z CROSS JOIN (SELECT year(date) AS y, count(*) AS al FROM states GROUP BY 1) a LEFT JOIN (SELECT state_id % 4 AS z, year(date) AS yy FROM states) s ON s.z = z.range AND yy = y GROUP BY 1, 2))")(
     lambda s, d: seeds.yearly_shares(state_rows(s, d).select("code", "date", (F.col("state_id") % 4).alias("Z_t")))
 )
+
+# Drift flags by date
+
+
+def drift_ctes() -> None:
+    late = f"date >= DATE '{P.test_start}'"
+    cte("val_ref", "states", f"SELECT z_r AS x, count(CASE WHEN NOT {late} THEN 1 END) AS ref FROM states GROUP BY 1")
+    cte("val_rank", "val_ref", "SELECT x, sum(ref) OVER (ORDER BY x) AS upto, sum(ref) OVER (ORDER BY x) - ref AS below, sum(ref) OVER () AS m FROM val_ref")
+    for name, source, keep in (("vw", "states", "true"), ("hw", "hid", "Z_t <> -1")):
+        cte(f"{name}_days", source, f"SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM {source} WHERE {late} AND {keep})")
+        cte(name, f"{name}_days", f"SELECT a.date, b.date AS win FROM {name}_days a JOIN {name}_days b ON b.k BETWEEN a.k AND a.k + 4 WHERE b.k >= 5")
+    cte("val_win", "vw val_rank states", f"SELECT win, z_r AS x, count(*) AS c, any_value(upto) AS upto, any_value(below) AS below, any_value(m) AS m FROM states JOIN vw USING (date) JOIN val_rank ON x = z_r WHERE {late} GROUP BY 1, 2")
+    cte("val_gap", "val_win", "SELECT *, sum(c) OVER (PARTITION BY win ORDER BY x) AS seen, sum(c) OVER (PARTITION BY win) AS n FROM val_win")
+    cte("val_ks", "val_gap", "SELECT win, any_value(n) AS n, any_value(m) AS m, max(greatest(abs(seen / n - upto / m), abs((seen - c) / n - below / m))) AS ks FROM val_gap GROUP BY 1")
+    cte("val_p", "val_ks", "SELECT *, CASE WHEN y < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 21), lambda j: 2.0 * power(-1, j - 1) * exp(-2.0 * j * j * y * y))))) END AS p FROM (SELECT *, (sqrt(n::DOUBLE * m / (n + m)) + 0.12 + 0.11 / sqrt(n::DOUBLE * m / (n + m))) * ks AS y FROM val_ks)")
+    cte("share_ref", "hid", f"SELECT Z_t AS z, count(CASE WHEN NOT {late} THEN 1 END) / sum(count(CASE WHEN NOT {late} THEN 1 END)) OVER () AS usual FROM hid WHERE Z_t <> -1 GROUP BY 1")
+    cte("share_win", "hw share_ref hid", f"SELECT win, z, usual, count(h.date) / sum(count(h.date)) OVER (PARTITION BY win) AS recent FROM hw CROSS JOIN share_ref LEFT JOIN (SELECT date, Z_t FROM hid WHERE Z_t <> -1 AND {late}) h ON h.date = hw.date AND h.Z_t = z GROUP BY 1, 2, 3")
+    cte("share_psi", "share_win", "SELECT win, sum((greatest(recent, 1e-6) - greatest(usual, 1e-6)) * ln(greatest(recent, 1e-6) / greatest(usual, 1e-6))) AS psi, max(abs(recent - usual)) AS shift FROM share_win GROUP BY 1")
+    frame = lambda n: f"OVER (PARTITION BY z ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    cte("moved_share", "hid", f"SELECT date, max(round(abs(recent - usual), 9) > 0.1) AS excluded FROM (SELECT date, avg(x) {frame(5)} AS recent, avg(x) {frame(60)} AS usual FROM (SELECT date, z, coalesce(n, 0) / a AS x FROM (SELECT date, count(*) AS a FROM hid WHERE Z_t <> -1 GROUP BY 1) CROSS JOIN (SELECT range AS z FROM range(8)) LEFT JOIN (SELECT date, Z_t AS z, count(*) AS n FROM hid WHERE Z_t <> -1 GROUP BY 1, 2) USING (date, z))) GROUP BY 1")
+
+
+drift_ctes()
+register(
+    "d12_drift_flags",
+    "val_p share_psi moved_share",
+    f"SELECT date, {rs('ks p psi shift')}, drift, coalesce(excluded, false) AS excluded, drift AND NOT coalesce(excluded, false) AS retrain FROM (SELECT win AS date, ks, p, psi, shift, coalesce(psi > 0.2, false) OR coalesce(p < 0.01, false) OR coalesce(shift > 0.15, false) AS drift FROM val_p FULL JOIN share_psi USING (win)) LEFT JOIN moved_share USING (date)",
+)(lambda s, d: drift.drift_flags(state_rows(s, d), hidden(s, d), surfaces.occupancy_change(hidden(s, d)), "z_r", P.test_start))

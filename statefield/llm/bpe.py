@@ -309,6 +309,12 @@ def encoder(path: str, special: bool = True, plain: bool = False) -> Encoder:
     return Encoder(path, special, plain)
 
 
+def forget() -> None:
+    """Drops the encoders of this Python process."""
+    encoder.cache_clear()
+    vocabulary.cache_clear()
+
+
 def _lists(ids: list[bytes]) -> pa.ListArray:
     ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))

@@ -26,10 +26,13 @@ from .common import SPACE, fresh, known_size, materialise, new_path, note, text_
 
 #: Rows of the list of hits up to which it is broadcast: some 30 MB.
 WIDE_ROWS = 250_000
-#: The state is on disk; without preallocation, as many partitions have a small state each.
+#: The state is on disk; without preallocation, as many partitions have a small state each. All states of an executor share one
+#: cache, so that their number doesn't add to its memory.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 

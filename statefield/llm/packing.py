@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import encoder, forget
 from .common import small_batches
 
 CAPACITY = 1024
@@ -118,8 +118,11 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIECE, block: int = BLOCK) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIECE, block: int = BLOCK, keep: bool = True) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    keep: whether a worker keeps its encoder, with the chunks it has seen, for the tasks after; some 100 MB.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = encoder(path, plain=True), _Packer(TaskContext.get().partitionId(), capacity, piece, block)
@@ -131,5 +134,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIEC
         packer.flush()
         if packer.rows:
             yield packer.take()
+        if not keep:
+            forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, SCHEMA)

@@ -61,7 +61,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of at most 1024; null and empty texts are one closing token. Empty tables give no rows."""
     ship(spark)
-    return packing.pack(docs, BYTE_BPE)
+    return packing.pack(docs, BYTE_BPE, keep=False)
 
 
 #: Tables of the stage called last, where stages are called one by one.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
 from ..functions.columns import by_code, finite, ratio
+from .mixture import mixture_regimes
 
 
 def ev_surface(trades: DataFrame, labels: DataFrame) -> DataFrame:
@@ -125,12 +126,8 @@ def five_state(features: DataFrame, eps: float = 1e-8) -> DataFrame:
 
 
 def gmm_regimes(df: DataFrame, cols: list[str], k: int = 4, seed: int = 42) -> DataFrame:
-    """regime of each row under a mixture of k Gaussians."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
-    x = VectorAssembler(inputCols=cols, outputCol="_x").transform(df)
-    return GaussianMixture(k=k, featuresCol="_x", predictionCol="regime", probabilityCol="_p", seed=seed).fit(x).transform(x).drop("_x", "_p")
+    """regime of each row with finite values under a mixture of k Gaussians."""
+    return mixture_regimes(df, cols, k, seed=seed)
 
 
 def top_scores(scored: DataFrame, bonus: dict[str, float], n: int = 5) -> DataFrame:

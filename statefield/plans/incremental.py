@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TABLES as P
-from ..operators import basins, chains, drift, latent, seeds, split, states, surfaces
+from ..operators import basins, chains, drift, latent, mixture, seeds, split, states, surfaces
 from ..operators.features import Z, state_vector, valid_mask
 from ..operators.live import LIVE
 from ..sources import commits, sinks
@@ -269,3 +269,29 @@ register(
     "val_p share_psi moved_share",
     f"SELECT date, {rs('ks p psi shift')}, drift, coalesce(excluded, false) AS excluded, drift AND NOT coalesce(excluded, false) AS retrain FROM (SELECT win AS date, ks, p, psi, shift, coalesce(psi > 0.2, false) OR coalesce(p < 0.01, false) OR coalesce(shift > 0.15, false) AS drift FROM val_p FULL JOIN share_psi USING (win)) LEFT JOIN moved_share USING (date)",
 )(lambda s, d: drift.drift_flags(state_rows(s, d), hidden(s, d), surfaces.occupancy_change(hidden(s, d)), "z_r", P.test_start))
+
+# A mixture under fixed parameters
+
+MIX = mixture.Mixture(np.array([0.5, 0.3, 0.2]), np.array([[0.0, 0.0], [0.5, 1.0], [-0.5, -0.5]]), np.array([[[1.0, 0.25], [0.25, 1.0]], [[2.0, -0.5], [-0.5, 1.0]], [[0.5, 0.0], [0.0, 2.0]]]))
+
+
+def mixture_ctes() -> None:
+    logs = []
+    for w, m, c in zip(MIX.weights, MIX.means, MIX.covariances):
+        det = c[0, 0] * c[1, 1] - c[0, 1] ** 2
+        form = f"({c[1, 1]} * power(z_r - {m[0]}, 2) - 2 * {c[0, 1]} * (z_r - {m[0]}) * (z_sigma - {m[1]}) + {c[0, 0]} * power(z_sigma - {m[1]}, 2)) / {det}"
+        logs.append(f"{w} * exp(-0.5 * {form}) / (2 * pi() * sqrt({det}))")
+    cte("dens", "zs", f"SELECT code, date, z_r, z_sigma, {', '.join(f'CAST({x} AS DOUBLE) AS d{i}' for i, x in enumerate(logs))} FROM zs WHERE z_r IS NOT NULL AND z_sigma IS NOT NULL")
+    cte("resp", "dens", f"SELECT code, date, z_r, z_sigma, {', '.join(f'd{i} / (d0 + d1 + d2) AS g{i}' for i in range(3))} FROM dens")
+
+
+def mixture_step(s: SparkSession, d: str) -> DataFrame:
+    after, _ = mixture.next_mixture(valid_z(s, d), ["z_r", "z_sigma"], MIX, 0.0)
+    rows = [(i, float(after.weights[i]), *map(float, after.means[i]), float(after.covariances[i][0, 0]), float(after.covariances[i][0, 1]), float(after.covariances[i][1, 1])) for i in range(3)]
+    return s.createDataFrame(rows, "component int, weight double, mean_r double, mean_sigma double, var_r double, cov double, var_sigma double")
+
+
+mixture_ctes()
+register("d16_responsibilities", "resp", f"SELECT code, date, {rs('g0 g1 g2')} FROM resp")(lambda s, d: mixture.responsibilities(valid_z(s, d).select("code", "date", "z_r", "z_sigma"), ["z_r", "z_sigma"], MIX).select("code", "date", "g0", "g1", "g2"))
+_moment = lambda i: f"SELECT {i} AS component, sum(g{i}) / count(*) AS weight, sum(g{i} * z_r) / sum(g{i}) AS mean_r, sum(g{i} * z_sigma) / sum(g{i}) AS mean_sigma, sum(g{i} * z_r * z_r) / sum(g{i}) AS rr, sum(g{i} * z_r * z_sigma) / sum(g{i}) AS rs, sum(g{i} * z_sigma * z_sigma) / sum(g{i}) AS ss FROM resp"
+register("d16_em_step", "resp", f"SELECT component, {rs('weight mean_r mean_sigma')}, {r('rr - mean_r * mean_r', 'var_r')}, {r('rs - mean_r * mean_sigma', 'cov')}, {r('ss - mean_sigma * mean_sigma', 'var_sigma')} FROM ({' UNION ALL '.join(map(_moment, range(3)))})")(mixture_step)

@@ -52,7 +52,7 @@ def responsibilities(df: DataFrame, cols: list[str], model: Mixture) -> DataFram
 
 
 def next_mixture(df: DataFrame, cols: list[str], model: Mixture, ridge: float = RIDGE) -> tuple[Mixture, float]:
-    """The mixture after one step, and the log-likelihood before it. Products are taken about the old means, which keeps their digits."""
+    """The mixture after one step, and the mean log-likelihood of rows before it. Products are taken about the old means, which keeps their digits."""
     k, d = len(model.weights), len(cols)
     rows = responsibilities(df, cols, model)
     sums = [F.sum("ll").alias("ll"), F.count(F.lit(1)).alias("n")]
@@ -72,11 +72,11 @@ def next_mixture(df: DataFrame, cols: list[str], model: Mixture, ridge: float =
             for b in range(a, d):
                 covariances[i, a, b] = covariances[i, b, a] = s[f"c{i}_{a}_{b}"] / w - shift[a] * shift[b]
         covariances[i] += ridge * np.eye(d)
-    return Mixture(weights / weights.sum(), means, covariances), s.ll
+    return Mixture(weights / weights.sum(), means, covariances), s.ll / s.n
 
 
 def fit_mixture(df: DataFrame, cols: list[str], k: int, iterations: int = 100, tol: float = 1e-3, seed: int = 42) -> tuple[Mixture, list[float]]:
-    """The mixture that steps from clusters' centres lead to, and the log-likelihood before each step."""
+    """The mixture that steps from clusters' centres lead to, and the mean log-likelihood of rows before each step."""
     ok = reduce(lambda a, b: a & b, (finite(F.col(c)) for c in cols))
     rows = df.where(ok).select(*cols).persist()
     try:

@@ -209,6 +209,11 @@ def identify_before(rows: DataFrame, ret: str, years: DataFrame, p: Params = DEF
     """fold and what identify gives for all rows before the fold's first year; sums by state and year are cumulated, not rows."""
     sums = rows.where(F.col("state_id").isNotNull()).groupBy("state_id", "regime", F.year("date").alias("year")).agg(F.count(ret).alias("n"), F.count(F.lit(1)).alias("rows"), F.sum(ret).alias("s"), F.sum(F.col(ret) * F.col(ret)).alias("q"))
     cells = sums.join(years.select("fold"), F.col("year") < F.col("fold")).groupBy("fold", "state_id", "regime").agg(*(F.sum(c).alias(c) for c in ("n", "rows", "s", "q")))
+    return marked_cells(cells, p)
+
+
+def marked_cells(cells: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """What identify gives, by fold, from rows, n, s and q of each fold, state_id and regime: numbers, sums and sums of squares."""
     often = F.min(F.when(F.col("regime").isNotNull(), F.struct((-F.col("rows")).alias("k"), "regime")))["regime"]
     g = cells.groupBy("fold", "state_id").agg(F.sum("rows").alias("visits"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), often.alias("regime"))
     mu = ratio(F.col("s"), F.col("n"))
@@ -216,8 +221,8 @@ def identify_before(rows: DataFrame, ret: str, years: DataFrame, p: Params = DEF
     return _marked(g.select("fold", "state_id", "visits", mu.alias("mu_r"), F.sqrt(var).alias("sigma_r"), "regime"), p)
 
 
-def walk_forward(labelled: DataFrame, p: Params = DEFAULT, overlay: bool = False) -> DataFrame:
-    """Fold metrics of expanding training and one test year each; all folds in one plan, the fold is a key (B5, B6, P6; overlay B7)."""
+def fold_trades(labelled: DataFrame, p: Params = DEFAULT, overlay: bool = False) -> DataFrame:
+    """Greedy trades of one test year each after expanding training; all folds in one plan, the fold is a key (B6, P6; overlay B7)."""
     years = F.broadcast(folds(labelled.sparkSession, p))
     rows = horizon_return(labelled, p.horizon)
     known = rows.where("ret_h is not null")
@@ -226,7 +231,13 @@ def walk_forward(labelled: DataFrame, p: Params = DEFAULT, overlay: bool = False
     cand = test.where("ret_h is not null").join(F.broadcast(picked), ["fold", "state_id"], "left_semi")
     if overlay:
         cand = without_bear(cand, market_bear(labelled, p.sma))
-    trades = non_overlapping(cand, p.cost, "fold")
+    return non_overlapping(cand, p.cost, "fold")
+
+
+def walk_forward(labelled: DataFrame, p: Params = DEFAULT, overlay: bool = False, trades: DataFrame | None = None) -> DataFrame:
+    """Metrics of the folds (B5); trades: those of fold_trades, where they are at hand."""
+    years = F.broadcast(folds(labelled.sparkSession, p))
+    trades = fold_trades(labelled, p, overlay) if trades is None else trades
     days = labelled.select("date").distinct().join(years, F.year("date") == F.col("fold")).select("fold", "date")
     path = portfolio_path(trades, labelled, days, p.cost, True, "fold")
     return path_metrics(path, trades, p, "fold").drop("sortino", "avg_active")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
-from .strategy import chosen, marked_cells, non_overlapping
+from .strategy import chosen, marked, non_overlapping
 
 ALL = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -55,17 +55,18 @@ def purge_limits(blocks: DataFrame, rows: DataFrame, k: int, embargo: int = 0) -
 
 
 def identify_purged(rows: DataFrame, ret: str, limits: DataFrame, k: int, p: Params = DEFAULT) -> DataFrame:
-    """fold and what identify gives for all rows that don't overlap the fold's; each row adds to all folds' sums in one pass."""
+    """fold and what identify gives for all rows that don't overlap the fold's; each row adds to all folds' moments in one pass."""
 
     def trains(f: int) -> Column:
         return F.coalesce(F.col(f"next_{f}") > F.col("exit_date"), F.lit(True)) & F.coalesce(F.col(f"until_{f}") < F.col("date"), F.lit(True))
 
     known = rows.where(f"state_id is not null and {ret} is not null").join(F.broadcast(limits), "date")
-    sums = known.groupBy("state_id", "regime").agg(
-        *(F.struct(F.lit(f).alias("fold"), F.count_if(trains(f)).alias("rows"), F.count_if(trains(f)).alias("n"), F.sum(F.when(trains(f), F.col(ret))).alias("s"), F.sum(F.when(trains(f), F.col(ret) * F.col(ret))).alias("q")).alias(f"_{f}") for f in range(k))
+    x, regime = (lambda f: F.when(trains(f), F.col(ret))), (lambda f: F.when(trains(f), F.col("regime")))
+    stats = known.groupBy("state_id").agg(
+        *(F.struct(F.lit(f).alias("fold"), F.count(x(f)).alias("visits"), F.avg(x(f)).alias("mu_r"), F.stddev_samp(x(f)).alias("sigma_r"), F.mode(regime(f), True).alias("regime")).alias(f"_{f}") for f in range(k))
     )
-    cells = sums.select("state_id", "regime", F.explode(F.array(*(f"_{f}" for f in range(k)))).alias("c")).select("state_id", "regime", "c.*")
-    return marked_cells(cells.where("rows > 0"), p)
+    cells = stats.select("state_id", F.explode(F.array(*(f"_{f}" for f in range(k)))).alias("c")).select("c.fold", "state_id", "c.visits", "c.mu_r", "c.sigma_r", "c.regime")
+    return marked(cells.where("visits > 0"), p)
 
 
 def regime_trades(rows: DataFrame, blocks: DataFrame, k: int, p: Params = DEFAULT, embargo: int = 0) -> DataFrame:

@@ -19,10 +19,10 @@ def identify(train: DataFrame, ret: str, p: Params = DEFAULT, *by: str) -> DataF
     stats = train.where(F.col("state_id").isNotNull()).groupBy(*by, "state_id").agg(
         F.count(F.lit(1)).alias("visits"), F.avg(ret).alias("mu_r"), F.stddev_samp(ret).alias("sigma_r"), F.mode("regime", True).alias("regime")
     )
-    return _marked(stats, p)
+    return marked(stats, p)
 
 
-def _marked(stats: DataFrame, p: Params) -> DataFrame:
+def marked(stats: DataFrame, p: Params) -> DataFrame:
     """stats with t_stat and tradeable."""
     t = ratio(F.col("mu_r"), ratio(F.col("sigma_r"), F.sqrt(F.col("visits"))))
     good = (F.col("mu_r") > 0) & (F.col("visits") >= p.min_visits) & (F.col("t_stat") >= p.t_least) & F.col("regime").isin(*p.regimes)
@@ -209,16 +209,11 @@ def identify_before(rows: DataFrame, ret: str, years: DataFrame, p: Params = DEF
     """fold and what identify gives for all rows before the fold's first year; sums by state and year are cumulated, not rows."""
     sums = rows.where(F.col("state_id").isNotNull()).groupBy("state_id", "regime", F.year("date").alias("year")).agg(F.count(ret).alias("n"), F.count(F.lit(1)).alias("rows"), F.sum(ret).alias("s"), F.sum(F.col(ret) * F.col(ret)).alias("q"))
     cells = sums.join(years.select("fold"), F.col("year") < F.col("fold")).groupBy("fold", "state_id", "regime").agg(*(F.sum(c).alias(c) for c in ("n", "rows", "s", "q")))
-    return marked_cells(cells, p)
-
-
-def marked_cells(cells: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """What identify gives, by fold, from rows, n, s and q of each fold, state_id and regime: numbers, sums and sums of squares."""
     often = F.min(F.when(F.col("regime").isNotNull(), F.struct((-F.col("rows")).alias("k"), "regime")))["regime"]
     g = cells.groupBy("fold", "state_id").agg(F.sum("rows").alias("visits"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), often.alias("regime"))
     mu = ratio(F.col("s"), F.col("n"))
     var = ratio(F.greatest(F.col("q") - F.col("s") * mu, F.lit(0.0)), F.nullif(F.col("n") - 1, F.lit(0)))
-    return _marked(g.select("fold", "state_id", "visits", mu.alias("mu_r"), F.sqrt(var).alias("sigma_r"), "regime"), p)
+    return marked(g.select("fold", "state_id", "visits", mu.alias("mu_r"), F.sqrt(var).alias("sigma_r"), "regime"), p)
 
 
 def fold_trades(labelled: DataFrame, p: Params = DEFAULT, overlay: bool = False) -> DataFrame:

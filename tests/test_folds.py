@@ -55,6 +55,16 @@ def test_no_training_row_overlaps_its_fold(spark, embargo):
             assert got[key].sigma_r == pytest.approx(np.std(rets, ddof=1), abs=1e-7)
 
 
+def test_deviations_of_nearly_equal_returns(spark):
+    """Sums of squares would cancel here."""
+    rows = [(at(i), at(i), 0, "TREND", 1e3 + 1e-6 * (i % 2)) for i in range(10)]
+    df = spark.createDataFrame(rows, "date date, exit_date date, state_id int, regime string, ret_h double")
+    days = spark.createDataFrame([(at(i), int(i >= 6)) for i in range(10)], "date date, fold int")
+    got = {r.fold: r for r in folds.identify_purged(df, "ret_h", folds.purge_limits(days, df, 2), 2).collect()}
+    for f, rets in enumerate(([r[4] for r in rows[6:]], [r[4] for r in rows[:6]])):
+        assert got[f].visits == len(rets) and got[f].sigma_r == pytest.approx(np.std(rets, ddof=1), rel=1e-6)
+
+
 def test_trades_stay_on_their_folds_dates(spark):
     rng, k = np.random.default_rng(8), 3
     days = folds.regime_blocks(spark.createDataFrame(calendar(rng, 300), "date date, market string"), k, 30)

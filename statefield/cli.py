@@ -25,11 +25,15 @@ def build(spark: SparkSession, source: str, out: str) -> None:
     sinks.report_json({"total": macro.summary(marked), "by_class": macro.summary(marked, "state_class"), "by_regime": macro.summary(marked, "regime"), "contributors": macro.contributors(marked)}, os.path.join(out, "attribution.json"))
     kl, stay, frequency = macro.kl_bull_bear(drift, TABLES), macro.stay_by_regime(drift), macro.regime_frequency(labels)
     sinks.report_json({"top_kl": macro.top(kl, "kl_bull_bear", TABLES.top_states, "state_id"), "stay": macro.top(stay, "abs_delta", TABLES.top_states, "state_id"), "frequency": frequency}, os.path.join(out, "diagnostics.json"))
+    results = marked.groupBy("regime").agg(F.sum("ret_gross").alias("gross"), F.sum("ret_net").alias("net")).orderBy("regime")
+    most = macro.top(kl, "kl_bull_bear", TABLES.top_states, "state_id").orderBy(F.desc("kl_bull_bear"), "state_id")
     sinks.charts(
         {
+            "regime_pnl": lambda path: sinks.bar_chart([(r.regime, {"ret_gross": r.gross, "ret_net": r.net}) for r in results.collect()], path, "Results by regime, gross and net"),
+            "class_distribution": lambda path: sinks.bar_chart([(r.state_class, {"states": r.n}) for r in macro.class_distribution(classes).collect()], path, "States of each class", counts=True),
+            "kl_topN": lambda path: sinks.bar_chart([(str(r.state_id), {"kl": r.kl_bull_bear}) for r in most.collect()], path, "States with the largest divergence of BULL from BEAR", across=True),
             "drawdown": lambda path: sinks.line_chart({"drawdown": [(r.date.toordinal(), r.dd) for r in labels.collect()]}, path, "Drawdown of the market"),
             "regimes": lambda path: sinks.line_chart({c: [(r.year, r[f"share_{c}"]) for r in frequency.collect()] for c in ("BULL", "BEAR", "RECOVERY")}, path, "Share of each regime by year"),
-            "classes": lambda path: sinks.line_chart({r.state_class: [(0, 0), (1, r.sum)] for r in macro.summary(marked, "state_class").collect()}, path, "Result of each class"),
         },
         out,
     )

@@ -566,12 +566,12 @@ register("d16_gmm")(lambda s, d: surfaces.gmm_regimes(state_rows(s, d).select("c
 
 
 def queries() -> dict[str, Query]:
-    from . import crossval, incremental  # noqa: F401  register their own
+    from . import crossval, incremental, stored  # noqa: F401  register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import crossval, incremental  # noqa: F401
+    from . import crossval, incremental, stored  # noqa: F401
 
     return dict(ORACLES)

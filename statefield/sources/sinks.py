@@ -63,6 +63,15 @@ def write_meta(spark: SparkSession, path: str, values: dict, dry: bool = False)
     return text
 
 
+def write_label_map(labels: DataFrame, path: str, dry: bool = False) -> DataFrame:
+    """z, label of hidden states as a JSON file with a label_map (S9); the map has one entry a state. Without states it is empty."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("z").cast("string").alias("z"), "label")))
+    out = labels.agg(F.to_json(F.struct(F.map_from_entries(pairs).alias("label_map"))).alias("value"))
+    if not dry:
+        out.write.mode("overwrite").text(path)
+    return out
+
+
 def new_rows(landed: DataFrame, existing: DataFrame, keys: tuple[str, ...] = ("date", "code")) -> DataFrame:
     """Landed rows, one for each key, whose key isn't there yet."""
     return landed.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
@@ -122,6 +131,42 @@ def line_chart(series: dict[str, list[tuple[float, float]]], path: str, title: s
         f.write("\n".join([*lines, "</svg>"]))
 
 
+def bar_chart(bars: list[tuple[str, dict[str, float]]], path: str, title: str = "", across: bool = False, counts: bool = False, width: int = 900) -> None:
+    """Bars by label, one beside the other for each series, as an SVG file (K9).
+
+    across: bars go to the right, one label a line, and the picture grows with them; counts: each bar has its value at its end.
+    Values that aren't finite are left out; without any, nothing is drawn and a ValueError raised.
+    """
+    names = list(dict.fromkeys(n for _, values in bars for n in values))
+    shown = [(i, j, float(values[n])) for i, (_, values) in enumerate(bars) for j, n in enumerate(names) if n in values and math.isfinite(values[n])]
+    if not shown:
+        raise ValueError("nothing to draw")
+    height = max(400, 60 + 16 * len(bars)) if across else 400
+    low, high = min(0.0, *(v for *_, v in shown)), max(0.0, *(v for *_, v in shown))
+    long, wide = (width - 160, height - 60) if across else (height - 80, width - 80)
+    size, slot = (lambda v: (v - low) / ((high - low) or 1.0) * long), wide / len(bars)
+    thick = 0.8 * slot / len(names)
+    lines = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="40" y="16">{html.escape(title)}</text>']
+
+    def place(a: float, b: float, off: float, thick: float) -> tuple[float, ...]:
+        """x, y, width and height of a bar from value a to b, `off` along the labels."""
+        at, end = size(min(a, b)), size(max(a, b))
+        return tuple(round(v, 1) for v in ((100 + at, 30 + off, end - at, thick) if across else (40 + off, 30 + long - end, thick, end - at)))
+
+    for i, j, v in shown:
+        x, y, w, h = place(0.0, v, slot * (i + 0.1) + thick * j, thick)
+        lines.append(f'<rect x="{x}" y="{y}" width="{w}" height="{h}" fill="hsl({j * 360 // len(names)},60%,45%)"><title>{html.escape(names[j])} {v:.6g}</title></rect>')
+        if counts:
+            lines.append(f'<text x="{x + w + 4 if across else x}" y="{y + h if across else y - 4}">{v:.6g}</text>')
+    for i, (label, _) in enumerate(bars):
+        x, y = (4, 30 + slot * (i + 0.7)) if across else (40 + slot * (i + 0.1), height - 28)
+        lines.append(f'<text x="{x:.1f}" y="{y:.1f}">{html.escape(label)}</text>')
+    if len(names) > 1:
+        lines += [f'<text x="{50 + 140 * j}" y="{height - 8}" fill="hsl({j * 360 // len(names)},60%,45%)">{html.escape(n)}</text>' for j, n in enumerate(names)]
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join([*lines, "</svg>"]))
+
+
 def charts(drawings: dict[str, Callable[[str], None]], folder: str) -> list[str]:
     """Draws each chart to an SVG file; one that fails doesn't stop the others (K9)."""
     done = []

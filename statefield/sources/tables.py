@@ -117,6 +117,27 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True).select(F.explode("symbols").alias("code")).select(F.lpad("code", 6, "0").alias("code"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name, in whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def read_label_map(spark: SparkSession, path: str) -> DataFrame:
+    """z, label of a label map file (S9); no rows where there is no such file or it has no map."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "z long, label string")
+    maps = spark.read.schema("label_map map<string,string>").json(path, multiLine=True)
+    return maps.select(F.explode("label_map").alias("z", "label")).select(F.col("z").cast("long").alias("z"), "label")
+
+
+def single_or_parts(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """Some columns of a folder's panel.parquet, where it is there, else of its parts by year."""
+    if exists(spark, f"{folder}/panel.parquet"):
+        return spark.read.parquet(f"{folder}/panel.parquet").select(*columns)
+    return read_panel(spark, folder, columns)
+
+
 def landed_market(df: DataFrame, names: dict[str, str], market: str) -> DataFrame:
     """Landed rows of a market under common column names, with padded codes."""
     return df.withColumnsRenamed(names).withColumn("code", F.lpad(F.col("code").cast("string"), 6, "0")).withColumn("market", F.lit(market))

@@ -11,7 +11,6 @@ import tempfile
 from collections.abc import Callable
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,21 +54,20 @@ _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared(f: Query) -> Query:
-    """Keeps a stage that many queries read (memory, then disk); lost parts are computed again from the tables."""
+    """Keeps a stage that many queries read as a table in the shared folder, so that their plans begin there."""
 
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = spark.sparkContext.applicationId, sf_dir, f.__name__
         if key not in _kept:
-            _kept[key] = f(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+            _kept[key] = sinks.written(f(spark, sf_dir), f.__name__)
         return _kept[key]
 
     return get
 
 
 def forget() -> None:
-    """Drops all kept stages."""
-    while _kept:
-        _kept.popitem()[1].unpersist()
+    """Forgets all kept stages; their files stay until the shared folder is cleared."""
+    _kept.clear()
 
 
 def register(name: str, needs: str | None = None, sql: str | None = None, digits: int = 6):

@@ -32,6 +32,7 @@ def build(spark: SparkSession, source: str, out: str) -> None:
             "regime_pnl": lambda path: sinks.bar_chart([(r.regime, {"ret_gross": r.gross, "ret_net": r.net}) for r in results.collect()], path, "Results by regime, gross and net"),
             "class_distribution": lambda path: sinks.bar_chart([(r.state_class, {"states": r.n}) for r in macro.class_distribution(classes).collect()], path, "States of each class", counts=True),
             "kl_topN": lambda path: sinks.bar_chart([(str(r.state_id), {"kl": r.kl_bull_bear}) for r in most.collect()], path, "States with the largest divergence of BULL from BEAR", across=True),
+            "classes": lambda path: sinks.bar_chart([(r.state_class, {"ret_net": r.sum}) for r in macro.summary(marked, "state_class").collect()], path, "Result of each class"),
             "drawdown": lambda path: sinks.line_chart({"drawdown": [(r.date.toordinal(), r.dd) for r in labels.collect()]}, path, "Drawdown of the market"),
             "regimes": lambda path: sinks.line_chart({c: [(r.year, r[f"share_{c}"]) for r in frequency.collect()] for c in ("BULL", "BEAR", "RECOVERY")}, path, "Share of each regime by year"),
         },

@@ -3,7 +3,8 @@
 Distinct words of a batch are inserted into a trie. A depth-first walk gives every node, which is a prefix, the last
 token of its encoding and the node before that token: the last token is the one vocabulary entry that ends there and is
 compatible with the last token of what precedes it, as an encoding is a chain of compatible neighbours. So shared
-prefixes are encoded once, and a word's ids are read off by walking back. Encoded words stay in a bounded cache.
+prefixes are encoded once, and a word's ids are read off by walking back. Nodes of one depth are taken together, as arrays;
+long words go node by node. Encoded words stay in a bounded cache.
 
 Before that, texts are cut at single spaces between other characters, where the pre-token pattern always cuts; what
 lies between is looked up whole. Texts with white space runs that make this unsafe are matched by the pattern itself.
@@ -35,7 +36,16 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CACHE = 200_000
 #: Bytes of text encoded at a time.
 BATCH = 1 << 20
+#: Longest word, in bytes, and fewest words that are encoded depth by depth.
+LEVELS, FEW = 64, 64
+#: Slots for pairs of tokens that were looked at in arrays, a power of two.
+SLOTS = 1 << 20
 UNSAFE = re.compile(r" (?:\s|\Z)")
+#: Chunks of Latin words with marks behind them, line by line, which are cut without the full pattern; no apostrophes.
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+"
+_MARKS = r"[!-&(-/:-@\[-`{-~]+"
+_PLAIN = re.compile(rf" ?{_LATIN}(?:{_MARKS})?(?:\n{_LATIN}(?:{_MARKS})?)*")
+_PLAIN_WORDS = re.compile(rf" ?{_LATIN}|{_MARKS}|\n")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -123,6 +133,68 @@ class Vocabulary:
             self.fail[state] = f = self.edges.get(f << 8 | byte, 0) if parent else 0
             self.ends[state] = ((own[state], depth[state]), *self.ends[f]) if own[state] >= 0 else self.ends[f]
         self.step = dict(self.edges)
+        if self.one_way:
+            self._arrays()
+
+    def _arrays(self) -> None:
+        """Automaton and merges as arrays, for steps that take many nodes."""
+        self.edge_keys = np.array(sorted(self.edges), np.int64)
+        self.edge_to = np.array([self.edges[k] for k in self.edge_keys.tolist()], np.int32)
+        self.fail_to = np.array(self.fail, np.int32)
+        self.end_from = np.cumsum([0, *map(len, self.ends)])
+        self.end_token, self.end_length = np.array([e for x in self.ends for e in x], np.int32).reshape(-1, 2).T.copy()
+        merges = sorted((a * self.size + b, rank) for (a, b), (rank, _) in self.merges.items())
+        self.merge_keys, self.merge_ranks = np.array(merges, np.int64).reshape(-1, 2).T.copy()
+        self.part_rank, self.part_left, self.part_right = (np.full(self.size, -1, np.int64) for _ in range(3))
+        for i, (rank, a, b) in self.parts.items():
+            self.part_rank[i], self.part_left[i], self.part_right[i] = rank, a, b
+        self.slot_keys, self.slot_fits = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+        self.alone = np.full(self.size, -1, np.int8)
+
+    def advance_all(self, states: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """`advance` for arrays of states and bytes."""
+        out, todo = np.zeros(len(states), np.int32), np.arange(len(states))
+        while len(todo):
+            keys = states.astype(np.int64) << 8 | data[todo]
+            at = np.minimum(np.searchsorted(self.edge_keys, keys), len(self.edge_keys) - 1)
+            found = self.edge_keys[at] == keys
+            out[todo[found]] = self.edge_to[at[found]]
+            again = ~found & (states > 0)
+            todo, states = todo[again], self.fail_to[states[again]]
+        return out
+
+    def fit_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether tokens b can stand after tokens a, or, where a is -1, at the beginning."""
+        out, first = np.zeros(len(a), bool), a < 0
+        begin = b[first]
+        for t in np.unique(begin[self.alone[begin] < 0]).tolist():
+            self.alone[t] = self.starts(t)
+        out[first] = self.alone[begin] > 0
+        inner = np.flatnonzero(~first)
+        keys = a[inner].astype(np.int64) * self.size + b[inner]
+        slots = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % SLOTS
+        fits, unknown = self.slot_fits[slots], np.flatnonzero(self.slot_keys[slots] != keys)
+        if len(unknown):
+            fits[unknown] = found = self._apart_all(a[inner[unknown]].astype(np.int64), b[inner[unknown]].astype(np.int64))
+            where, kept = np.unique(slots[unknown], return_index=True)  # of several pairs with one slot a single one stays
+            self.slot_keys[where], self.slot_fits[where] = keys[unknown[kept]], found[kept]
+        out[inner] = fits
+        return out
+
+    def _apart_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`_apart` for arrays."""
+        out, todo, before = np.zeros(len(a), bool), np.arange(len(a)), np.full(len(a), len(self.merges), np.int64)
+        while len(todo):
+            keys = a * self.size + b
+            at = np.minimum(np.searchsorted(self.merge_keys, keys), len(self.merge_keys) - 1)
+            left, right = self.part_rank[a], self.part_rank[b]
+            across = (self.merge_keys[at] == keys) & (self.merge_ranks[at] < before)
+            none = (left < 0) & (right < 0)
+            out[todo[none & ~across]] = True
+            go, undo = ~(across | none), right >= left
+            before = np.where(undo, right + 1, left)[go]
+            a, b, todo = np.where(undo, a, self.part_right[a])[go], np.where(undo, self.part_left[b], b)[go], todo[go]
+        return out
 
     def advance(self, state: int, byte: int) -> int:
         """The state of the longest suffix, with this byte added, that is a prefix of a token."""
@@ -181,12 +253,63 @@ class Trie:
         self.back: list[int] = [-1]
 
     def encode(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Ids of each word. Sorted insertion visits the trie depth first; `path` holds the nodes above the current one."""
-        out: dict[bytes, list[int]] = {}
+        """Ids of each word."""
+        return {w: np.frombuffer(x, "<u4").tolist() for w, x in self.packed(words).items()}
+
+    def packed(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word, little-endian unsigned 32-bit."""
+        words = sorted(words)
+        short = [w for w in words if 0 < len(w) <= LEVELS] if self.vocab.one_way else []
+        if len(short) < FEW:
+            return self._walk(words)
+        return self._walk([w for w in words if not 0 < len(w) <= LEVELS]) | dict(zip(short, self._levels(short)))
+
+    def _levels(self, words: list[bytes]) -> list[bytes]:
+        """Ids of sorted words, all nodes of a depth at a time. A node is new where a word leaves the one before it."""
+        v, n = self.vocab, len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        most = int(size.max())
+        text = np.array(words, f"S{most}").view(np.uint8).reshape(n, most)
+        same = text[1:] == text[:-1]
+        shared = np.zeros(n, np.int64)
+        shared[1:] = np.minimum(np.where(same.all(1), most, same.argmin(1)), np.minimum(size[1:], size[:-1]))
+        nodes = 1 + int((size - shared).sum())
+        states, last, back, tokens = np.zeros(nodes, np.int32), np.full(nodes, -1, np.int32), np.zeros(nodes, np.int32), np.zeros(nodes, np.int32)
+        at, made = np.zeros((most + 1, n), np.int32), 1  # the node of each word at each depth
+        for depth in range(1, most + 1):
+            new = (shared < depth) & (size >= depth)
+            at[depth] = made - 1 + np.cumsum(new)
+            rows = np.flatnonzero(new)
+            reached = v.advance_all(states[at[depth - 1, rows]], text[rows, depth - 1])
+            states[made : made + len(rows)] = reached
+            todo, k, stop = np.arange(len(rows)), v.end_from[reached], v.end_from[reached + 1]
+            while len(todo):
+                if (k >= stop).any():
+                    row = rows[todo[np.argmax(k >= stop)]]
+                    raise ValueError(f"no token ends {words[row][:depth]!r}")
+                token, node = v.end_token[k], at[depth - v.end_length[k], rows[todo]]
+                fits = v.fit_all(last[node], token)
+                hit, before = made + todo[fits], node[fits]
+                last[hit], back[hit], tokens[hit] = token[fits], before, tokens[before] + 1
+                todo, k, stop = todo[~fits], k[~fits] + 1, stop[~fits]
+            made += len(rows)
+        node = at[size, np.arange(n)]
+        ends = np.cumsum(tokens[node], dtype=np.int64)
+        ids, where = np.zeros(int(ends[-1]), "<u4"), ends - 1
+        while len(node):
+            ids[where] = last[node]
+            node, where = back[node], where - 1
+            node, where = node[node > 0], where[node > 0]
+        data, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _walk(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of sorted words. Sorted insertion visits the trie depth first; `path` holds the nodes above the current one."""
+        out: dict[bytes, bytes] = {}
         vocab, last, back, size = self.vocab, self.last, self.back, self.vocab.size
         pairs, ends, follows, starts = vocab.pairs, vocab.ends, vocab.follows, vocab.starts
         path, states, before = [0], [0], b""
-        for word in sorted(words):
+        for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
@@ -216,7 +339,7 @@ class Trie:
             while node:
                 ids.append(last[node])
                 node = back[node]
-            out[word] = ids[::-1]
+            out[word] = array("I", ids[::-1]).tobytes()
             before = word
         return out
 
@@ -255,13 +378,13 @@ class Encoder:
             return
         if len(self.words) > CACHE:
             self.words.clear()
-        alone = lambda c: len(c) > 1 and c[1:].isascii() and c[1:].isalpha() and (c[0] == " " or c[0].isascii() and c[0].isalpha())
-        cut = [([c] if alone(c) else self.pattern.findall(c), cell) for c, cell in todo]
-        new = {w for words, _ in cut for w in words if w not in self.words}  # a set less the keys would walk all keys
-        for w, ids in Trie(self.vocab).encode([w.encode() for w in new]).items():
-            self.words[w.decode()] = array("I", ids).tobytes()
+        cut = [(_PLAIN_WORDS.findall(c) if _PLAIN.fullmatch(c) else self.pattern.findall(c), cell) for c, cell in todo]
+        known = self.words
+        new = {w for words, _ in cut for w in words if w not in known}  # a set less the keys would walk all keys
+        for w, ids in Trie(self.vocab).packed([w.encode() for w in new]).items():
+            known[w.decode()] = ids
         for words, cell in cut:
-            cell += b"".join([self.words[w] for w in words])
+            cell += b"".join([known[w] for w in words])
 
     def cells(self, texts: Iterable[str]) -> list[list[bytes | bytearray]]:
         """For each text the ids of its chunks, in order."""

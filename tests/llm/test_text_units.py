@@ -46,6 +46,24 @@ def test_trie_equals_plain_merging():
     assert all(got[w] == vocab.merged(w) for w in words)
 
 
+def test_trie_by_depths_equals_the_walk_and_merging():
+    vocab, rng = bpe.vocabulary(BPE), random.Random(2)
+    words = {"".join(rng.choice("aebdtionéÿß\0 .") for _ in range(rng.randint(1, 30))).encode()[: bpe.LEVELS] for _ in range(800)}
+    words |= {b"a", b"a\0", b"a\0\0", b"\0"}
+    by_depth = dict(zip(sorted(words), bpe.Trie(vocab)._levels(sorted(words))))
+    assert by_depth == bpe.Trie(vocab)._walk(sorted(words))
+    assert all(np.frombuffer(by_depth[w], "<u4").tolist() == vocab.merged(w) for w in words)
+    many = words | {b"x" * (bpe.LEVELS + 1), b""}
+    assert bpe.Trie(vocab).packed(many) == bpe.Trie(vocab)._walk(sorted(many))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abZéÿ×÷ªʯͰ.,!$%'\n 1_-"), max_size=12))
+def test_chunks_of_latin_words_are_cut_as_by_the_full_pattern(chunk):
+    if bpe._PLAIN.fullmatch(chunk):
+        assert bpe._PLAIN_WORDS.findall(chunk) == bpe.regex.findall(bpe.PATTERN, chunk)
+
+
 def test_lossy_decoding(library):
     enc = bpe.encoder(BPE)
     ids = np.array([enc.vocab.ids[b"\xe2"], enc.vocab.ids[b"\x82"], 64])

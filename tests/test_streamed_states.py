@@ -4,6 +4,7 @@ import datetime
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,30 @@ def test_state_is_bounded_and_cut_rows_are_not_needed():
     assert (again + cut).tolist() == at.tolist() and same.tolist() == bins.tolist()
     less, other, _ = streamed.live_rows(close[cut + 25 :], volume[cut + 25 :], n - 8 - cut - 25, P)
     assert len(less) < len(at) or (other != bins).any()
+
+
+def test_a_code_and_micro_batch_pass_over_the_history_once(monkeypatch):
+    class Value:
+        now = None
+
+        def get(self):
+            return self.now
+
+        def exists(self):
+            return self.now is not None
+
+        def update(self, value):
+            self.now = value
+
+    class Handle:
+        def getValueState(self, *a):
+            return Value()
+
+    calls, real = [], streamed.live_rows
+    monkeypatch.setattr(streamed, "live_rows", lambda *a: calls.append(a) or real(*a))
+    rows = pd.DataFrame([((r[1] - DAY).days, *r[2:]) for r in history(1)], columns=["day", "close", "volume", "ingest_id"])
+    one = streamed.LiveStates(P, 20)
+    one.init(Handle())
+    found = list(one.handleInputRows(("c0",), iter([rows.iloc[30:60], rows.iloc[:30], rows.iloc[30:40].assign(close=1.0, ingest_id=0)]), None))
+    assert len(calls) == 1 and [len(x) for x in found] == [len(real(rows.close[:60].to_numpy(), rows.volume[:60].to_numpy(), 0, P)[0])]
+    assert (one.tail.now[0], one.tail.now[3]) == (np.arange(real(rows.close[:60].to_numpy(), rows.volume[:60].to_numpy(), 40, P)[2], 60).tobytes(), 1)

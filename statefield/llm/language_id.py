@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import known_size, materialise, small_batches
+from .common import known_size, materialise, small_batches, tidy
 from .dom import blocks
 
 TRAIN_ROWS = 1000
@@ -107,7 +107,7 @@ def fit_text(labelled: DataFrame, rows: int = TRAIN_ROWS, least: int = 5, spread
     totals: dict[str, np.ndarray] = {}
     seen: dict[str, int] = {}
     sample = training_rows(labelled, rows).repartition(spread, F.xxhash64("text"))
-    for r in sample.mapInArrow(count, "lang string, n long, counts binary").toLocalIterator():
+    for r in sample.mapInArrow(tidy(count), "lang string, n long, counts binary").toLocalIterator():
         totals[r.lang] = totals.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
         seen[r.lang] = seen.get(r.lang, 0) + r.n
     languages = tuple(sorted(x for x in totals if seen[x] >= least)) or tuple(sorted(totals))
@@ -181,7 +181,7 @@ def identify(rows: DataFrame, model: TextModel, key: str, text: str = "text", de
     told = F.lower(F.regexp_extract(F.coalesce(told, F.lit("")), r"^([A-Za-z]+)", 1))
     kind = dict(rows.dtypes)[key]
     asked = rows.select(F.col(key).alias("key"), told.alias("told"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), F.col(text).alias("text"))
-    seen = asked.mapInArrow(run, f"key {kind}, told string, host string, domain string, suffix string, logs array<double>, letters long")
+    seen = asked.mapInArrow(tidy(run), f"key {kind}, told string, host string, domain string, suffix string, logs array<double>, letters long")
     if not n:
         unknown = F.lit(None).cast("string"), F.lit(0.0)
         return seen.select(F.col("key").alias(key), unknown[0].alias("language"), unknown[1].alias("confidence"), "letters", (F.col("letters") == 0).alias("rejected"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, forget
-from .common import small_batches
+from .common import small_batches, tidy
 
 CAPACITY = 1024
 PIECE = 256
@@ -137,4 +137,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIEC
         if not keep:
             forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(tidy(run), SCHEMA)

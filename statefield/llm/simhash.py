@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, groups, known_size, materialise, placed, small_batches
+from .common import fresh, groups, known_size, materialise, placed, small_batches, tidy
 from .components import connected_components
 
 TILE = 1024
@@ -187,7 +187,7 @@ def _compared(dealt: tuple[DataFrame, DataFrame | None], key: list[str], node: s
     rows, found = dealt
     keys = [*key, "ta", "tb"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
-    edges = rows.mapInArrow(lambda batches: _edges(batches, keys, node, pairs), "a long, b long")
+    edges = rows.mapInArrow(tidy(lambda batches: _edges(batches, keys, node, pairs)), "a long, b long")
     return edges if found is None else edges.unionByName(found)
 
 
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     texts = placed(docs.select("doc_id", "text"), "place") if place is None else docs.withColumnRenamed(place, "place")
     texts = texts.select("place", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null and text is not null")
     # numbers stand for rows from here on; they hold once they are written
-    signed = texts.mapInArrow(sign, f"{at_place}, doc_id long, fp long, n int, keys array<long>").withColumn("node", F.monotonically_increasing_id())
+    signed = texts.mapInArrow(tidy(sign), f"{at_place}, doc_id long, fp long, n int, keys array<long>").withColumn("node", F.monotonically_increasing_id())
     signed = materialise(signed, "signatures")
     each = lambda df, fp, first: df.select("node", fp.alias("fp"), F.bit_count(fp).alias("pop"), "n", F.posexplode("keys").alias("band", "value")).withColumn("band", F.col("band") + first)
     short = each(signed.where(F.col("n") * similarity < SHORT), F.lit(0).cast("long"), KEYS)
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), lists], ["node", "root", "n", "hashes"])
 
     few = texts.join(known_size(loose, PLACES), F.col("place") == F.col("_place")).select("node", "root", "text")
-    sets = materialise(few.mapInArrow(hashed, "node long, root long, n int, hashes array<long>"), "shingle-sets")
+    sets = materialise(few.mapInArrow(tidy(hashed), "node long, root long, n int, hashes array<long>"), "shingle-sets")
     both = F.size(F.array_intersect("hashes", "_lead.hashes"))
     same = both >= similarity * (F.col("n") + F.col("_lead.n") - both) - 1e-9
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, small_batches
+from .common import fresh, materialise, small_batches, tidy
 
 _END = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*")
 _WORD = re.compile(r"\S+")
@@ -105,7 +105,7 @@ def unit_digests(docs: DataFrame, unit_words: int = UNIT_WORDS) -> DataFrame:
             ends = pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(places, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(digests, pa.int64()))], ["doc_id", "pos", "digest"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, pos array<int>, digest array<long>")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(tidy(run), "doc_id long, pos array<int>, digest array<long>")
     return materialise(found, "substring-units").select("doc_id", F.explode(F.arrays_zip("pos", "digest")).alias("u")).select("doc_id", "u.pos", "u.digest")
 
 
@@ -125,7 +125,7 @@ def contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
                     after.append(_words_after(text, end))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())], ["digest", "before", "after"])
 
-    found = rows.mapInArrow(run, "digest long, before string, after string")
+    found = rows.mapInArrow(tidy(run), "digest long, before string, after string")
     return found.groupBy("digest").agg(F.min(F.struct("before", "after")).alias("around"))
 
 
@@ -244,4 +244,4 @@ def substring_dedup(docs: DataFrame, unit_words: int = UNIT_WORDS, run_words: in
             yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, kind)], [*keep, removed_name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{removed_name}` array<struct<start:int,end:int>>"
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
+from ..functions.columns import deviation
 from .strategy import chosen, marked, non_overlapping
 
 ALL = Window.unboundedPreceding, Window.unboundedFollowing
@@ -63,7 +64,7 @@ def identify_purged(rows: DataFrame, ret: str, limits: DataFrame, k: int, p: Par
     known = rows.where(f"state_id is not null and {ret} is not null").join(F.broadcast(limits), "date")
     x, regime = (lambda f: F.when(trains(f), F.col(ret))), (lambda f: F.when(trains(f), F.col("regime")))
     stats = known.groupBy("state_id").agg(
-        *(F.struct(F.lit(f).alias("fold"), F.count(x(f)).alias("visits"), F.avg(x(f)).alias("mu_r"), F.stddev_samp(x(f)).alias("sigma_r"), F.mode(regime(f), True).alias("regime")).alias(f"_{f}") for f in range(k))
+        *(F.struct(F.lit(f).alias("fold"), F.count(x(f)).alias("visits"), F.avg(x(f)).alias("mu_r"), deviation(x(f)).alias("sigma_r"), F.mode(regime(f), True).alias("regime")).alias(f"_{f}") for f in range(k))
     )
     cells = stats.select("state_id", F.explode(F.array(*(f"_{f}" for f in range(k)))).alias("c")).select("c.fold", "state_id", "c.visits", "c.mu_r", "c.sigma_r", "c.regime")
     return marked(cells.where("visits > 0"), p)
